@@ -7,7 +7,9 @@ from pyspark.sql import Column, functions as F
 
 def time_floor(ts: Column, seconds: int) -> Column:
     """Start of the epoch-aligned interval of ``seconds`` that holds ``ts``."""
-    return F.window(ts, f"{seconds} seconds").getField("start")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    over = F.pmod(F.timestamp_diff("MICROSECOND", epoch, ts), F.lit(seconds * 1_000_000))
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (over / 1e6).cast("decimal(18,6)"))
 
 
 def epoch_date(seconds: Column) -> Column:
