@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CHECKS, QUERIES
 
-for _module in ("telemetry", "samples"):
+for _module in ("telemetry", "samples", "matrix"):
     importlib.import_module(f"{__package__}.queries_{_module}")
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -103,3 +103,39 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         "vec_id", F.when(F.col("label") < 5, 1).otherwise(0).alias("label"), F.col("label").alias("type_label"),
         *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)))
+
+
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    """One sandbox report per event row."""
+    k, uid, kind = F.col("k"), F.col("user_id"), F.col("event_type")
+
+    def text(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    none = F.array().cast("array<string>")
+    apistats = F.create_map(text(uid), F.create_map(text("Nt", kind), k.cast("long"), text("Reg", k % 7), F.lit(1).cast("long")),
+                            text(uid, "b"), F.create_map(text("Nt", kind), F.lit(2).cast("long")))
+    summary = F.create_map(
+        F.lit("regkey_opened"), F.array(text("HKLM\\A", k % 11), text("HKLM\\A", k % 11)),
+        F.lit("regkey_written"), F.when(k % 2 == 0, F.array(text("HKCU\\Run", k % 5))).otherwise(none),
+        F.lit("file_created"), F.array(text("C:\\Temp\\F", k % 13, ".TXT")),
+        F.lit("file_deleted"), F.when(k % 3 == 0, F.array(text("C:\\Docs\\", kind))).otherwise(none),
+        F.lit("directory_enumerated"), F.array(text("C:\\Users\\U", uid % 6)),
+        F.lit("connects_ip"), F.when(k % 10 == 1, F.array(text("10.0.0.", k % 16))).otherwise(none),
+        F.lit("resolves_host"), F.array(text("C2-", k % 4, ".Example")),
+        F.lit("dll_loaded"), F.array(text("KERNEL", k % 3, ".dll"), F.lit("ntdll.DLL")),
+        F.lit("mutex"), F.array(text("M", uid % 9)),
+        F.lit("unrelated"), F.array(F.lit("ignored")))
+    dropped = F.array(
+        F.struct(text("a.b.EXT", k % 6).alias("name"), F.lit("PE32 executable (GUI)").alias("type")),
+        F.struct(text("noext", k % 3).alias("name"), F.when(k % 2 == 0, "ASCII text").otherwise("").alias("type")))
+    calls = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")),
+                        lambda i: F.struct(F.concat(F.lit("Api"), (k + i) % 5).alias("api")))
+    process = F.struct((uid / 2).alias("time"), calls.alias("calls"))
+    names = _pick(k % 5, "WannaCry", "Ryuk", "setup", "LockBit", "notes")
+    return telemetry(spark, sf).select(
+        F.col("row_id").alias("sample_id"), F.struct((k / 10).alias("score")).alias("info"),
+        F.struct(F.struct(names.alias("name")).alias("file")).alias("target"),
+        F.struct(apistats.alias("apistats"), summary.alias("summary"),
+                 F.array(process, process).alias("processes")).alias("behavior"),
+        F.array(text("Str", k), kind, F.upper(kind)).alias("strings"), dropped.alias("dropped"),
+        F.array(F.struct(text("Sig_", kind).alias("name"))).alias("signatures"))
