@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -46,7 +47,6 @@ DEFAULT_FALLBACK = (("file_activity_count (high file system modifications)", 0.4
                     ("suspicious_path_count (executes from local temp)", 0.27),
                     ("registry_activity_count (persistence creation)", 0.19),
                     ("system_executable (binary path verification)", -0.11))
-IMPORTANCE_TOTAL = 10.0
 
 
 def _entries(values: Sequence[tuple[str, Column]]) -> Column:
@@ -61,18 +61,6 @@ def linear_attribution(alerts: DataFrame, model: LinearModel, key: str = "alert_
     return alerts.withColumns(missing).select(key, _entries(parts).alias("e")).select(key, "e.*")
 
 
-def sequence_attribution(pooled: DataFrame, model: LinearModel, key: str = "alert_id") -> DataFrame:
-    """Absolute contribution per feature over its pooled columns, scaled to a total of 10 per alert."""
-    shares: dict[str, Column] = {}
-    for column, value in zip(model.scaler.features, model.contributions()):
-        feature = column.split("_", 1)[1]
-        shares[feature] = shares[feature] + F.abs(value) if feature in shares else F.abs(value)
-    long = pooled.select(key, _entries(list(shares.items())).alias("e")).select(key, "e.*")
-    total = F.sum("importance_value").over(Window.partitionBy(key))  # one row per feature in a partition
-    scaled = F.when(total > 0, F.col("importance_value") / total * IMPORTANCE_TOTAL).otherwise(F.col("importance_value"))
-    return long.withColumn("importance_value", scaled)
-
-
 def attribution_order(attributions: DataFrame, key: str = "alert_id") -> DataFrame:
     """Rank within each alert by absolute importance; an alert has one row per feature."""
     order = Window.partitionBy(key).orderBy(F.abs("importance_value").desc(), "feature_name")
@@ -106,14 +94,16 @@ def incident_vector_lookup(wanted: DataFrame, incidents: DataFrame, windows: Dat
 
     The either-or condition is two equality joins; the smallest process key is the first window.
     """
-    by_id = wanted.join(incidents, wanted["alert_ref"] == incidents["id"]).select("alert_ref", incidents["*"])
-    stamp = incidents["timestamp"].cast("string")
-    by_time = wanted.join(incidents, wanted["alert_ref"] == stamp).select("alert_ref", incidents["*"])
-    found = (by_id.unionByName(by_time).groupBy("alert_ref")
-             .agg(F.min_by(F.struct("id", "timestamp", "computer"), "id").alias("i")).select("alert_ref", "i.*"))
+    keyed = incidents.select("id", "timestamp", "computer").withColumns(
+        {"_id": F.col("id").cast("string"), "_time": F.col("timestamp").cast("string")})
+    found = reduce(DataFrame.unionByName, (
+        wanted.join(keyed, F.col("alert_ref") == F.col(c)).drop("_id", "_time") for c in ("_id", "_time")))
+    found = (found.groupBy("alert_ref").agg(F.min_by(F.struct("id", "timestamp", "computer"), "id").alias("i"))
+             .select("alert_ref", "i.*"))
     values = [c for c in windows.columns if c not in ("computer", "window_start")]
-    firsts = windows.groupBy("computer", F.col("window_start").alias("timestamp")).agg(
-        F.min_by(F.struct(*values), "process_key").alias("w"))
+    timed = windows.withColumnRenamed("window_start", "timestamp")
+    firsts = (timed.join(found.select("computer", "timestamp"), ["computer", "timestamp"], "left_semi")
+              .groupBy("computer", "timestamp").agg(F.min_by(F.struct(*values), "process_key").alias("w")))
     return found.join(firsts, ["computer", "timestamp"], "left").select("alert_ref", "id", "timestamp", "computer", "w.*")
 
 

@@ -69,21 +69,20 @@ class LinearModel:
         return sigmoid(reduce(Column.__add__, self.contributions(), F.lit(self.intercept)))
 
 
-def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
+def class_weights(train: DataFrame, n: int, positives: int, label: str = "label") -> DataFrame:
     """Add ``weight = n / (2 * n_class)`` so both classes weigh the same."""
-    counts = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
-    n, p = counts["n"], counts["p"]
-    return train.withColumn("weight", F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1))))
+    return train.withColumn("weight", F.when(F.col(label) == 1, n / (2.0 * max(positives, 1)))
+                            .otherwise(n / (2.0 * max(n - positives, 1))))
 
 
 def train_logistic(train: DataFrame, features: Sequence[str], c: float = 1.0, max_iter: int = 2000) -> LinearModel:
     """Balanced, L2-regularised logistic regression on scaled features; the fit is distributed."""
     scaler = fit_scaler(train, features)
-    weighted = class_weights(scaler.transform(train.select("label", *features)))
+    n, positives = train.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
+    weighted = class_weights(scaler.transform(train.select("label", *features)), n, positives)
     rows = assemble(weighted, features).select("features", F.col("label").cast("double").alias("label"), "weight")
-    n = rows.agg(F.sum("weight")).first()[0]
     fitted = LogisticRegression(weightCol="weight", regParam=1.0 / (c * n), standardization=False,
-                                maxIter=max_iter).fit(rows)
+                                maxIter=max_iter).fit(rows)  # the weights add up to n
     return LinearModel(scaler, tuple(float(v) for v in fitted.coefficients), float(fitted.intercept))
 
 

@@ -23,10 +23,11 @@ def sequence_builder(df: DataFrame, features: Sequence[str], group: Sequence[str
 
 
 def seq_pooling(df: DataFrame, features: Sequence[str], group: Sequence[str] = ("source",),
-                length: int = SEQUENCE_LENGTH, order: Sequence[str] = ORDER) -> DataFrame:
+                length: int = SEQUENCE_LENGTH, order: Sequence[str] = ORDER, absolute: bool = False) -> DataFrame:
     """Mean and maximum of each feature over the zero-padded sequence, as ``mean_*`` and ``max_*``.
 
-    Computed as frame aggregates, so the sequences themselves are never built.
+    ``absolute`` adds the mean magnitude as ``abs_*``. Computed as frame aggregates, so the sequences
+    themselves are never built.
     """
     def pooled(w):
         steps = F.count(F.lit(1)).over(w)
@@ -35,6 +36,8 @@ def seq_pooling(df: DataFrame, features: Sequence[str], group: Sequence[str] = (
             value = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
             top = F.max(value).over(w)
             out[f"mean_{f}"] = F.sum(value).over(w) / F.lit(float(length))
+            if absolute:
+                out[f"abs_{f}"] = F.sum(F.abs(value)).over(w) / F.lit(float(length))
             out[f"max_{f}"] = F.when(steps < length, F.greatest(top, F.lit(0.0))).otherwise(top)
         return out
     return trailing(df, group, order, length, pooled)

@@ -91,6 +91,21 @@ def guard_labels(df: DataFrame) -> None:
         raise ValueError("Training requires labelled benign (0) and attack (1) windows.")
 
 
+def smallest_by_order(df: DataFrame, key: str, size: int, total: int, seed: int) -> DataFrame:
+    """The ``size`` rows of ``df`` that come first in seeded order, as keys.
+
+    Hashes are uniform, so rows below a hash limit a little above ``size / total`` hold them all; only those
+    are ranked. Should the limit ever let too few through, all rows are ranked.
+    """
+    hashed = df.select(key, seeded_order(F.col(key), seed).alias("_order"))
+    share = (size + 10 * size ** 0.5 + 10) / max(total, 1)
+    if share < 0.5:
+        below = hashed.filter(F.col("_order") < f"{int(share * (1 << 60)):015x}")
+        if below.count() >= size:
+            hashed = below
+    return row_numbered(hashed, (), ("_order", key), "_rn").filter(F.col("_rn") <= size).select(key)
+
+
 def holdout_assignment(df: DataFrame, scenario: str, key: str, seed: int = 42) -> DataFrame:
     """Rows with ``part``: the held-out scenario and a benign sample are for testing, the rest for training.
 
@@ -99,9 +114,10 @@ def holdout_assignment(df: DataFrame, scenario: str, key: str, seed: int = 42) -
     counts = df.agg(F.count_if(F.col("label") == 0).alias("b"),
                     F.count_if((F.col("label") == 1) & (F.col("scenario") == scenario)).alias("a")).first()
     size = min(counts["b"], max(counts["a"], MIN_HOLDOUT_BENIGN))
-    ranked = row_numbered(df.withColumn("_order", seeded_order(F.col(key), seed)), ("label",), ("_order", key), "_rn")
-    held = F.when(F.col("label") == 1, F.col("scenario").eqNullSafe(F.lit(scenario))).otherwise(F.col("_rn") <= size)
-    return ranked.withColumn("part", F.when(held, "test").otherwise("train")).drop("_order", "_rn")
+    drawn = smallest_by_order(df.filter(F.col("label") == 0), key, size, counts["b"], seed)
+    marked = df.join(drawn.withColumn("_drawn", F.lit(True)), key, "left")
+    held = ((F.col("label") == 1) & F.col("scenario").eqNullSafe(F.lit(scenario))) | F.col("_drawn").isNotNull()
+    return marked.withColumn("part", F.when(held, "test").otherwise("train")).drop("_drawn")
 
 
 def attack_scenarios(df: DataFrame) -> DataFrame:
