@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CHECKS, QUERIES
 
-for _module in ("telemetry", "samples", "matrix", "files", "detection"):
+for _module in ("telemetry", "samples", "matrix", "files", "detection", "streams"):
     importlib.import_module(f"{__package__}.queries_{_module}")
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -21,9 +21,13 @@ def _pick(index: Column, *values) -> Column:
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Endpoint events: `event_id` is still text and may be malformed or unsupported."""
+    return telemetry_of(table(spark, sf, "events"))
+
+
+def telemetry_of(rows: DataFrame) -> DataFrame:
+    """Endpoint events from event rows: `event_id` is still text and may be malformed or unsupported."""
     k, uid = F.col("k"), F.col("user_id")
-    events = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     target = (F.when(k % 4 == 0, F.lit(""))
               .when(k % 4 == 1, F.concat(F.lit("C:/Users/u/AppData/f"), k, F.lit(".DAT")))
               .when(k % 4 == 2, F.concat(F.lit("C:\\Temp\\f"), k, F.lit("."), F.col("event_type")))
