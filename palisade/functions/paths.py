@@ -15,15 +15,15 @@ def normalize_path(path: Column) -> Column:
     return F.lower(F.translate(F.coalesce(path.cast("string"), F.lit("")), "/", "\\"))
 
 
-def is_suspicious_path(path: Column) -> Column:
+def is_suspicious_path(path: Column, normalized: bool = False) -> Column:
     """1 when the normalised path crosses a user-writable folder, else 0."""
-    norm = normalize_path(path)
+    norm = path if normalized else normalize_path(path)
     return reduce(Column.__or__, (F.contains(norm, F.lit(f)) for f in SUSPICIOUS_FOLDERS)).cast("int")
 
 
-def file_extension(path: Column) -> Column:
+def file_extension(path: Column, normalized: bool = False) -> Column:
     """Alphanumeric suffix of at most 12 characters, else empty."""
-    return F.regexp_extract(normalize_path(path), r"\.([a-z0-9]{1,12})$", 1)
+    return F.regexp_extract(path if normalized else normalize_path(path), r"\.([a-z0-9]{1,12})$", 1)
 
 
 def short_extension(path: Column) -> Column:

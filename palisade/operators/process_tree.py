@@ -18,7 +18,7 @@ def process_tree_closure(processes: DataFrame, roots: DataFrame, max_depth: int
     frontier with the edges, checkpointed so the lineage stays short; known processes are left out, which
     also ends cycles. The loop runs once per tree level.
     """
-    edges = processes.filter(F.col("parent_pid").isNotNull()).select("pid", "parent_pid").distinct()
+    edges = durable(processes.filter(F.col("parent_pid").isNotNull()).select("pid", "parent_pid").distinct())
     level = durable(roots.select("pid").distinct().withColumn("depth", F.lit(0)))
     reached = level
     for depth in range(1, max_depth + 1):

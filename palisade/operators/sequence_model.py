@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sigmoid
 from ..schemas import SEQUENCE_LENGTH
+from ..session import durable
 from .models import Scaler, fit_scaler, train_logistic
 from .sequences import ORDER, seq_pooling
 
@@ -37,7 +38,7 @@ def train_sequence(train: DataFrame, features: Sequence[str], group: Sequence[st
                    order: Sequence[str] = ORDER, length: int = SEQUENCE_LENGTH) -> SequenceModel:
     """Scale windows, pool each row's sequence and fit the logistic layer on the row's label."""
     scaler = fit_scaler(train, features)
-    pooled = seq_pooling(scaler.transform(train), features, group, length, order)
+    pooled = durable(seq_pooling(scaler.transform(train.select("label", *group, *order, *features)), features, group, length, order))
     names = [f"{kind}_{f}" for kind in ("mean", "max") for f in features]
     layer = train_logistic(pooled, names)
     inner = [c / d for c, d in zip(layer.coefficients, layer.scaler.deviation)]  # fold the layer's own scaling

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import file_extension, is_suspicious_path, path_lineage
+from ..functions import file_extension, is_suspicious_path, normalize_path, path_lineage
 from ..schemas import (EVENT_IDS, FILE_EVENT_IDS, NETWORK_EVENT_IDS, RAW_REPRESENTATION, REGISTRY_EVENT_IDS,
                        WINDOW_KEY, WINDOW_SECONDS, ZERO_GUID)
 
@@ -36,57 +36,90 @@ def process_key() -> Column:
 def event_filter(df: DataFrame, event_ids: Iterable[int] = EVENT_IDS) -> DataFrame:
     """Supported events that have a timestamp and a process identifier; ``event_id`` becomes an int."""
     def given(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string") != "", F.lit(False))
+        value = F.col(name)
+        return F.coalesce(value != "", F.lit(False)) if df.schema[name].dataType.typeName() == "string" else value.isNotNull()
     return (df.withColumn("event_id", F.col("event_id").try_cast("int"))
             .filter(F.col("event_id").isin(*event_ids) & given("timestamp")
                     & (given("process_guid") | given("process_id"))))
 
 
-def window_aggregates(distinct: Callable = F.countDistinct) -> list[Column]:
-    """The 17 behavioural features of one window; ``distinct`` counts different non-null values."""
-    def some(name: str) -> Column:
-        return F.nullif(F.col(name), F.lit(""))
+def windowed_rows(events: DataFrame) -> DataFrame:
+    """Events with the derived columns that windows group and count."""
+    rows = conform_columns(coerce_timestamps(events)).withColumns(
+        {"process_key": process_key(), "_path": normalize_path(F.col("target_filename"))})
+    return rows.withColumns({"extension": file_extension(F.col("_path"), normalized=True),
+                             "suspicious": is_suspicious_path(F.col("_path"), normalized=True)}).drop("_path")
+
 
-    def hits(ids: Iterable[int]) -> Column:
-        return F.count_if(F.col("event_id").isin(*ids))
+# What one event contributes to its window: its id, a suspicious path, and values that count once per window.
+DISTINCT_FACTS = {"unique_images": "image", "unique_files": "target_filename", "unique_extensions": "extension",
+                  "unique_destination_ips": "destination_ip"}
 
+
+def window_facts(rows: DataFrame, by: Sequence[str], keep: Sequence[str] = (), identity: str | None = None) -> DataFrame:
+    """Events as narrow (kind, value) rows; empty values other than the image give none.
+
+    ``keep`` columns stay on the row that stands for the event itself; ``identity`` stays on the rows that are
+    counted per event, so that events can be told apart.
+    """
+    def present(column: str) -> Column:
+        return F.col(column) if column == "image" else F.nullif(F.col(column), F.lit(""))
+
+    def fact(kind: str, value: Column) -> Column:
+        kept = [F.when(F.lit(kind == "event"), F.col(c)).alias(c) for c in keep]
+        if identity:
+            kept.append(F.when(F.lit(kind in ("event", "suspicious")), F.col(identity)).alias(identity))
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), *kept)
+    facts = [fact("event", F.coalesce(F.col("event_id").cast("string"), F.lit(""))),
+             fact("suspicious", F.when(F.col("suspicious") == 1, "")),
+             *(fact(kind, present(c)) for kind, c in DISTINCT_FACTS.items())]
+    return (rows.select(*by, F.explode(F.array(*facts)).alias("f")).select(*by, "f.*")
+            .filter(F.col("value").isNotNull()))
+
+
+def window_totals(n: Column) -> list[Column]:
+    """The 17 behavioural features of one window from its facts, each standing for ``n`` events."""
+    kind, value = F.col("kind"), F.col("value")
+
+    def events(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("long"))
+
+    def ids(chosen: Iterable[int]) -> Column:
+        return events((kind == "event") & value.isin(*(str(i) for i in chosen)))
     return [
-        F.count(F.lit(1)).alias("event_count"),
-        distinct(F.col("image")).alias("unique_images"),
-        distinct(some("target_filename")).alias("unique_files"),
-        distinct(some("extension")).alias("unique_extensions"),
-        distinct(some("destination_ip")).alias("unique_destination_ips"),
-        F.sum(F.col("suspicious").cast("long")).alias("suspicious_path_count"),
-        hits(FILE_EVENT_IDS).alias("file_activity_count"),
-        hits(REGISTRY_EVENT_IDS).alias("registry_activity_count"),
-        hits(NETWORK_EVENT_IDS).alias("network_activity_count"),
-        *(hits([i]).alias(f"event_{i}_count") for i in EVENT_IDS),
+        events(kind == "event").alias("event_count"),
+        *(F.count_if(kind == k).alias(k) for k in DISTINCT_FACTS),
+        events(kind == "suspicious").alias("suspicious_path_count"),
+        ids(FILE_EVENT_IDS).alias("file_activity_count"), ids(REGISTRY_EVENT_IDS).alias("registry_activity_count"),
+        ids(NETWORK_EVENT_IDS).alias("network_activity_count"),
+        *(ids([i]).alias(f"event_{i}_count") for i in EVENT_IDS),
     ]
 
 
-def windowed_rows(events: DataFrame) -> DataFrame:
-    """Events with the derived columns that windows group and count."""
-    return (conform_columns(coerce_timestamps(events))
-            .withColumn("process_key", process_key())
-            .withColumn("extension", file_extension(F.col("target_filename")))
-            .withColumn("suspicious", is_suspicious_path(F.col("target_filename"))))
+def count_features(rows: DataFrame, by: Sequence[str], extra: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Behavioural features per group, exact and in two steps.
+
+    Equal facts are counted first, spread over (group, kind, value), so a busy group is combined before its
+    rows meet, and the second step handles one row per different value. ``extra`` maps a name to
+    (min | max | sum, column).
+    """
+    extra = extra or {}
+    columns = sorted({c for _, c in extra.values()})
+    apply = {"min": F.min, "max": F.max, "sum": F.sum}
+    counted = window_facts(rows, by, columns).groupBy(*by, "kind", "value").agg(
+        F.count(F.lit(1)).alias("_n"), *(apply[how](c).alias(f"_{name}") for name, (how, c) in extra.items()))
+    return counted.groupBy(*by).agg(*window_totals(F.col("_n")),
+                                    *(apply[how](f"_{name}").alias(name) for name, (how, _) in extra.items()))
 
 
 def process_windows(events: DataFrame, window_seconds: int = WINDOW_SECONDS, slide_seconds: int | None = None,
-                    extra: Iterable[Column] = (), by: Iterable[str] = ()) -> DataFrame:
-    """One row per computer, process and UTC time window.
-
-    Distinct counts use Spark's two-step distinct aggregation, so a single busy window is still
-    split by value before it meets in one task.
-    """
+                    extra: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row per computer, process and UTC time window."""
     if window_seconds <= 0:
         raise ValueError("window_seconds must be positive")
-    span = F.window("timestamp", f"{window_seconds} seconds",
-                    f"{slide_seconds} seconds" if slide_seconds else None)
-    grouped = windowed_rows(events).groupBy("computer", "process_key", *by, span.alias("_w"))
-    out = grouped.agg(*window_aggregates(), *extra)
-    lead = [*WINDOW_KEY[:2], F.col("_w.start").alias("window_start")]
-    return out.select(*lead, *(c for c in out.columns if c not in (*WINDOW_KEY, "_w")))
+    span = F.window("timestamp", f"{window_seconds} seconds", f"{slide_seconds} seconds" if slide_seconds else None)
+    rows = windowed_rows(events).withColumn("window_start", span.getField("start"))
+    return count_features(rows, WINDOW_KEY, extra)
 
 
 def label_windows(windows: DataFrame, label: int, source_kind: str, source: Column,

@@ -53,17 +53,19 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
                      seed: int = 42) -> DataFrame:
     """Leave each attack scenario out of training and measure on it plus a benign sample.
 
-    The loop runs over scenario names only; every fit and measurement inside it is distributed.
+    The loop runs over scenario names only; every fit and measurement inside it is distributed. A scenario that
+    leaves a part with one class keeps its name and has no figures.
     """
     rows = durable(windows.select(key, "label", "scenario", *features))
     names = [r[0] for r in S.attack_scenarios(rows).orderBy("scenario").collect()]
     if len(names) < 2:
         raise ValueError("Need at least 2 attack scenarios for held-out evaluation.")
-    parts = []
+    parts = [rows.sparkSession.createDataFrame([], "held_out string")]
     for name in names:
         marked = S.holdout_assignment(rows, name, key, seed)
         train, test = marked.filter("part = 'train'"), marked.filter("part = 'test'")
         if not (S.label_profile(train).first()["valid"] and S.label_profile(test).first()["valid"]):
+            parts.append(rows.sparkSession.createDataFrame([(name,)], "held_out string"))
             continue
         scored = risk_score(test, train_logistic(train, features), threshold=0.5)
         sizes = test.agg(F.count_if(F.col("label") == 1).alias("test_attack_windows"),
@@ -71,7 +73,7 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
         figures = Q.binary_metrics(scored.withColumn("held_out", F.lit(name)), group=("held_out",))
         area = Q.roc_auc(scored.withColumn("held_out", F.lit(name)), group=("held_out",))
         parts.append(figures.join(area, "held_out").withColumns({k: F.lit(v) for k, v in sizes.asDict().items()}))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def score_and_publish(windows: DataFrame, models: Baseline, folder: str, signing_key: str,

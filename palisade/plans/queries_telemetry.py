@@ -9,7 +9,7 @@ from ..operators import counts, sequences, serving
 from ..operators import episodes as E
 from ..operators import telemetry as T
 from ..operators import vectors as M
-from ..schemas import WINDOW_FEATURES, WINDOW_KEY
+from ..schemas import EVENT_IDS, WINDOW_FEATURES, WINDOW_KEY
 from . import views as V
 from .checks import over
 from .registry import query
@@ -38,7 +38,7 @@ SELECT computer, count(*) AS event_count,
 FROM wrows GROUP BY computer"""))
 def event_type_counts(spark, sf):
     events = T.windowed_rows(T.event_filter(V.telemetry(spark, sf)))
-    return events.groupBy("computer").agg(*(c for c in T.window_aggregates()[:1] + T.window_aggregates()[-8:]))
+    return T.count_features(events, ("computer",)).select("computer", "event_count", *(f"event_{i}_count" for i in EVENT_IDS))
 
 
 @query("activity_counts", over("wrows", r"""
@@ -49,7 +49,8 @@ SELECT process_key, count(*) FILTER (event_id IN (11, 23, 26)) AS file_activity_
 FROM wrows GROUP BY process_key"""))
 def activity_counts(spark, sf):
     events = T.windowed_rows(T.event_filter(V.telemetry(spark, sf)))
-    return events.groupBy("process_key").agg(*T.window_aggregates()[5:9])
+    return T.count_features(events, ("process_key",)).select(
+        "process_key", "file_activity_count", "registry_activity_count", "network_activity_count", "suspicious_path_count")
 
 
 @query("distinct_counts", over("wrows", r"""
@@ -58,7 +59,7 @@ SELECT computer, count(DISTINCT image) AS unique_images, count(DISTINCT nullif(t
   count(DISTINCT nullif(destination_ip, '')) AS unique_destination_ips FROM wrows GROUP BY computer"""))
 def distinct_counts(spark, sf):
     events = T.windowed_rows(T.event_filter(V.telemetry(spark, sf)))
-    return events.groupBy("computer").agg(*T.window_aggregates()[1:5])
+    return T.count_features(events, ("computer",)).select("computer", *T.DISTINCT_FACTS)
 
 
 COUNT_STREAM = r"""WITH stream AS (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,

@@ -65,12 +65,11 @@ def scored(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:
     All rows of one process share their user, so lineage is constant within a window up to the
     processes without a GUID, where the smallest value is taken.
     """
-    facts = (F.round(F.max("risk"), 6).alias("risk_score"),
-             F.round(F.min("risk") - 0.3, 6).alias("anomaly_score"),
-             F.min("source").alias("source"), F.max("label").alias("label"),
-             F.min("scenario").alias("scenario"), F.min("technique_id").alias("technique_id"),
-             F.min("row_id").alias("window_id"))
-    return process_windows(event_filter(telemetry(spark, sf)), seconds, extra=facts)
+    lineage = {"risk_score": ("max", "risk"), "anomaly_score": ("min", "risk"), "source": ("min", "source"),
+               "label": ("max", "label"), "scenario": ("min", "scenario"), "technique_id": ("min", "technique_id"),
+               "window_id": ("min", "row_id")}
+    rows = process_windows(event_filter(telemetry(spark, sf)), seconds, extra=lineage)
+    return rows.withColumns({"risk_score": F.round("risk_score", 6), "anomaly_score": F.round(F.col("anomaly_score") - 0.3, 6)})
 
 
 def presence(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,9 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions import benign_technique, low_activity, pid_from_key
 from ..operators.sequence_model import SequenceModel
-from ..operators.telemetry import event_filter, windowed_rows
-from ..schemas import (ALERT_THRESHOLD, EVENT_IDS, FILE_EVENT_IDS, NETWORK_EVENT_IDS, REGISTRY_EVENT_IDS,
-                       RESET_THRESHOLD, SILENCE_SECONDS, WARNING_THRESHOLD, WINDOW_SECONDS)
+from ..operators.telemetry import event_filter, window_facts, window_totals, windowed_rows
+from ..schemas import ALERT_THRESHOLD, RESET_THRESHOLD, SILENCE_SECONDS, WARNING_THRESHOLD, WINDOW_SECONDS
 
 EVENT_KEY = ("timestamp", "event_id", "process_id")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,34 +49,13 @@ def stream_process_windows(events: DataFrame, delay: str, window_seconds: int =
     Same filter and features as the batch job. Re-read events share their fact and so count once.
     """
     rows = (windowed_rows(event_filter(events.withWatermark("timestamp", delay)))
-            .withColumn("w", F.window("timestamp", f"{window_seconds} seconds")))
-    event_id = F.col("event_id")
-
-    def fact(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"),
-                        F.when(F.lit(kind == "event"), event_id).alias("event_id"),
-                        F.when(F.lit(kind == "event"), F.col("suspicious")).alias("suspicious"))
-    present = F.array(
-        fact("event", F.concat_ws(":", *(F.col(k).cast("string") for k in EVENT_KEY))), fact("image", F.col("image")),
-        fact("file", F.col("target_filename")), fact("extension", F.col("extension")), fact("ip", F.col("destination_ip")))
-    facts = F.filter(present, lambda f: (f["value"] != "") | (f["kind"] == "image"))
-    long = rows.select("computer", "process_key", "w", F.explode(facts).alias("f")).select("computer", "process_key", "w", "f.*")
-    # the event id and flag follow from the event's key, so they need not be part of it
-    distinct = long.dropDuplicates(["computer", "process_key", "w", "kind", "value"])
-
-    def kinds(kind: str) -> Column:
-        return F.count_if(F.col("kind") == kind)
-
-    def hits(ids: Sequence[int]) -> Column:
-        return F.count_if(event_id.isin(*ids))
-    windows = distinct.groupBy("computer", "process_key", "w").agg(
-        kinds("event").alias("event_count"), kinds("image").alias("unique_images"), kinds("file").alias("unique_files"),
-        kinds("extension").alias("unique_extensions"), kinds("ip").alias("unique_destination_ips"),
-        F.sum("suspicious").alias("suspicious_path_count"), hits(FILE_EVENT_IDS).alias("file_activity_count"),
-        hits(REGISTRY_EVENT_IDS).alias("registry_activity_count"), hits(NETWORK_EVENT_IDS).alias("network_activity_count"),
-        *(hits([i]).alias(f"event_{i}_count") for i in EVENT_IDS))
+            .withColumns({"w": F.window("timestamp", f"{window_seconds} seconds"),
+                          "event_key": F.concat_ws(":", *(F.col(k).cast("string") for k in EVENT_KEY))}))
+    key = ("computer", "process_key", "w")
+    distinct = window_facts(rows, key, identity="event_key").dropDuplicates([*key, "kind", "value", "event_key"])
+    windows = distinct.groupBy(*key).agg(*window_totals(F.lit(1).cast("long")))
     return windows.select("computer", "process_key", F.col("w.start").alias("window_start"),
-                          *(c for c in windows.columns if c not in ("computer", "process_key", "w")))
+                          *(c for c in windows.columns if c not in key))
 
 
 def late_rows(query: StreamingQuery) -> int:
