@@ -55,12 +55,12 @@ def stream_process_windows(spark, sf):
 
 @query("late_data")
 def late_data(spark, sf):
-    """Newer half of the events first, older half second: the older rows come behind the watermark."""
+    """Two newer quarters of the events first, the older half last: it comes behind the watermark."""
     events = V.table(spark, sf, "events")
-    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    marks = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-15", "2024-01-22")]
     folder = scratch_path(spark, "late")
-    events.filter(F.col("ts") >= middle).coalesce(1).write.parquet(folder)
-    events.filter(F.col("ts") < middle).coalesce(1).write.mode("append").parquet(folder)
+    for part in ((F.col("ts") >= marks[0]) & (F.col("ts") < marks[1]), F.col("ts") >= marks[1], F.col("ts") < marks[0]):
+        events.filter(part).coalesce(1).write.mode("append").parquet(folder)
     raw = live.event_stream(spark, folder, events.schema, files_per_trigger=1)
     rows = V.telemetry_of(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     path = scratch_path(spark, "late-windows")
