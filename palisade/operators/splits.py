@@ -44,12 +44,20 @@ def leakage(df: DataFrame) -> DataFrame:
 
 
 def temporal_split(df: DataFrame, kind: str, date: str, key: str = "sample_id", share: float = TEST_SHARE) -> DataFrame:
-    """Per class, the newest share of rows for testing and the rest for training; the key breaks ties."""
-    ranked = row_numbered(df, (kind,), (F.desc_nulls_last(date), F.desc(key)), "_rn")
+    """Per class, the newest share of rows for testing and the rest for training; the key breaks ties.
+
+    Only class, date and key are ranked; the last test row of each class (one row per class) then splits the
+    full rows by comparison.
+    """
+    ranked = row_numbered(df.select(kind, date, key), (kind,), (F.desc_nulls_last(date), F.desc(key)), "_rn")
     quota = class_test_quota(df, kind, share).select(F.col(kind).alias("_kind"), "test")
-    return (ranked.join(quota, F.col(kind).eqNullSafe(F.col("_kind")))
-            .withColumn("split", F.when(F.col("_rn") <= F.col("test"), "test").otherwise("train"))
-            .drop("_rn", "_kind", "test"))
+    cuts = (ranked.join(quota, F.col(kind).eqNullSafe(F.col("_kind"))).filter(F.col("_rn") == F.col("test"))
+            .select("_kind", F.col(date).alias("_date"), F.col(key).alias("_key")))
+    same_day = F.col(date).eqNullSafe(F.col("_date")) & (F.col(key) >= F.col("_key"))
+    newer = (F.col(date) > F.col("_date")) | (F.col("_date").isNull() & F.col(date).isNotNull())
+    held = F.col("_key").isNotNull() & F.coalesce(newer | same_day, F.lit(False))
+    return (df.join(cuts, F.col(kind).eqNullSafe(F.col("_kind")), "left")
+            .withColumn("split", F.when(held, "test").otherwise("train")).drop("_kind", "_date", "_key"))
 
 
 def split_report(df: DataFrame) -> DataFrame:
@@ -91,11 +99,11 @@ def guard_labels(df: DataFrame) -> None:
         raise ValueError("Training requires labelled benign (0) and attack (1) windows.")
 
 
-def smallest_by_order(df: DataFrame, key: str, size: int, total: int, seed: int) -> DataFrame:
-    """The ``size`` rows of ``df`` that come first in seeded order, as keys.
+def order_cutoff(df: DataFrame, key: str, size: int, total: int, seed: int):
+    """The ``size``-th (order, key) of ``df`` in seeded order, or None when there are fewer rows.
 
-    Hashes are uniform, so rows below a hash limit a little above ``size / total`` hold them all; only those
-    are ranked. Should the limit ever let too few through, all rows are ranked.
+    Hashes are uniform, so rows below a hash limit a little above ``size / total`` hold the wanted one; only
+    those are ranked. Should the limit ever let too few through, all rows are ranked.
     """
     hashed = df.select(key, seeded_order(F.col(key), seed).alias("_order"))
     share = (size + 10 * size ** 0.5 + 10) / max(total, 1)
@@ -103,21 +111,30 @@ def smallest_by_order(df: DataFrame, key: str, size: int, total: int, seed: int)
         below = hashed.filter(F.col("_order") < f"{int(share * (1 << 60)):015x}")
         if below.count() >= size:
             hashed = below
-    return row_numbered(hashed, (), ("_order", key), "_rn").filter(F.col("_rn") <= size).select(key)
+    return row_numbered(hashed, (), ("_order", key), "_rn").filter(F.col("_rn") == size).select("_order", key).first()
+
+
+def first_in_order(key: str, seed: int, cutoff) -> Column:
+    """Whether a row comes no later than the cutoff in seeded order."""
+    order = seeded_order(F.col(key), seed)
+    return (order < cutoff[0]) | ((order == cutoff[0]) & (F.col(key) <= cutoff[1]))
 
 
 def holdout_assignment(df: DataFrame, scenario: str, key: str, seed: int = 42) -> DataFrame:
     """Rows with ``part``: the held-out scenario and a benign sample are for testing, the rest for training.
 
-    The benign sample has ``min(all, max(attack rows of the scenario, 500))`` rows in seeded order.
+    The benign sample has ``min(all, max(attack rows of the scenario, 500))`` rows in seeded order; one row, its
+    last, comes to the driver and the sample is a filter.
     """
-    counts = df.agg(F.count_if(F.col("label") == 0).alias("b"),
+    benign = F.col("label") == 0
+    counts = df.agg(F.count_if(benign).alias("b"),
                     F.count_if((F.col("label") == 1) & (F.col("scenario") == scenario)).alias("a")).first()
-    size = min(counts["b"], max(counts["a"], MIN_HOLDOUT_BENIGN))
-    drawn = smallest_by_order(df.filter(F.col("label") == 0), key, size, counts["b"], seed)
-    marked = df.join(drawn.withColumn("_drawn", F.lit(True)), key, "left")
-    held = ((F.col("label") == 1) & F.col("scenario").eqNullSafe(F.lit(scenario))) | F.col("_drawn").isNotNull()
-    return marked.withColumn("part", F.when(held, "test").otherwise("train")).drop("_drawn")
+    size = max(counts["a"], MIN_HOLDOUT_BENIGN)
+    drawn = benign
+    if size < counts["b"]:
+        drawn = benign & first_in_order(key, seed, order_cutoff(df.filter(benign), key, size, counts["b"], seed))
+    held = ((F.col("label") == 1) & F.col("scenario").eqNullSafe(F.lit(scenario))) | drawn
+    return df.withColumn("part", F.when(held, "test").otherwise("train"))
 
 
 def attack_scenarios(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import file_extension, is_suspicious_path, normalize_path, path_lineage
-from ..schemas import (EVENT_IDS, FILE_EVENT_IDS, NETWORK_EVENT_IDS, RAW_REPRESENTATION, REGISTRY_EVENT_IDS,
+from ..schemas import (EVENT_IDS, FILE_EVENT_IDS, NETWORK_EVENT_IDS, RAW_REPRESENTATION, REGISTRY_EVENT_IDS, WINDOW_FEATURES,
                        WINDOW_KEY, WINDOW_SECONDS, ZERO_GUID)
 
 _WINDOW_TEXT = ("computer", "process_guid", "process_id", "image", "target_filename", "target_object",
@@ -62,38 +62,29 @@ def window_facts(rows: DataFrame, by: Sequence[str], keep: Sequence[str] = (), i
     ``keep`` columns stay on the row that stands for the event itself; ``identity`` stays on the rows that are
     counted per event, so that events can be told apart.
     """
-    def present(column: str) -> Column:
-        return F.col(column) if column == "image" else F.nullif(F.col(column), F.lit(""))
-
-    def fact(kind: str, value: Column) -> Column:
-        kept = [F.when(F.lit(kind == "event"), F.col(c)).alias(c) for c in keep]
+    def fact(kind: str, value: str) -> str:
+        kept = [f"if({kind == 'event'}, `{c}`, null) AS `{c}`" for c in keep]
         if identity:
-            kept.append(F.when(F.lit(kind in ("event", "suspicious")), F.col(identity)).alias(identity))
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), *kept)
-    facts = [fact("event", F.coalesce(F.col("event_id").cast("string"), F.lit(""))),
-             fact("suspicious", F.when(F.col("suspicious") == 1, "")),
-             *(fact(kind, present(c)) for kind, c in DISTINCT_FACTS.items())]
-    return (rows.select(*by, F.explode(F.array(*facts)).alias("f")).select(*by, "f.*")
+            kept.append(f"if({kind in ('event', 'suspicious')}, {identity}, null) AS {identity}")
+        return f"struct({', '.join([f'{kind!r} AS kind', f'{value} AS value', *kept])})"
+    facts = [fact("event", "coalesce(string(event_id), '')"), fact("suspicious", "if(suspicious = 1, '', null)"),
+             *(fact(kind, c if c == "image" else f"nullif({c}, '')") for kind, c in DISTINCT_FACTS.items())]
+    return (rows.select(*by, F.expr(f"explode(array({', '.join(facts)})) AS f")).select(*by, "f.*")
             .filter(F.col("value").isNotNull()))
 
 
-def window_totals(n: Column) -> list[Column]:
+def window_totals(n: str) -> list[Column]:
     """The 17 behavioural features of one window from its facts, each standing for ``n`` events."""
-    kind, value = F.col("kind"), F.col("value")
-
-    def events(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("long"))
+    def events(condition: str) -> str:
+        return f"coalesce(sum(if({condition}, {n}, null)), 0L)"
 
-    def ids(chosen: Iterable[int]) -> Column:
-        return events((kind == "event") & value.isin(*(str(i) for i in chosen)))
-    return [
-        events(kind == "event").alias("event_count"),
-        *(F.count_if(kind == k).alias(k) for k in DISTINCT_FACTS),
-        events(kind == "suspicious").alias("suspicious_path_count"),
-        ids(FILE_EVENT_IDS).alias("file_activity_count"), ids(REGISTRY_EVENT_IDS).alias("registry_activity_count"),
-        ids(NETWORK_EVENT_IDS).alias("network_activity_count"),
-        *(ids([i]).alias(f"event_{i}_count") for i in EVENT_IDS),
-    ]
+    def ids(chosen: Iterable[int]) -> str:
+        return events("kind = 'event' AND value IN (%s)" % ", ".join(f"'{i}'" for i in chosen))
+    totals = {"event_count": events("kind = 'event'"), **{k: f"count_if(kind = '{k}')" for k in DISTINCT_FACTS},
+              "suspicious_path_count": events("kind = 'suspicious'"), "file_activity_count": ids(FILE_EVENT_IDS),
+              "registry_activity_count": ids(REGISTRY_EVENT_IDS), "network_activity_count": ids(NETWORK_EVENT_IDS),
+              **{f"event_{i}_count": ids([i]) for i in EVENT_IDS}}
+    return [F.expr(f"{totals[f]} AS {f}") for f in WINDOW_FEATURES]
 
 
 def count_features(rows: DataFrame, by: Sequence[str], extra: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -108,7 +99,7 @@ def count_features(rows: DataFrame, by: Sequence[str], extra: Mapping[str, tuple
     apply = {"min": F.min, "max": F.max, "sum": F.sum}
     counted = window_facts(rows, by, columns).groupBy(*by, "kind", "value").agg(
         F.count(F.lit(1)).alias("_n"), *(apply[how](c).alias(f"_{name}") for name, (how, c) in extra.items()))
-    return counted.groupBy(*by).agg(*window_totals(F.col("_n")),
+    return counted.groupBy(*by).agg(*window_totals("_n"),
                                     *(apply[how](f"_{name}").alias(name) for name, (how, _) in extra.items()))
 
 

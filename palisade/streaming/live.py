@@ -53,7 +53,7 @@ def stream_process_windows(events: DataFrame, delay: str, window_seconds: int =
                           "event_key": F.concat_ws(":", *(F.col(k).cast("string") for k in EVENT_KEY))}))
     key = ("computer", "process_key", "w")
     distinct = window_facts(rows, key, identity="event_key").dropDuplicates([*key, "kind", "value", "event_key"])
-    windows = distinct.groupBy(*key).agg(*window_totals(F.lit(1).cast("long")))
+    windows = distinct.groupBy(*key).agg(*window_totals("1L"))
     return windows.select("computer", "process_key", F.col("w.start").alias("window_start"),
                           *(c for c in windows.columns if c not in key))
 

@@ -117,6 +117,18 @@ def test_episodes_follow_the_state_machine(spark):
 
 def test_holdout_sample_is_exact_either_way(spark):
     rows = spark.range(5000).withColumnRenamed("id", "key")
-    few = splits.smallest_by_order(rows, "key", 40, 5000, 42)
-    ranked = rows.withColumn("o", splits.seeded_order(F.col("key"), 42)).orderBy("o").limit(40)
-    assert {r["key"] for r in few.collect()} == {r["key"] for r in ranked.collect()}
+    ranked = [r["key"] for r in rows.withColumn("o", splits.seeded_order(F.col("key"), 42)).orderBy("o").limit(4000).collect()]
+    for size in (40, 4000):  # few rows are found below a hash limit, many by ranking all
+        cutoff = splits.order_cutoff(rows, "key", size, 5000, 42)
+        few = rows.filter(splits.first_in_order("key", 42, cutoff))
+        assert {r["key"] for r in few.collect()} == set(ranked[:size])
+
+
+def test_temporal_split_with_ties_and_missing_dates(spark):
+    frame = pd.DataFrame({"sample_id": range(100), "k": [0] * 60 + [1] * 38 + [2] * 2, "d": [None if i % 3 == 0 else f"2020-01-0{1 + i % 2}" for i in range(100)]})
+    got = splits.temporal_split(spark.createDataFrame(frame, "sample_id long, k int, d string"), "k", "d").toPandas()
+    for k, quota in ((0, 12), (1, 8), (2, 0)):
+        part = got[got.k == k].sort_values(["d", "sample_id"], ascending=False, na_position="last")
+        assert part["split"].tolist() == ["test"] * quota + ["train"] * (len(part) - quota)
+    hidden = splits.temporal_split(spark.createDataFrame(frame.assign(d=None), "sample_id long, k int, d string"), "k", "d")
+    assert {r["sample_id"] for r in hidden.filter("split = 'test' AND k = 0").collect()} == set(range(48, 60))
