@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sigmoid
 from ..schemas import ALERT_THRESHOLD
-from .splits import seeded_order
+from .quality import multiclass_metrics
 from .vectors import align_to_model, assemble
 
 # Fixed values of the anomaly model.
@@ -212,24 +212,51 @@ def anomaly_score(df: DataFrame, forest: IsolationForest, name: str = "anomaly_s
 
 # ---- behaviour-matrix models -------------------------------------------------------------------
 
-def rfe(train: DataFrame, features: Sequence[str], keep: int, step: float = 0.1, max_iter: int = 100,
-        c: float = 1.0) -> list[str]:
-    """Recursive elimination: refit, drop the weakest squared coefficients, until ``keep`` remain.
+def rfe_path(train: DataFrame, features: Sequence[str], keeps: Sequence[int], step: float = 0.1, max_iter: int = 100,
+             c: float = 1.0) -> dict[int, list[str]]:
+    """Recursive elimination: refit, drop the weakest squared coefficients, until few enough remain.
 
-    Each round drops ``step`` of the original number of features; every fit is a distributed job.
+    Each round drops ``step`` of the original number of features; every fit is a distributed job. All wanted sizes
+    share one path: a size is reached by a smaller last drop from the round before it.
     """
     rows = assemble(train, features, "all").select("all", F.col("label").cast("double").alias("label"))
     n = rows.count()
     left = list(range(len(features)))
     per_round = max(1, int(len(features) * step))
-    while len(left) > keep:
+    found = {k: list(features) for k in keeps if k >= len(left)}
+    open_sizes = sorted((k for k in keeps if k < len(left)), reverse=True)
+    while open_sizes:
         sliced = VectorSlicer(inputCol="all", outputCol="features", indices=left).transform(rows)
         fitted = LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter).fit(sliced)
-        weight = np.square(fitted.coefficientMatrix.toArray()).sum(axis=0)
-        drop = min(per_round, len(left) - keep)
-        weakest = set(np.argsort(weight, kind="stable")[:drop])
-        left = [f for i, f in enumerate(left) if i not in weakest]
-    return [features[i] for i in left]
+        weakest = np.argsort(np.square(fitted.coefficientMatrix.toArray()).sum(axis=0), kind="stable")
+
+        def without(count: int) -> list[int]:
+            gone = set(weakest[:count])
+            return [f for i, f in enumerate(left) if i not in gone]
+        while open_sizes and len(left) - open_sizes[0] <= per_round:
+            k = open_sizes.pop(0)
+            found[k] = [features[i] for i in without(len(left) - k)]
+        left = without(per_round)
+    return found
+
+
+def rfe(train: DataFrame, features: Sequence[str], keep: int, step: float = 0.1) -> list[str]:
+    """The ``keep`` features that survive recursive elimination."""
+    return rfe_path(train, features, [keep], step)[keep]
+
+
+def rfe_sweep(train: DataFrame, test: DataFrame, features: Sequence[str],
+              percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90)) -> DataFrame:
+    """Balanced accuracy on the test rows by percentage of features kept."""
+    sizes = {p: max(1, int(p / 100 * len(features))) for p in percentages}
+    kept = rfe_path(train, features, sorted(set(sizes.values())))
+    parts = []
+    for percent, size in sizes.items():
+        rows = [assemble(d, kept[size]).select("features", F.col("label").cast("double").alias("label")) for d in (train, test)]
+        predicted = LogisticRegression(maxIter=100).fit(rows[0]).transform(rows[1])
+        figure = multiclass_metrics(predicted, "label", "prediction", digits=6)
+        parts.append(figure.select(F.lit(percent).alias("percent"), F.lit(size).alias("features"), "balanced_accuracy"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def estimators(classes: int) -> dict[str, tuple[object, list]]:

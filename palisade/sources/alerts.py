@@ -28,20 +28,52 @@ def check_signatures(signed: DataFrame, key: str) -> DataFrame:
     return signed.withColumn("verified", F.when(F.col(SIGNATURE).isNull(), True).otherwise(F.coalesce(match, F.lit(False))))
 
 
-def write_alerts(alerts: DataFrame, path: str, key: str) -> str:
-    sign_alerts(alerts, key).write.mode("overwrite").json(path)
-    return path
+def set_signature(signed: DataFrame, key: str) -> DataFrame:
+    """One signed row for the whole table: number of alerts and an order-independent sum over their signatures."""
+    part = F.conv(F.substring(SIGNATURE, 1, 15), 16, 10).cast("long")
+    totals = signed.agg(F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.bit_xor(part), F.lit(0))).alias(CONTENT))
+    return totals.withColumn(SIGNATURE, hmac_sha256(F.col(CONTENT), key))
 
 
-def read_alerts(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Verified alerts; a missing table has no rows, a changed row fails the job."""
+def _manifest(path: str) -> str:
+    return path.rstrip("/") + ".manifest"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """JSON rows, or None when the path does not exist."""
     try:
-        signed = spark.read.schema(f"{CONTENT} string, {SIGNATURE} string").json(path)
+        return spark.read.schema(schema).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+
+
+def write_alerts(alerts: DataFrame, path: str, key: str) -> str:
+    """Signed alerts as JSON lines, and beside them the signature of the whole table."""
+    sign_alerts(alerts, key).write.mode("overwrite").json(path)
+    signed = alerts.sparkSession.read.schema(f"{CONTENT} string, {SIGNATURE} string").json(path)
+    set_signature(signed, key).write.mode("overwrite").json(_manifest(path))
+    return path
+
+
+def read_alerts(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Verified alerts; a missing table has no rows, legacy rows without signature pass as they are.
+
+    A changed row fails the job; rows removed from or added to a table with a manifest are refused at once.
+    """
+    rows = _read(spark, path, f"{CONTENT} string, {SIGNATURE} string, {schema}")
+    if rows is None:
         return spark.createDataFrame([], schema)
-    checked = check_signatures(signed.filter(F.col(CONTENT).isNotNull()), key)
+    manifest = _read(spark, _manifest(path), f"{CONTENT} string, {SIGNATURE} string")
+    if manifest is not None:
+        found = set_signature(rows.filter(F.col(SIGNATURE).isNotNull()), key).first()
+        if found[SIGNATURE] != manifest.first()[SIGNATURE]:
+            raise RuntimeError("Alert signature verification failed: rows were removed, added or replaced.")
+    checked = check_signatures(rows, key)
     trusted = F.when(F.col("verified"), F.col(CONTENT)).otherwise(
         F.raise_error(F.lit("Alert signature verification failed: the table was modified.")))
-    return checked.select(F.from_json(trusted, schema, {"mode": "FAILFAST"}).alias("a")).select("a.*")
+    own = F.struct(*(F.col(c) for c in rows.columns if c not in (CONTENT, SIGNATURE)))
+    legacy = F.col(CONTENT).isNull() & F.col(SIGNATURE).isNull()
+    alert = F.when(legacy, own).otherwise(F.from_json(trusted, schema, {"mode": "FAILFAST"}))
+    return checked.select(alert.alias("a")).select("a.*")

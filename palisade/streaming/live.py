@@ -247,7 +247,9 @@ class _Escalation(StatefulProcessor):
 
 def stream_escalation(scored: DataFrame) -> DataFrame:
     """Incident changes per host as scores arrive: opened with a status, or upgraded to ACTIVE."""
-    rows = scored.filter(F.col("risk_score").isNotNull()).select(
+    score = F.col("risk_score")
+    decisive = (score < RESET_THRESHOLD) | (score >= WARNING_THRESHOLD)  # scores in between change nothing
+    rows = scored.filter(decisive).select(
         "computer", "process_key", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "risk_score")
     out = rows.groupBy("computer").transformWithStateInPandas(
         _Escalation(), "computer string, episode bigint, change string, opened_us bigint, at_us bigint, risk_score double, status string",

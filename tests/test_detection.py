@@ -129,7 +129,13 @@ def test_rfe_keeps_the_telling_features(spark):
     x = rng.normal(size=(400, 8))
     y = (x[:, 2] + x[:, 5] > 0).astype(int)
     rows = spark.createDataFrame([(int(l), *map(float, v)) for l, v in zip(y, x)], "label int, " + ", ".join(f"f{i} double" for i in range(8)))
-    assert M.rfe(rows, [f"f{i}" for i in range(8)], keep=2) == ["f2", "f5"]
+    names = [f"f{i}" for i in range(8)]
+    assert M.rfe(rows, names, keep=2) == ["f2", "f5"]
+    path = M.rfe_path(rows, names, [2, 5, 8], step=0.3)
+    assert path[2] == ["f2", "f5"] and set(path[2]) < set(path[5]) < set(path[8]) == set(names)
+    assert path[5] == M.rfe(rows, names, keep=5, step=0.3)
+    sweep = M.rfe_sweep(rows, rows, names, (25, 100)).collect()
+    assert [(r["features"], r["balanced_accuracy"] > 0.95) for r in sweep] == [(2, True), (8, True)]
 
 
 def test_sequence_model_uses_history(spark):
@@ -184,6 +190,13 @@ def test_signed_alerts(spark, tmp_path):
     path = AL.write_alerts(rows, str(tmp_path / "alerts"), "key")
     assert sorted(AL.read_alerts(spark, path, "key", rows.schema.simpleString()[7:-1].replace(":", " ")).collect()) == sorted(rows.collect())
     assert AL.read_alerts(spark, str(tmp_path / "none"), "key", "computer string").count() == 0
+    legacy = spark.createDataFrame([('[{"computer":"old","risk_score":0.7}]',)], "value string")
+    legacy.write.text(str(tmp_path / "legacy"))
+    assert AL.read_alerts(spark, str(tmp_path / "legacy"), "key", "computer string, risk_score double").first() == ("old", 0.7)
+    AL.sign_alerts(rows.limit(1), "key").write.mode("overwrite").json(path)  # a row is gone, the manifest is not
+    with pytest.raises(RuntimeError, match="removed"):
+        AL.read_alerts(spark, path, "key", "computer string, risk_score double")
+    AL.write_alerts(rows, path, "key")
     spoiled = [json.loads(line) for f in (tmp_path / "alerts").glob("*.json") for line in f.read_text().splitlines()]
     spoiled[0]["payload"] = spoiled[0]["payload"].replace("0.9", "0.1")
     (tmp_path / "bad").mkdir()

@@ -66,6 +66,12 @@ def test_filter_and_process_key(spark):
     assert [(w["process_key"], w["event_count"], w["unique_files"]) for w in windows] == [("4:a", 2, 1)]
 
 
+def test_sliding_windows_overlap(spark):
+    rows = events(spark, [("2026-01-01 00:00:07", "11", "pc", "{1}", "4", "a", None)])
+    starts = T.process_windows(T.event_filter(rows), 10, slide_seconds=5).orderBy("window_start").collect()
+    assert [r["window_start"].second for r in starts] == [0, 5]
+
+
 def test_window_length_must_be_positive(spark):
     with pytest.raises(ValueError):
         T.process_windows(events(spark, []), 0)
