@@ -13,14 +13,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import durable, shuffle_partitions
+from ..session import durable
 
 _LOCAL = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
 def _placed(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     keys = [*(F.col(g) for g in group), *(F.col(o) if isinstance(o, str) else o for o in order)]
-    ranged = (df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_id", F.monotonically_increasing_id()))
     return (durable(ranged)
             .withColumn("_part", F.shiftright("_id", 33))

@@ -27,7 +27,8 @@ def _run(stream, label: str):
     """Run a stream to the end and read its table."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    live.append(stream, path, scratch_path(spark, f"{label}-state"), available_now=True).awaitTermination()
+    live.append(stream, path, scratch_path(spark, f"{label}-state"), available_now=True,
+                state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -64,7 +65,8 @@ def late_data(spark, sf):
     raw = live.event_stream(spark, folder, events.schema, files_per_trigger=1)
     rows = V.telemetry_of(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     path = scratch_path(spark, "late-windows")
-    run = live.append(live.stream_process_windows(rows, "1 hour", HOUR), path, scratch_path(spark, "late-state"), available_now=True)
+    run = live.append(live.stream_process_windows(rows, "1 hour", HOUR), path, scratch_path(spark, "late-state"), available_now=True,
+                      state_partitions=spark.sparkContext.defaultParallelism)
     run.awaitTermination()
     emitted = spark.read.schema("computer string, event_count bigint").parquet(path)
     return emitted.groupBy("computer").agg(F.sum("event_count").alias("events"), F.lit(live.late_rows(run)).alias("late_rows"))

@@ -29,11 +29,27 @@ def event_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet"
             .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write final rows as Parquet with exactly-once file commits."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+           state_partitions: int | None = None) -> StreamingQuery:
+    """Write final rows as Parquet with exactly-once file commits.
+
+    The number of state partitions is fixed by the first start of a checkpoint, so choose it for the cluster
+    (default: the session's shuffle partitions). The query keeps the settings it was started with.
+    """
+    conf = stream.sparkSession.conf
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if state_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {k: conf.get(k, None) for k in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
+    try:
+        writer = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+                  .option("checkpointLocation", checkpoint))
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 # ---- events and windows ------------------------------------------------------------------------
