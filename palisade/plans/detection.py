@@ -60,20 +60,21 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
     names = [r[0] for r in S.attack_scenarios(rows).orderBy("scenario").collect()]
     if len(names) < 2:
         raise ValueError("Need at least 2 attack scenarios for held-out evaluation.")
-    parts = [rows.sparkSession.createDataFrame([], "held_out string")]
+    parts = []
     for name in names:
         marked = S.holdout_assignment(rows, name, key, seed)
         train, test = marked.filter("part = 'train'"), marked.filter("part = 'test'")
-        if not (S.label_profile(train).first()["valid"] and S.label_profile(test).first()["valid"]):
-            parts.append(rows.sparkSession.createDataFrame([(name,)], "held_out string"))
-            continue
-        scored = risk_score(test, train_logistic(train, features), threshold=0.5)
-        sizes = test.agg(F.count_if(F.col("label") == 1).alias("test_attack_windows"),
-                         F.count_if(F.col("label") == 0).alias("test_benign_windows")).first()
-        figures = Q.binary_metrics(scored.withColumn("held_out", F.lit(name)), group=("held_out",))
-        area = Q.roc_auc(scored.withColumn("held_out", F.lit(name)), group=("held_out",))
-        parts.append(figures.join(area, "held_out").withColumns({k: F.lit(v) for k, v in sizes.asDict().items()}))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        classes = marked.groupBy("part").agg(F.countDistinct("label").alias("n")).filter("n = 2").count()
+        if classes == 2:
+            scored = risk_score(test, train_logistic(train, features), threshold=0.5)
+            parts.append(scored.select(F.lit(name).alias("held_out"), "label", "risk_score"))
+    report = rows.sparkSession.createDataFrame([(n,) for n in names], "held_out string")
+    if not parts:
+        return report
+    scored = reduce(DataFrame.unionByName, parts)
+    figures = Q.binary_metrics(scored, group=("held_out",)).join(Q.roc_auc(scored, group=("held_out",)), "held_out")
+    return (report.join(figures, "held_out", "left")
+            .withColumns({"test_attack_windows": F.col("tp") + F.col("fn"), "test_benign_windows": F.col("fp") + F.col("tn")}))
 
 
 def score_and_publish(windows: DataFrame, models: Baseline, folder: str, signing_key: str,
