@@ -9,8 +9,8 @@
 4. A comparison takes the signatures in batches. After each batch, a pair goes if the posterior probability that its similarity
    reaches the threshold (uniform prior) is below the miss probability. Survivors are confirmed on their full sets.
 
-Nothing is capped: a bucket of any size is compared whole. A link is missed only if no band agrees (about 1e-10 at the
-threshold with the default bands) or a Bayesian test errs (at most ``miss`` a pair).
+Nothing is capped: a bucket of any size is compared whole. A link is missed only if no band agrees (a chance of 2e-7 at the
+threshold with the default bands, far less above it) or a Bayesian test errs (at most ``miss`` a pair).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class NearDedup:
     words: int = 5
     percent: int = 85
     bands: int = 48
-    rows: int = 6
+    rows: int = 8
     batch: int = 32          # hashes looked at between two tests
     miss: float = 1e-6       # chance that the tests lose a pair at the threshold
     block: int = 512         # rows of a bucket that are compared together
@@ -132,7 +132,8 @@ def least_matches(n: int, percent: int, miss: float) -> int:
 
 def _tests(p: NearDedup) -> list[tuple[int, int, int]]:
     stops = [*range(p.batch, p.hashes, p.batch), p.hashes]
-    return [(a, b, least_matches(b, p.percent, p.miss / len(stops))) for a, b in zip([0, *stops], stops)]
+    early = 0.2 * p.miss / max(1, len(stops) - 1)  # the last test, the sharpest, may err most
+    return [(a, b, least_matches(b, p.percent, 0.8 * p.miss if b == p.hashes else early)) for a, b in zip([0, *stops], stops)]
 
 
 def _survivors(left: np.ndarray, right: np.ndarray, tests: list) -> np.ndarray:
