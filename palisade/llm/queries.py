@@ -4,34 +4,152 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
+from . import chat, language_id, language_model, merkle, surrogates, url_filter
 from .common import table
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .packing import pack
+from .topk import top_k
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents (by text, declared language and source) and all pages (by text, markup and address), judged together."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    none = F.lit(None).cast("long")
+    rows = docs.select("doc_id", none.alias("page_id"), F.col("lang").alias("declared"), F.col("source").alias("host"), "text").unionByName(
+        pages.select(none.alias("doc_id"), "page_id", language_id.page_language(F.col("html")).alias("declared"),
+                     url_filter.host_of(F.col("url")).alias("host"), language_id.page_text(F.col("html")).alias("text")))
+    return language_id.identify(rows, language_id.fit(docs))
+
+
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents"), corpus_pipeline.SURROGATE_KEY).select("doc_id", "text", "entities")
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    says = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(probe))
+
+
+_OP3 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(role) + length(regexp_replace(text, '<([\\|])', '<\\\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op4_mix_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"))
+
+
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"))
+
+
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op8_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, folder, "documents"))
+
+
+def _tree_sql(text: str) -> str:
+    """The sections of a text's tree, as in ``merkle.fingerprint``."""
+    cut = "string_split(regexp_replace(p, '([.!?][ \\t])', '\\1' || chr(1), 'g'), chr(1))"
+    leaf = "CASE WHEN x = '' THEN '' ELSE substr(sha256('l' || x), 1, 16) END"
+    lines = f"list_transform(string_split(s, chr(10)), lambda p: array_to_string(list_transform({cut}, lambda x: {leaf}), ','))"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: array_to_string({lines}, ';'))"
+
+
+def _mark_sql(tree: str) -> str:
+    paragraph = "list_transform(string_split(s, ';'), lambda p: substr(sha256('p' || p), 1, 16))"
+    section = f"substr(sha256('s' || array_to_string({paragraph}, ';')), 1, 16)"
+    return f"sha256('r' || array_to_string(list_transform({tree}, lambda s: {section}), '|')) || '|' || array_to_string({tree}, '|')"
+
+
+def _near_sql(a: str, b: str) -> str:
+    leaves = lambda x: f"list_distinct(list_filter(regexp_split_to_array(substr({x}, 66), '[|;,]'), lambda v: v <> ''))"
+    both = f"(len({leaves(a)}) + len({leaves(b)}))"
+    return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN 1.0::DOUBLE WHEN {both} = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({leaves(a)}, {leaves(b)})) / {both} END"
+
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS next_text,
+      length(text) AS n_chars FROM d),
+e AS (SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) AS edited FROM o),
+t AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_tree_sql("text")} AS a, {_tree_sql("edited")} AS b, {_tree_sql("next_text")} AS c FROM e),
+f AS (SELECT doc_id, n_chars, edited_sha256, {_mark_sql("a")} AS fingerprint, {_mark_sql("b")} AS edited_fingerprint, {_mark_sql("c")} AS next_fingerprint FROM t)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near_sql("fingerprint", "edited_fingerprint")} AS near_edited,
+       {_near_sql("fingerprint", "next_fingerprint")} AS near_next FROM f
+"""
+
+
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return language_model.score(table(spark, folder, "documents"), held_out)
+
+
+def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
 _OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
 r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_surrogates": op2_surrogates,
+    "op3_chat_format": op3_chat_format,
+    "op4_mix_to_weights": op4_mix_to_weights,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_url_filter": op7_url_filter,
+    "op8_merkle": op8_merkle,
+    "op9_language_model": op9_language_model,
+    "op10_pack": op10_pack,
+    "pipeline": corpus_pipeline.run,
 }
 
 CHECKS: dict[str, str] = {
+    "op3_chat_format": _OP3,
+    "op5_exact_top_k": _OP5,
     "op6_near_duplicates": _OP6,
+    "op8_merkle": _OP8,
 }
