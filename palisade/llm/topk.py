@@ -118,11 +118,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
         kind = np.float64 if small else np.int64
         tree = BallTree(_matrix(left.v, width).astype(kind), left.vec_id.to_numpy(), leaf)
         known = [None if pd.isna(s) else (int(s), int(i)) for s, i in zip(right.kth, right.kth_id)]
-        found = list(tree.search(_matrix(right.v, width).astype(kind), right.vec_id.to_numpy(), k, known))
+        found = list(tree.search(_matrix(right.q, width).astype(kind), right.query_id.to_numpy(), k, known))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     def searched(asked: DataFrame) -> DataFrame:
-        return here.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, _FOUND)
+        asked = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("of_block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "kth", "kth_id")
+        return here.groupBy("shard", "block").cogroup(asked.groupBy("to_shard", "of_block")).applyInPandas(search, _FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     own = durable(searched(queries.withColumns({"kth": F.lit(None).cast("long"), "kth_id": F.lit(None).cast("long")}))
