@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import durable
 
@@ -104,7 +104,7 @@ def text_evidence(rows: DataFrame, model: Model, certainty: float) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, evidence.size + 1, languages, dtype=np.int32), pa.array(evidence.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(grams), lists],
                                              [*(f.name for f in kept), "grams", "evidence"])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "grams long", "evidence array<double>"])
+    schema = T.StructType([*kept, T.StructField("grams", T.LongType()), T.StructField("evidence", T.ArrayType(T.DoubleType()))])
     return rows.select(*(f"`{f.name}`" for f in kept), "text").mapInArrow(run, schema)
 
 
@@ -148,9 +148,12 @@ def identify(rows: DataFrame, model: Model, certainty: float = 30.0, inertia: fl
     for code, lang in SUFFIXES.items():
         spoken = F.when(suffix == code, F.lit(lang if lang in languages else "other")).otherwise(spoken)
     host = F.lower(F.coalesce(F.col("host"), F.lit("")))
+    kept = [c for c in rows.columns if c not in ("text", "declared", "host")]
+    packed = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept))  # out of the way of the columns made here
     named = rows.withColumns({"_declared": F.when(F.coalesce(F.trim(F.col("declared")), F.lit("")) == "", "none").when(known.isin(*languages), known).otherwise("other"),
                               "_suffix": F.when(F.col("host").isNull(), "none").otherwise(spoken), "_host": host,
-                              "_domain": F.coalesce(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), host)}).drop("declared", "host")
+                              "_domain": F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(host)})
+    named = named.select(packed.alias("_kept"), "_declared", "_suffix", "_host", "_domain", F.col("text").cast("string").alias("text"))
     scored = durable(text_evidence(named, model, certainty).withColumn("share", _share(F.col("evidence"))))
 
     hosts = scored.filter("_host <> ''").groupBy("_domain", "_host").agg(F.count(F.lit(1)).alias("n"), _sums("share", n).alias("own"))
@@ -179,8 +182,7 @@ def identify(rows: DataFrame, model: Model, certainty: float = 30.0, inertia: fl
     accepted = (F.col("grams") > 0) & (F.col("confidence") >= least)
     if wanted is not None:
         accepted = accepted & F.col("lang").isin(*wanted)
-    kept = [c for c in rows.columns if c not in ("text", "declared", "host")]
-    return judged.select(*kept, "lang", "confidence", "text_lang", accepted.alias("accepted"))
+    return judged.select(*(F.col("_kept").getField(c).alias(c) for c in kept), "lang", "confidence", "text_lang", accepted.alias("accepted"))
 
 
 def page_text(html: Column) -> Column:
