@@ -27,19 +27,28 @@ TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra госпожа г-жа".
 _NAME = r"\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30}){0,2}"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _KNOWN = "|".join(n for names in GIVEN.values() for n in names)
-_BEFORE = r"(?<![\p{L}\p{N}_])"
-#: What is found, by kind, in this order where two could begin at the same place.
+_END = r"(?![\p{L}\p{N}_])"
+#: What is found, by kind, in this order where two could begin at the same place. Each begins behind no letter, digit or underscore.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": _BEFORE + r"""(?i:password|passwd|secret|token|api[_\-]?key|access[_\-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9+/_\-]{8,512}+""",
-    "key": _BEFORE + r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
-    "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\p{L}\p{N}_])",
-    "ssn": r"(?<![\p{L}\p{N}_\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
-    "card": r"(?<![\p{L}\p{N}_\-])[3-6](?:\d{12,18}|\d{3}(?:[ \-]\d{4}){3}|\d{3}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}_\-])",
-    "person": _BEFORE + rf"(?:(?:{_TITLE})\.?[ ](?:{_NAME})(?:[ ]{_NAME})?|(?:{_KNOWN})[ ]{_NAME})(?![\p{{L}}\p{{N}}_])",
+    "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_]|\.\d)",
+    "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})" + _END,
+    "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
+    "card": r"(?<!\d-)[3-6](?:\d{12,18}|\d{3}(?:[ \-]\d{4}){3}|\d{3}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}_\-])",
+    "person": rf"(?:(?:{_TITLE})\.?[ ](?:{_NAME})(?:[ ]{_NAME})?|(?:{_KNOWN})[ ]{_NAME})" + _END,
+    "secret": r"""(?i:password|passwd|secret|token|api[_\-]?key|access[_\-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9+/_\-]{8,512}+""",
+    "key": r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
 }
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _any(*kinds: str) -> str:
+    return "|".join(PATTERNS[k] for k in kinds)
+
+
+# most places are ruled out by one sign; the patterns are tried at the others only
+_PLAIN = (r"(?=[0-9(+A-Zaghpst\u0400-\u04FF])(?<![\p{L}\p{N}_])(?:(?=[0-9(+])(?:" + _any("ip", "phone", "ssn", "card") + r")|(?=[A-Z\u0400-\u04FF])(?:" + _any("person")
+          + r")|(?=[aAgpPsStT])(?:" + _any("secret", "key") + "))")
+_ANY = rf"{_PLAIN}|(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+\-])(?:{_any('email')})"
 _LETTERS = {"digit": "0123456789", "hex": "0123456789abcdef", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _BYTES = 96
 
@@ -92,8 +101,8 @@ def _gender(title: Column, given: Column) -> Column:
 
 
 def mentions_of(text: Column) -> Column:
-    """All mentions in a text, in order."""
-    return F.regexp_extract_all(text, F.lit(_ANY), 0)
+    """All mentions in a text, in order. Only texts with an at sign are searched for addresses."""
+    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(_ANY), 0)).otherwise(F.regexp_extract_all(text, F.lit(_PLAIN), 0))
 
 
 def genuine(mention: Column) -> Column:
@@ -131,34 +140,34 @@ def _identified(mentions: DataFrame) -> DataFrame:
     return (mentions.withColumn("kind", kind_of(m)).withColumn("gender", _gender(bare, names[0])).withColumn("prefix", prefix).withColumn("parts", parts))
 
 
-def _drawn(kind: Column, identity: Column, attempt: Column, bits: Column, host: Column) -> Column:
+def _drawn(kind: Column, identity: Column, attempt: int, bits: Column, host: Column) -> Column:
     """The surrogate of an identity at an attempt. Later attempts draw from ever larger sets, so distinct ones are found in the end."""
-    wide = attempt
-    extra = F.when(wide > 1, F.concat(F.lit("."), F.conv(wide.cast("string"), 10, 36))).otherwise("")
-    email = F.concat(F.lower(_poured(F.substring_index(identity, "@", 1), bits)), F.lower(extra), F.lit("@"), host, F.lit(".example."),
-                     F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), F.pmod(F.hash(host), F.lit(3)) + 1))
-    first = F.when(wide < 2, F.lit(10)).when(wide < 4, 240 + bits[0] % 15).otherwise(1 + bits[0] % 223)  # private, then reserved, then any addresses
-    ip = F.concat_ws(".", first.cast("string"), bits[1].cast("string"), bits[2].cast("string"), bits[3].cast("string"))
-    phone = F.concat(F.when(identity.startswith("1"), F.lit("1")).otherwise(F.substring(identity, 1, 2)),
-                     F.when(identity.startswith("1"), _at("23456789", bits[90])).otherwise(""))
-    phone = F.concat(phone, _poured(identity.substr(F.length(phone) + 1, F.length(identity)), bits))
-    body = F.concat(F.substring(identity, 1, 1), _poured(identity.substr(F.lit(2), F.length(identity) - 2), bits))
-    check = lambda stem: ((10 - _luhn(F.concat(stem, F.lit("0"))) % 10) % 10).cast("string")
-    card = F.concat(body, check(body))
-    secret = _poured(identity, bits, identity.rlike("^[0-9a-f]+$"))
-    known = F.concat(F.regexp_extract(identity, r"^(AKIA|ghp_|sk-)", 1), _poured(F.regexp_replace(identity, r"^(AKIA|ghp_|sk-)", ""), bits))
+    extra = max(0, attempt - 5)  # where a format of fixed length runs out, surrogates grow by a sign at each attempt
+    tail = lambda letters: F.concat(F.lit(""), *(_at(letters, bits[80 + i % 16]) for i in range(extra)))
+    after = lambda text, n: text.substr(n + 1, F.length(text))
+    local = F.concat(F.lower(_poured(F.substring_index(identity, "@", 1), bits)), F.lit("." * (attempt > 1)), F.lit(str(attempt) if attempt > 1 else ""))
+    email = F.concat(local, F.lit("@"), host, F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), F.pmod(F.hash(host), F.lit(3)) + 1))
+    first = F.lit(10) if attempt < 2 else 240 + bits[0] % 15 if attempt < 4 else 1 + bits[0] % 223  # private, then reserved, then any addresses
+    ip = F.concat_ws(".", first.cast("string"), *(bits[i].cast("string") for i in (1, 2, 3)))
+    if extra:
+        ip = F.concat(F.lit("fd"), F.concat_ws(":", *(F.lower(F.hex(bits[2 * i] * 256 + bits[2 * i + 1])) for i in range(4, 12))))
+    country = F.when(identity.startswith("1"), F.concat(F.lit("1"), _at("23456789", bits[90]))).otherwise(F.substring(identity, 1, 2))
+    phone = F.concat(country, _poured(after(identity, F.length(country)), bits), tail(_LETTERS["digit"]))
+    body = F.concat(F.substring(identity, 1, 1), _poured(identity.substr(F.lit(2), F.length(identity) - 2), bits), tail(_LETTERS["digit"]))
+    card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    secret = F.concat(_poured(identity, bits, identity.rlike("^[0-9a-f]+$")), tail(_LETTERS["hex"]))
+    known = F.regexp_extract(identity, "^(AKIA|ghp_|sk-)", 1)
+    known = F.concat(known, _poured(after(identity, F.length(known)), bits), tail(_LETTERS["upper"]))
     out = (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "secret", secret)
-           .when(kind == "key", known).otherwise(_poured(identity, bits)))
+           .when(kind == "key", known).otherwise(F.concat(_poured(identity, bits), tail(_LETTERS["digit"]))))
+    pick = lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), ((bits[i] * 256 + bits[i + 1]) % len(names)) + 1)
     for script, syllables in SYLLABLES.items():
-        pick = lambda names, n: F.element_at(F.array(*(F.lit(x) for x in names)), (n % len(names)).cast("int") + 1)
-        number = F.least(F.lit(3) + wide, F.lit(80))  # one more syllable at each attempt
-        surname = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), number), lambda i: pick(syllables, bits[i] + bits[(i + 7) % _BYTES])), ""))
-        out = F.when(kind == f"surname:{script}", surname).otherwise(out)
+        parts = [pick(syllables, 2 * i) for i in range(min(3 + attempt, 40))]  # one more syllable at each attempt
+        out = F.when(kind == f"surname:{script}", F.initcap(F.concat(*parts))).otherwise(out)
         for gender in ("f", "m", ""):
             names = [n for (s, g), ns in GIVEN.items() if s == script and gender in ("", g) for n in ns]
-            given = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.lit(1) + F.floor(wide / 2).cast("int"), F.lit(80))),
-                                             lambda i: pick(names, bits[i] + bits[(i + 7) % _BYTES])), "-")  # compound names where single ones run out
-            out = F.when(kind == f"given:{script}:{gender}", given).otherwise(out)
+            parts = [pick(names, 2 * i) for i in range(min(1 + attempt // 2, 40))]  # compound names where single ones run out
+            out = F.when(kind == f"given:{script}:{gender}", F.concat_ws("-", *parts)).otherwise(out)
     return out
 
 
@@ -173,12 +182,11 @@ def assign(identities: DataFrame, key: Column) -> DataFrame:
     given = all_of.select(family(F.col("kind")).alias("family"), F.col("identity").alias("surrogate")).distinct()
     left, done, attempt = all_of, None, 0
     while True:
-        n = F.lit(attempt)
         digits = F.concat(*(_keyed(key, F.col("kind"), F.col("identity"), F.lit(f"{attempt}:{i}")) for i in range(_BYTES // 32)))
         host = F.substring(_keyed(key, F.lit("domain"), F.substring_index("identity", "@", -1)), 1, 8)
         hashed = durable(left.withColumns({"digits": digits, "host": host})).withColumn("bits", _bytes(F.col("digits")))
         drawn = durable(hashed.select("kind", "identity", family(F.col("kind")).alias("family"),
-                                      _drawn(F.col("kind"), F.col("identity"), n, F.col("bits"), F.col("host")).alias("surrogate")))
+                                      _drawn(F.col("kind"), F.col("identity"), attempt, F.col("bits"), F.col("host")).alias("surrogate")))
         taken = given if done is None else given.unionByName(done.select("family", "surrogate"))
         free = drawn.join(taken, ["family", "surrogate"], "left_anti")
         first = free.groupBy("family", "surrogate").agg(F.min(F.struct("identity", "kind")).alias("w")).select(
@@ -197,6 +205,7 @@ def _rendered(mention: Column, kind: Column, prefix: Column, surrogates: Column)
     digit = lambda c: c.rlike("[0-9]")
     place = lambda i: F.length(F.regexp_replace(mention.substr(F.lit(1), i + 1), "[^0-9]", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(digit(c), F.substring(surrogates[0], place(i), F.lit(1))).otherwise(c)), "")
+    spaced = F.concat(spaced, surrogates[0].substr(F.length(F.regexp_replace(mention, "[^0-9]", "")) + 1, F.length(surrogates[0])))  # of a grown one
     cased = F.when(mention == F.upper(mention), F.upper(surrogates[0])).otherwise(surrogates[0])
     return (F.when(kind.isin("phone", "card", "ssn"), spaced).when(kind == "email", cased)
             .when(kind == "person", F.concat(prefix, F.array_join(surrogates, " "))).otherwise(F.concat(prefix, surrogates[0])))
