@@ -22,11 +22,11 @@ def value_counts_pct(df: DataFrame, column: str) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null count and percentage per column, from one pass."""
+    """Null count and percentage per column, from one pass; without rows the percentage is null."""
     names = list(columns or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in names))
     long = one.unpivot(["_n"], names, "column", "missing")
-    return long.select("column", "missing", F.round(F.col("missing") * 100 / F.col("_n"), 2).alias("pct"))
+    return long.select("column", "missing", F.round(F.try_divide(F.col("missing") * 100, F.col("_n")), 2).alias("pct"))
 
 
 def year_type_crosstab(df: DataFrame, date: str, kind: str, kinds: Sequence[int] = (0, 1)) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-EVENT_KEY = ("timestamp", "event_id", "process_id")
+EVENT_KEY = ("computer", "timestamp", "event_id", "process_id")
 
 
 def union_windows(frames: Sequence[DataFrame]) -> DataFrame:

@@ -19,8 +19,11 @@ def seeded_order(key: Column, seed: int) -> Column:
 
 
 def source_split(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Assign whole sources of each label to train, validation or test."""
-    sources = df.select("label", "source").distinct().withColumn("_order", seeded_order(F.col("source"), seed))
+    """Assign whole sources to train, validation or test, label by label; one row a source.
+
+    A source seen under several labels counts under the largest one, so it gets one split only.
+    """
+    sources = df.groupBy("source").agg(F.max("label").alias("label")).withColumn("_order", seeded_order(F.col("source"), seed))
     ranked = row_numbered(sources, ("label",), ("_order", "source"), "_rn")
     sizes = sources.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     share = F.greatest(F.lit(1), F.bround(F.col("_n") * TEST_SHARE).cast("int"))
@@ -61,8 +64,10 @@ def temporal_split(df: DataFrame, kind: str, date: str, key: str = "sample_id",
 
 
 def split_report(df: DataFrame) -> DataFrame:
-    """Windows and distinct sources per split."""
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("source").alias("sources"))
+    """Windows and distinct sources per split, and the sorted data sets and representations where the rows name them."""
+    named = {"datasets": "dataset_source", "representations": "representation"}
+    lists = (F.array_sort(F.collect_set(c)).alias(name) for name, c in named.items() if c in df.columns)
+    return df.groupBy("split").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("source").alias("sources"), *lists)
 
 
 def representation_profile(df: DataFrame) -> DataFrame:

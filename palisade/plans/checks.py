@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.paths import SUSPICIOUS_FOLDERS
 from ..schemas import EVENT_IDS, FILE_EVENT_IDS, REGISTRY_EVENT_IDS, ZERO_GUID
 
 _TEL = rf"""
@@ -46,8 +47,7 @@ AGGS = rf"""
   count(DISTINCT nullif(target_filename, '')) AS unique_files,
   count(DISTINCT nullif(extension, '')) AS unique_extensions,
   count(DISTINCT nullif(destination_ip, '')) AS unique_destination_ips,
-  count(*) FILTER (contains(npath, '\temp\') OR contains(npath, '\appdata\') OR contains(npath, '\downloads\')
-    OR contains(npath, '\public\')) AS suspicious_path_count,
+  count(*) FILTER ({" OR ".join(f"contains(npath, '{f}')" for f in SUSPICIOUS_FOLDERS)}) AS suspicious_path_count,
   count(*) FILTER (event_id IN {FILE_EVENT_IDS}) AS file_activity_count,
   count(*) FILTER (event_id IN {REGISTRY_EVENT_IDS}) AS registry_activity_count,
   count(*) FILTER (event_id = 3) AS network_activity_count,
@@ -75,7 +75,7 @@ samples AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'F' THEN 0
 _PRESENCE = r"""
 presence AS (SELECT DISTINCT doc_id AS sample_id, w AS name FROM
   (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
-  WHERE length(w) BETWEEN 2 AND 12),
+  WHERE w <> ''),
 plabels AS (SELECT doc_id AS sample_id, quality AS label, toxic FROM labels)"""
 
 _VECTORS = (r"""

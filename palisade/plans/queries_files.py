@@ -145,10 +145,15 @@ def json_to_jsonl(spark, sf):
     return lines
 
 
-@query("binary_hash_scan")
+@query("binary_hash_scan", """WITH f AS (SELECT doc_id // 20 AS bundle, string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+SELECT bundle, sha256(content) AS sha256, sha1(content) AS sha1, md5(content) AS md5 FROM f""")
 def binary_hash_scan(spark, sf):
-    """Hashes of the given table files; the check tool sees tables, not files."""
-    return files.binary_hashes(spark, sf)
+    """The documents as files of twenty lines at most, and the hash of each file."""
+    bundle = F.floor(F.col("doc_id") / 20)
+    lines = V.table(spark, sf, "documents").select(bundle.alias("bundle"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    path = scratch_path(spark, "files")
+    lines.repartition("bundle").sortWithinPartitions("bundle", "doc_id").drop("doc_id").write.partitionBy("bundle").text(path)
+    return files.binary_hashes(spark, f"{path}/*").select(F.col("bundle").cast("long").alias("bundle"), "sha256", "sha1", "md5")
 
 
 @query("log_error_screen", over("tel", """SELECT DISTINCT user_id AS run_id FROM tel WHERE user_id NOT IN
@@ -176,10 +181,12 @@ def _alert_rows(spark, sf):
     return alerts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-@query("signed_alert_sink", over("scored", f"SELECT {PAYLOAD} AS payload, {hmac_sql(PAYLOAD)} AS sig, TRUE AS verified FROM scored WHERE risk_score >= 0.85"))
+@query("signed_alert_sink", over("scored", f""", p AS (SELECT {PAYLOAD} AS payload FROM scored WHERE risk_score >= 0.85),
+n AS (SELECT row_number() OVER (ORDER BY payload) AS seq, payload FROM p)
+SELECT seq, payload, {hmac_sql("'daily|' || seq || '|' || payload")} AS sig, TRUE AS verified FROM n"""))
 def signed_alert_sink(spark, sf):
-    path = A.write_alerts(_alert_rows(spark, sf), scratch_path(spark, "alerts"), V.SIGNING_KEY)
-    return A.check_signatures(spark.read.schema("payload string, sig string").json(path), V.SIGNING_KEY)
+    path = A.write_alerts(_alert_rows(spark, sf), scratch_path(spark, "alerts"), V.SIGNING_KEY, "daily")
+    return A.check_signatures(spark.read.schema(A.ROW).json(path), V.SIGNING_KEY, "daily")
 
 
 @query("verified_alert_scan", over("scored", """SELECT computer, process_key, risk_score, strftime(window_start, '%Y-%m-%dT%H:%M:%SZ') AS window_start
@@ -203,23 +210,37 @@ def table_refresh(spark, sf):
     return a.unionByName(b)
 
 
-@query("page_metadata_extract", """WITH hits AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
-  regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)
-SELECT page_id, CAST(i AS INTEGER) AS position, h[i + 1] AS href, trim(t[i + 1]) AS title FROM (SELECT *, unnest(range(len(h))) AS i FROM hits)""")
+LISTING = """listing AS (SELECT page_id, replace(CASE WHEN page_id % 2 = 0 THEN replace(html, '</a>', '</a><div class="description"> about <b>' || page_id || '</b></div>')
+  ELSE html END, '<a href="', '<a class="link_ttl" href="') AS html FROM pages),
+piece AS (SELECT page_id, unnest(list_zip(range(len(p) - 1), p[2:])) AS z FROM (SELECT page_id, string_split(html, '<a class="link_ttl"') AS p FROM listing)),
+parts AS (SELECT page_id, z[1] AS i, z[2] AS x FROM piece)"""
+
+
+@query("page_metadata_extract", f"""WITH {LISTING}
+SELECT page_id, CAST(i AS INTEGER) AS position, regexp_extract(x, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(x, '(?s)^[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g')) AS title,
+  coalesce(nullif(trim(regexp_replace(regexp_extract(x, '(?s)<div[^>]*class="description"[^>]*>(.*?)</div>', 1), '<[^>]+>', '', 'g')), ''),
+    nullif(trim(regexp_replace(regexp_extract(x, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), '<[^>]+>', '', 'g')), ''), 'No description available') AS description FROM parts""")
 def page_metadata_extract(spark, sf):
-    return pages.app_links(V.table(spark, sf, "pages"), link_class=None).select("page_id", "position", "href", "title")
+    """The given pages as listings: their links get the listing's class, every second page descriptions."""
+    described = F.replace("html", F.lit("</a>"), F.concat(F.lit('</a><div class="description"> about <b>'), "page_id", F.lit("</b></div>")))
+    html = F.replace(F.when(F.col("page_id") % 2 == 0, described).otherwise(F.col("html")), F.lit('<a href="'), F.lit('<a class="link_ttl" href="'))
+    return pages.app_links(V.table(spark, sf, "pages").withColumn("html", html))
 
 
 @query("page_file_details", """SELECT page_id, 'setup' || page_id || '.exe' AS file_name, length(html) || ' KB' AS file_size, md5(url) AS md5,
   '2024-01-0' || (page_id % 9 + 1) AS last_checked, url || '/get' AS download_link FROM pages WHERE page_id % 3 <> 0""")
 def page_file_details(spark, sf):
-    """Pages with an added report block on two of three."""
+    """Two of three pages link to a report page of their own, which is a row of the same table."""
     page, url = F.col("page_id"), F.col("url")
+    report = F.concat(F.lit("http://report/"), page)
     block = F.concat(F.lit('<p class="file_info"><span>File: setup'), page, F.lit(".exe</span><span>Size: "), F.length("html"),
                      F.lit(" KB</span><span>MD5: "), F.md5(url.cast("binary")), F.lit("</span> <span>Checked: 2024-01-0"),
-                     page % 9 + 1, F.lit('</span></p><a rel="x" href="http://r"> see the report </a><a class="download_btn" href="'), url, F.lit('/get">get</a>'))
-    added = F.when(page % 3 != 0, F.concat("html", block)).otherwise(F.col("html"))
-    return pages.application_details(V.table(spark, sf, "pages").withColumn("html", added))
+                     page % 9 + 1, F.lit("</span></p>"))
+    link = F.concat(F.lit('<a rel="x" href="'), report, F.lit('"> see the report </a><a class="download_btn" href="'), url, F.lit('/get">get</a>'))
+    given = V.table(spark, sf, "pages").select("page_id", "url", "html")
+    apps = given.withColumn("html", F.when(page % 3 != 0, F.concat("html", link)).otherwise(F.col("html")))
+    told = given.select((-page).alias("page_id"), report.alias("url"), block.alias("html"))
+    return pages.application_details(apps.unionByName(told))
 
 
 @query("av_report_project", over("tel", """SELECT row_id, k::BIGINT AS creation_date, CASE WHEN k % 2 = 0 THEN user_id END AS first_submission_date,

@@ -38,11 +38,14 @@ def value_counts_source(spark, sf):
     return P.value_counts_pct(V.samples(spark, sf), "source")
 
 
+SAMPLE_COLUMNS = ("sample_id", "sample_type", "source", "ransomware_family", "ransomware_type", "type_label", "submitted", "first_submission", "size")
+
+
 @query("missing_profile", over("samples", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS missing,
-    round(count(*) FILTER ({c} IS NULL) * 100 / count(*), 2) AS pct FROM samples""" for c in ("sample_id", "source", "submitted"))))
+    round(count(*) FILTER ({c} IS NULL) * 100 / count(*), 2) AS pct FROM samples""" for c in SAMPLE_COLUMNS)))
 def missing_profile(spark, sf):
-    return P.missing_profile(V.samples(spark, sf), ("sample_id", "source", "submitted"))
+    return P.missing_profile(V.samples(spark, sf))
 
 
 @query("year_type_crosstab", over("samples", """SELECT CAST(year(submitted) AS INTEGER) AS year, count(*) FILTER (sample_type = 0) AS sample_type_0,
@@ -167,7 +170,7 @@ def union_splits(spark, sf):
     return train.unionByName(test).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("type_label").alias("label_sum"))
 
 
-SPLIT = """, src AS (SELECT DISTINCT label, source FROM scored),
+SPLIT = """, src AS (SELECT max(label) AS label, source FROM scored GROUP BY source),
 ranked AS (SELECT label, source, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || source), source) AS rn,
   count(*) OVER (PARTITION BY label) AS n FROM src),
 parts AS (SELECT *, CASE WHEN 2 * greatest(1, round_even(0.2 * n, 0)) >= n THEN 1 ELSE greatest(1, round_even(0.2 * n, 0)) END AS p FROM ranked),
@@ -185,15 +188,17 @@ def source_split(spark, sf):
     return _assigned(spark, sf)[1]
 
 
-@query("split_assignment_join", over("scored", SPLIT + "SELECT window_id, source, split FROM scored JOIN assign USING (source, label)"))
+@query("split_assignment_join", over("scored", SPLIT + "SELECT window_id, source, split FROM scored JOIN assign USING (source)"))
 def split_assignment_join(spark, sf):
     return S.assign_split(*_assigned(spark, sf)).select("window_id", "source", "split")
 
 
-@query("split_report", over("scored", SPLIT + """SELECT split, count(*) AS windows, count(DISTINCT source) AS sources
-  FROM scored JOIN assign USING (source, label) GROUP BY split"""))
+@query("split_report", over("scored", SPLIT + """SELECT split, count(*) AS windows, count(DISTINCT source) AS sources,
+  string_agg(DISTINCT 'set-' || scenario, ',' ORDER BY 'set-' || scenario) AS datasets, 'raw_sysmon' AS representations
+  FROM scored JOIN assign USING (source) GROUP BY split"""))
 def split_report(spark, sf):
-    return S.split_report(S.assign_split(*_assigned(spark, sf)))
+    rows = S.assign_split(*_assigned(spark, sf)).withColumns({"dataset_source": F.concat(F.lit("set-"), "scenario"), "representation": F.lit("raw_sysmon")})
+    return S.split_report(rows).withColumns({c: F.array_join(c, ",") for c in ("datasets", "representations")})
 
 
 @query("leakage_check", over("scored", SPLIT + """SELECT source, count(DISTINCT split) AS splits FROM assign GROUP BY source

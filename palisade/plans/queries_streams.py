@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.risk import BENIGN_TECHNIQUES
 from ..operators import models as M
 from ..operators import sequence_model as SM
 from ..schemas import WINDOW_KEY
@@ -36,9 +37,9 @@ def _ntz(df, *names):
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
 
 
-@query("stream_dedupe", over("tel", """SELECT DISTINCT "timestamp", event_id, process_id FROM tel"""))
+@query("stream_dedupe", over("tel", """SELECT DISTINCT computer, "timestamp", event_id, process_id FROM tel"""))
 def stream_dedupe(spark, sf):
-    events = _telemetry_stream(spark, sf).select("timestamp", "event_id", "process_id")
+    events = _telemetry_stream(spark, sf).select("computer", "timestamp", "event_id", "process_id")
     return _ntz(_run(live.stream_dedupe(events.union(events), "1 hour"), "dedupe"), "timestamp")
 
 
@@ -54,22 +55,26 @@ def stream_process_windows(spark, sf):
     return _ntz(_run(windows, "windows"), "window_start")
 
 
-@query("late_data")
+@query("late_data", over("filt", """SELECT computer, count(*) FILTER ("timestamp" >= TIMESTAMP '2024-01-15' AND "timestamp" < date_trunc('hour',
+  (SELECT time_bucket(INTERVAL 1 MILLISECOND, max("timestamp")) - INTERVAL 1 HOUR FROM tel))) AS events,
+  (SELECT count(*) FROM tel WHERE "timestamp" < TIMESTAMP '2024-01-15') AS late_rows FROM filt GROUP BY computer"""))
 def late_data(spark, sf):
-    """Two newer quarters of the events first, the older half last: it comes behind the watermark."""
+    """The newer half of the events first, in two runs of the stream, then the older half: all of it comes behind the watermark."""
     events = V.table(spark, sf, "events")
     marks = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-15", "2024-01-22")]
-    folder = scratch_path(spark, "late")
+    folder, path, state = (scratch_path(spark, n) for n in ("late", "late-windows", "late-state"))
+    late = 0
     for part in ((F.col("ts") >= marks[0]) & (F.col("ts") < marks[1]), F.col("ts") >= marks[1], F.col("ts") < marks[0]):
-        events.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    raw = live.event_stream(spark, folder, events.schema, files_per_trigger=1)
-    rows = V.telemetry_of(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    path = scratch_path(spark, "late-windows")
-    run = live.append(live.stream_process_windows(rows, "1 hour", HOUR), path, scratch_path(spark, "late-state"), available_now=True,
-                      state_partitions=spark.sparkContext.defaultParallelism)
-    run.awaitTermination()
+        events.filter(part).write.mode("append").parquet(folder)
+        raw = live.event_stream(spark, folder, events.schema)
+        rows = V.telemetry_of(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        run = live.append(live.stream_process_windows(rows, "1 hour", HOUR), path, state, available_now=True,
+                          state_partitions=spark.sparkContext.defaultParallelism)
+        counter = live.LateRows(run)
+        run.awaitTermination()
+        late += counter.total()
     emitted = spark.read.schema("computer string, event_count bigint").parquet(path)
-    return emitted.groupBy("computer").agg(F.sum("event_count").alias("events"), F.lit(live.late_rows(run)).alias("late_rows"))
+    return emitted.groupBy("computer").agg(F.sum("event_count").alias("events"), F.lit(late).cast("long").alias("late_rows"))
 
 
 @query("stream_heartbeat", over("tel", f"""
@@ -98,10 +103,10 @@ LIVE = """, z AS (SELECT *, (event_count - 2.0) / 1.5 AS a, (unique_files - 1.0)
 h AS (SELECT *, sum(a) OVER w / 30 AS ma, sum(b) OVER w / 30 AS mb, CASE WHEN count(*) OVER w < 30 THEN greatest(max(a) OVER w, 0) ELSE max(a) OVER w END AS xa,
   CASE WHEN count(*) OVER w < 30 THEN greatest(max(b) OVER w, 0) ELSE max(b) OVER w END AS xb FROM z
   WINDOW w AS (PARTITION BY computer ORDER BY window_start, process_key ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-r AS (SELECT *, CASE WHEN lower(technique_id) IN ('benign', 'unknown', 'monitoring', 'live-monitoring')
+r AS (SELECT *, CASE WHEN lower(technique_id) IN {BENIGN}
     OR (event_count < 15 AND file_activity_count < 3 AND registry_activity_count < 3) THEN 0.0
   ELSE 1 / (1 + exp(-(-0.9 + 0.5 * ma + 0.6 * xa + 0.2 * mb + 0.4 * xb))) END AS risk FROM h)
-"""
+""".replace("{BENIGN}", str(BENIGN_TECHNIQUES))
 
 
 def _alerts(spark, sf):
@@ -122,7 +127,7 @@ def stream_incidents(spark, sf):
 
 
 @query("alert_handoff", over("scored", """, a AS (SELECT * FROM scored WHERE risk_score >= 0.5 AND window_start >= TIMESTAMP '2024-01-05'),
-b AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY risk_score DESC, process_key || ':' || event_count DESC) AS rn FROM a)
+b AS (SELECT *, row_number() OVER (PARTITION BY computer, window_start ORDER BY risk_score DESC, process_key || ':' || event_count DESC) AS rn FROM a)
 SELECT window_start AS alert_id, computer, risk_score, CASE WHEN risk_score >= 0.85 THEN event_count::INTEGER END AS process_id,
   risk_score >= 0.85 AS terminate_tree, risk_score >= 0.85 AS isolate_host, 'dry_run' AS mode FROM b WHERE rn = 1"""))
 def alert_handoff(spark, sf):
@@ -131,10 +136,8 @@ def alert_handoff(spark, sf):
     alerts = (_window_stream(spark, sf).filter("risk_score >= 0.5").withColumn("process_key", keyed)
               .select("computer", "process_key", F.col("window_start").cast("timestamp").alias("window_start"), "risk_score"))
     old = (V.scored(spark, sf).filter(F.col("window_start") < F.lit("2024-01-05").cast("timestamp_ntz"))
-           .select(F.col("window_start").cast("timestamp").alias("alert_id")).distinct())
-    path = scratch_path(spark, "intents")
-    live.alert_handoff(alerts, path, scratch_path(spark, "intents-state"), old, available_now=True).awaitTermination()
-    return _ntz(spark.read.parquet(path).drop("batch_id"), "alert_id")
+           .select(F.col("window_start").cast("timestamp").alias("alert_id"), "computer").distinct())
+    return _ntz(_run(live.alert_handoff(alerts, old), "intents"), "alert_id")
 
 
 @query("stream_escalation", over("scored", """

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions.risk import BENIGN_TECHNIQUES
+from ..functions.text import TOOL_NAMES
 from ..operators import counts, sequences, serving
 from ..operators import episodes as E
 from ..operators import telemetry as T
@@ -62,6 +66,7 @@ def distinct_counts(spark, sf):
     return T.count_features(events, ("computer",)).select("computer", *T.DISTINCT_FACTS)
 
 
+TOOLS = "'" + "|".join(re.escape(n).replace(r"\ ", " ") for n in TOOL_NAMES) + "'"
 COUNT_STREAM = r"""WITH stream AS (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) // 10 AS chunk FROM (
   SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS class,
@@ -77,10 +82,10 @@ cw AS (SELECT chunk, TIMESTAMP '2026-08-06 00:00:00' + to_seconds(chunk * 10) AS
   count(DISTINCT CASE WHEN contains(string_split(target, '\')[-1], '.')
     THEN lower(substring(string_split(target, '.')[-1], 1, 4)) END) AS unique_extensions,
   CASE WHEN count(*) FILTER (code = 3) > 0 THEN count(DISTINCT target) ELSE 0 END AS unique_destination_ips,
-  count(*) FILTER (regexp_matches(lower(cmd), 'vssadmin|wbemtest|bcdedit|wmic|powershell|cmd\.exe /c')) AS suspicious_path_count,
+  count(*) FILTER (regexp_matches(lower(cmd), {TOOLS})) AS suspicious_path_count,
   count(*) FILTER (code IN (11, 23, 26)) AS file_activity_count, count(*) FILTER (code IN (12, 13)) AS registry_activity_count,
   count(*) FILTER (code = 3) AS network_activity_count,
-  """ + ", ".join(f"count(*) FILTER (code = {i}) AS event_{i}_count" for i in (1, 3, 7, 11, 12, 13, 23, 26)) + r""",
+  """.replace("{TOOLS}", TOOLS) + ", ".join(f"count(*) FILTER (code = {i}) AS event_{i}_count" for i in (1, 3, 7, 11, 12, 13, 23, 26)) + r""",
   CASE WHEN count(*) FILTER (class = 1) > count(*) FILTER (class = 0) THEN 1 ELSE 0 END AS label
   FROM stream GROUP BY chunk)
 """
@@ -258,15 +263,15 @@ def alert_threshold(spark, sf):
     return serving.alert_threshold(V.scored(spark, sf)).select("window_id", "risk_score")
 
 
-@query("benign_gate", over("scored", """SELECT window_id, technique_id, lower(technique_id) IN
-  ('benign', 'unknown', 'monitoring', 'live-monitoring') AS gated FROM scored"""))
+@query("benign_gate", over("scored", f"""SELECT window_id, technique_id, lower(technique_id) IN
+  {BENIGN_TECHNIQUES} AS gated FROM scored"""))
 def benign_gate(spark, sf):
     return V.scored(spark, sf).select("window_id", "technique_id",
                                       X.benign_technique(F.col("technique_id")).alias("gated"))
 
 
-@query("low_activity_gate", over("scored", """SELECT window_id, CASE WHEN
-  lower(technique_id) IN ('benign', 'unknown', 'monitoring', 'live-monitoring') OR
+@query("low_activity_gate", over("scored", f"""SELECT window_id, CASE WHEN
+  lower(technique_id) IN {BENIGN_TECHNIQUES} OR
   (event_count * 4 < 15 AND file_activity_count < 3 AND registry_activity_count < 3) THEN 0.0 ELSE risk_score END
   AS risk_score FROM scored"""))
 def low_activity_gate(spark, sf):

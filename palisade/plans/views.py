@@ -73,8 +73,8 @@ def scored(spark: SparkSession, sf: str, seconds: int = DAY) -> DataFrame:
 
 
 def presence(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct (sample_id, name): lower-case words of 2 to 12 letters of each document."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w).between(2, 12))
+    """Distinct (sample_id, name): lower-case words (runs of a-z) of each document."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
     return (table(spark, sf, "documents")
             .select(F.col("doc_id").alias("sample_id"), F.explode(F.array_distinct(words)).alias("name")))
 

@@ -43,11 +43,13 @@ def json_to_jsonl(spark: SparkSession, source: str, target: str, schema: str | N
 
 
 def binary_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256, SHA-1 and MD5 of the visible files directly in a folder; each file is one row in memory."""
+    """SHA-256, SHA-1 and MD5 of the visible files in the folder or folders of a pattern; each file is one row in memory."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").load(folder).withColumn("filename", name)
+    base = folder.split("/*")[0]
+    files = spark.read.format("binaryFile").option("basePath", base).load(folder).withColumn("filename", name)
     visible = ~(name.startswith(".") | name.startswith("~$") | (name == IGNORED_FILE))
-    return files.filter(visible).select("filename", F.sha2("content", 256).alias("sha256"),
+    keep = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content", "filename")]  # of partitioned folders
+    return files.filter(visible).select(*keep, "filename", F.sha2("content", 256).alias("sha256"),
                                         F.sha1("content").alias("sha1"), F.md5("content").alias("md5"))
 
 

@@ -28,15 +28,19 @@ def app_links(pages: DataFrame, link_class: str | None = "link_ttl", keep: tuple
 
 
 def application_details(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """File name, size, MD5, check date and download link; pages without report or download link are left out."""
+    """File name, size, MD5, check date and download link of application pages in ``pages(url, html, ...)``.
+
+    The first four stand on the report page that an application page links to ("see the report"), another row of ``pages``; of several
+    rows with its address the greatest counts. Pages without report or download link, or whose report is not there, are left out.
+    """
     report = F.regexp_extract("html", r"""(?s)<a\s[^>]*href="([^"]+)"[^>]*>\s*see the report\s*</a>""", 1)
     info = F.regexp_extract("html", r"""(?s)<p[^>]*class="file_info"[^>]*>(.*?)</p>""", 1)
     spans = F.transform(F.regexp_extract_all(info, F.lit(r"(?s)<span[^>]*>(.*?)</span>"), 1),
                         lambda s: F.try_element_at(F.split(_text(s), ": "), F.lit(2)))
     button = F.regexp_extract("html", r"""(<a\s[^>]*class="download_btn"[^>]*>)""", 1)
     link = F.regexp_extract(button, r"""href="([^"]+)\"""", 1)
-    found = pages.select(*keep, report.alias("report_link"), spans.alias("s"), link.alias("download_link"))
-    details = found.select(*keep, *(F.get("s", F.lit(i)).alias(n) for i, n in
+    apps = pages.select(*keep, report.alias("report_link"), link.alias("download_link")).filter("report_link <> '' AND download_link <> ''")
+    reports = pages.filter(info != "").groupBy(F.col("url").alias("report_link")).agg(F.max(spans).alias("s"))
+    details = apps.join(reports, "report_link").select(*keep, *(F.get("s", F.lit(i)).alias(n) for i, n in
                                     enumerate(("file_name", "file_size", "md5", "last_checked"))), "report_link", "download_link")
-    complete = (F.col("report_link") != "") & (F.col("download_link") != "")
-    return details.filter(complete).dropna(subset=["file_name", "file_size", "md5", "last_checked"]).drop("report_link")
+    return details.dropna(subset=["file_name", "file_size", "md5", "last_checked"]).drop("report_link")

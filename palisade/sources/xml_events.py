@@ -37,14 +37,17 @@ def xml_event_parse(documents: DataFrame, strict: bool = True) -> DataFrame:
     """
     parsed = documents.withColumn("e", F.from_xml("xml", EVENT_XML_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     named = F.filter(F.coalesce("e.EventData.Data", F.array()), lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
-    # the last value of a repeated name wins
-    pairs = F.transform(named, lambda d: F.struct(d["_Name"].alias("key"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
-    latest = F.aggregate(pairs, F.create_map().cast("map<string,string>"),
-                         lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
-    rows = parsed.withColumn("extra", latest)
+    # the last value of a repeated name wins: sorted by name and place, an entry stays if the next one has another name
+    pairs = F.array_sort(F.transform(named, lambda d, i: F.struct(d["_Name"].alias("key"), i.alias("at"), F.coalesce(d["_VALUE"], F.lit("")).alias("value"))))
+    rows = parsed.withColumn("pairs", pairs)
+    follower = F.concat(F.transform(F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1))), lambda d: d["key"]), F.array(F.lit(None).cast("string")))
+    last = F.filter(F.zip_with("pairs", follower, lambda p, k: F.struct(p["key"].alias("key"), p["value"].alias("value"), k.alias("then"))),
+                    lambda p: p["key"].isNotNull() & ~p["key"].eqNullSafe(p["then"]))
+    rows = rows.withColumn("extra", F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))))
 
     def data(name: str) -> Column:
-        return F.try_element_at("extra", F.lit(name))
+        """One look through the entries; the map itself is only built where ``extra`` is read."""
+        return F.try_element_at(F.filter("pairs", lambda p: p["key"] == name), F.lit(-1))["value"]
 
     bad = F.col("e._corrupt_record").isNotNull()
     if strict:

@@ -7,8 +7,9 @@ made distinct per window, and the last step only adds them up.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,7 +20,10 @@ from ..operators.sequence_model import SequenceModel
 from ..operators.telemetry import event_filter, window_facts, window_totals, windowed_rows
 from ..schemas import ALERT_THRESHOLD, RESET_THRESHOLD, SILENCE_SECONDS, WARNING_THRESHOLD, WINDOW_SECONDS
 
-EVENT_KEY = ("timestamp", "event_id", "process_id")
+#: What tells events apart: the host's record number where there is one, else the host and all that is known of the event.
+RECORD_KEY = ("computer", "record_id")
+EVENT_KEY = ("computer", "timestamp", "event_id", "process_guid", "process_id", "image", "parent_image", "command_line", "target_filename", "target_object",
+             "destination_ip", "destination_port")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,29 +58,57 @@ def append(stream: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 # ---- events and windows ------------------------------------------------------------------------
 
-def stream_dedupe(events: DataFrame, delay: str, key: Sequence[str] = EVENT_KEY) -> DataFrame:
+def event_identity(events: DataFrame) -> list[str]:
+    """The columns of ``events`` that identify one."""
+    if set(RECORD_KEY) <= set(events.columns):
+        return list(RECORD_KEY)
+    return [c for c in EVENT_KEY if c in events.columns]
+
+
+def stream_dedupe(events: DataFrame, delay: str, key: Sequence[str] | None = None) -> DataFrame:
     """Drop re-read events; keys are forgotten once the watermark has passed them."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(key))
+    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(key or event_identity(events)))
 
 
 def stream_process_windows(events: DataFrame, delay: str, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Final process windows of the live stream, each emitted once after the watermark has passed it.
 
-    Same filter and features as the batch job. Re-read events share their fact and so count once.
+    Same filter and features as the batch job. Re-read events go first, so late ones are dropped and counted there, once each.
+    Equal facts of a window are then counted, spread by value, and the last step adds them up.
     """
-    rows = (windowed_rows(event_filter(events.withWatermark("timestamp", delay)))
-            .withColumns({"w": F.window("timestamp", f"{window_seconds} seconds"),
-                          "event_key": F.concat_ws(":", *(F.col(k).cast("string") for k in EVENT_KEY))}))
+    rows = (windowed_rows(event_filter(stream_dedupe(events, delay)))
+            .withColumn("w", F.window("timestamp", f"{window_seconds} seconds")))
     key = ("computer", "process_key", "w")
-    distinct = window_facts(rows, key, identity="event_key").dropDuplicates([*key, "kind", "value", "event_key"])
-    windows = distinct.groupBy(*key).agg(*window_totals("1L"))
+    counted = window_facts(rows, key).groupBy(*key, "kind", "value").agg(F.count(F.lit(1)).alias("_n"))
+    windows = counted.groupBy(*key).agg(*window_totals("_n"))
     return windows.select("computer", "process_key", F.col("w.start").alias("window_start"),
                           *(c for c in windows.columns if c not in key))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query has dropped so far because they came behind the watermark."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows:
+    """Counts the rows that a query drops because they came behind the watermark, over the whole life of the query.
+
+    A query keeps the reports of its latest 100 batches only, so a thread looks at them every ``seconds`` and adds up those
+    it has not seen. Create it right after the start.
+    """
+
+    def __init__(self, query: StreamingQuery, seconds: float = 1.0) -> None:
+        self._query, self._seen, self._total, self._lock = query, -1, 0, threading.Lock()
+        threading.Thread(target=self._watch, args=(seconds,), daemon=True).start()
+
+    def _watch(self, seconds: float) -> None:
+        while self._query.isActive:
+            self.total()
+            time.sleep(seconds)
+
+    def total(self) -> int:
+        """Rows dropped so far."""
+        with self._lock:
+            for report in self._query.recentProgress:
+                if report.batchId > self._seen:
+                    self._seen = report.batchId
+                    self._total += sum(op.numRowsDroppedByWatermark for op in report.stateOperators)
+            return self._total
 
 
 # ---- heartbeat ---------------------------------------------------------------------------------
@@ -139,21 +171,20 @@ def stream_heartbeat(events: DataFrame, delay: str, threshold: float = SILENCE_S
 # ---- alerts ------------------------------------------------------------------------------------
 
 class _Alerts(StatefulProcessor):
-    """The last scaled vectors of a host and the time of its newest incident."""
+    """The last scaled vectors of a host and the times of its incidents: one small entry an incident."""
 
     def __init__(self, model: SequenceModel, threshold: float) -> None:
         self.model, self.threshold = model, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getListState("history", "v array<double>")
-        self.newest = handle.getValueState("newest", "window_us bigint")
+        self.raised = handle.getMapState("raised", "window_us bigint", "risk double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         length, width = self.model.length, len(self.model.scaler.features)
         past = [list(r[0]) for r in self.history.get()] if self.history.exists() else []
-        newest = self.newest.get()[0] if self.newest.exists() else -1
         batch = pd.concat(rows).sort_values(["window_us", "process_key"]).reset_index(drop=True)
         current = np.vstack(batch["v"].to_numpy())
         steps = np.vstack([np.zeros((length - len(past), width)), np.array(past).reshape(-1, width), current])[-(length + len(batch)):]
@@ -162,11 +193,11 @@ class _Alerts(StatefulProcessor):
              + frames.max(axis=2) @ np.array(self.model.max_weights))
         batch["risk_score"] = np.where(batch["gated"], 0.0, 1.0 / (1.0 + np.exp(-z)))
         raised = batch[batch["risk_score"] >= self.threshold].drop_duplicates("window_us")
-        raised = raised[raised["window_us"] > newest]
+        raised = raised[[not self.raised.containsKey((int(at),)) for at in raised["window_us"]]]
         seen = len(past) + len(batch)
         self.history.put([(row.tolist(),) for row in steps[-min(seen, length):]])
-        if len(raised):
-            self.newest.update((int(raised["window_us"].max()),))
+        for at, risk in zip(raised["window_us"], raised["risk_score"]):
+            self.raised.updateValue((int(at),), (float(risk),))
         batch["alert_created"] = batch.index.isin(raised.index)
         yield batch.assign(computer=key[0])[["computer", "process_key", "window_us", "technique_id", "risk_score", "alert_created"]]
 
@@ -199,34 +230,41 @@ def incidents_of(scored: DataFrame) -> DataFrame:
         "risk_score", pid_from_key(F.col("process_key")).alias("process_id"), F.lit("ACTIVE").alias("status"))
 
 
-def alert_handoff(alerts: DataFrame, path: str, checkpoint: str, ignored: DataFrame | None = None,
-                  threshold: float = ALERT_THRESHOLD, available_now: bool = False) -> StreamingQuery:
-    """Hand each alert time over once as rows of intents; nothing is executed.
+class _HandOver(StatefulProcessor):
+    """Whether the alert of this host and time was handed over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "risk double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            for risk, process in zip(part["risk_score"], part["process_key"]):
+                best = max(best or (risk, process), (risk, process))
+        if best is not None and not self.done.exists():
+            self.done.update((float(best[0]),))
+            yield pd.DataFrame({"computer": [key[0]], "alert_us": [key[1]], "process_key": [best[1]], "risk_score": [best[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def alert_handoff(alerts: DataFrame, ignored: DataFrame | None = None, threshold: float = ALERT_THRESHOLD) -> DataFrame:
+    """Each alert, known by host and time, handed over once as a row of intents; nothing is executed.
 
-    Alerts present at the start (``ignored``) and those of earlier batches are left out; of several alerts
-    with one id the riskiest counts. Each batch replaces its own folder, so a repeated batch does no harm.
+    Alerts present at the start (``ignored(computer, alert_id)``) are left out; of several alerts of one host and time that come together
+    the riskiest counts, later ones do not. State is one number an alert, so no earlier output is read again.
     """
-    spark = alerts.sparkSession
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = [ignored.select("alert_id")] if ignored is not None else []
-        if batch_id > 0:
-            earlier = spark.read.schema("alert_id timestamp, batch_id bigint").parquet(path)
-            known.append(earlier.filter(F.col("batch_id") < batch_id).select("alert_id"))
-        pid = pid_from_key(F.col("process_key"), default=None)
-        rows = batch.withColumn("alert_id", F.coalesce("window_start", "timestamp") if "timestamp" in batch.columns
-                                else F.col("window_start")).filter(F.col("alert_id").isNotNull())
-        if known:
-            rows = rows.join(reduce(DataFrame.unionByName, known), "alert_id", "left_anti")
-        best = rows.groupBy("alert_id").agg(F.max_by(F.struct("computer", "process_key", "risk_score"),
-                                                     F.struct("risk_score", "process_key")).alias("a")).select("alert_id", "a.*")
-        act = F.col("risk_score") >= threshold
-        intents = best.select("alert_id", "computer", "risk_score", F.when(act, pid).alias("process_id"),
-                              (act & pid.isNotNull()).alias("terminate_tree"), act.alias("isolate_host"), F.lit("dry_run").alias("mode"))
-        intents.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    writer = alerts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    at = F.coalesce("window_start", "timestamp") if "timestamp" in alerts.columns else F.col("window_start")
+    rows = alerts.withColumn("alert_id", at).filter("alert_id IS NOT NULL AND risk_score IS NOT NULL")
+    if ignored is not None:
+        rows = rows.join(ignored.select("computer", "alert_id"), ["computer", "alert_id"], "left_anti")
+    rows = rows.select("computer", F.unix_micros(F.col("alert_id").cast("timestamp")).alias("alert_us"), F.coalesce("process_key", F.lit("")).alias("process_key"), "risk_score")
+    best = rows.groupBy("computer", "alert_us").transformWithStateInPandas(
+        _HandOver(), "computer string, alert_us bigint, process_key string, risk_score double", "append", "none")
+    act, pid = F.col("risk_score") >= threshold, pid_from_key(F.col("process_key"), default=None)
+    return best.select(F.timestamp_micros("alert_us").alias("alert_id"), "computer", "risk_score", F.when(act, pid).alias("process_id"),
+                       (act & pid.isNotNull()).alias("terminate_tree"), act.alias("isolate_host"), F.lit("dry_run").alias("mode"))
 
 
 # ---- escalation --------------------------------------------------------------------------------

@@ -193,14 +193,33 @@ def test_signed_alerts(spark, tmp_path):
     legacy = spark.createDataFrame([('[{"computer":"old","risk_score":0.7}]',)], "value string")
     legacy.write.text(str(tmp_path / "legacy"))
     assert AL.read_alerts(spark, str(tmp_path / "legacy"), "key", "computer string, risk_score double").first() == ("old", 0.7)
-    AL.sign_alerts(rows.limit(1), "key").write.mode("overwrite").json(path)  # a row is gone, the manifest is not
-    with pytest.raises(RuntimeError, match="removed"):
-        AL.read_alerts(spark, path, "key", "computer string, risk_score double")
-    AL.write_alerts(rows, path, "key")
+    with pytest.raises(RuntimeError, match="manifest"):
+        AL.read_alerts(spark, str(tmp_path / "legacy"), "key", "computer string, risk_score double", legacy=False)
+    plain = "computer string, risk_score double"
+    lines = [line for f in (tmp_path / "alerts").glob("*.json") for line in f.read_text().splitlines()]
+    tampered = {"removed": lines[:1], "repeated": lines[:1] * 2, "added": [*lines, '{"computer":"INJECTED","risk_score":1.0}'], "emptied": []}
+    for name, kept in tampered.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.json").write_text("\n".join(kept))
+        spark.read.schema(AL.MANIFEST).json(path + ".manifest").write.json(f"{folder}.manifest")
+        with pytest.raises(RuntimeError, match="removed"):
+            AL.read_alerts(spark, str(folder), "key", plain)
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "a.json").write_text("\n".join(lines))
+    with pytest.raises(RuntimeError, match="manifest is missing"):
+        AL.read_alerts(spark, str(tmp_path / "bare"), "key", plain)
+    other = AL.write_alerts(rows, str(tmp_path / "moved"), "key")  # the same alerts of another table
+    spark.read.schema(AL.MANIFEST).json(path + ".manifest").write.mode("overwrite").json(f"{other}.manifest")
+    with pytest.raises(Exception, match="signature verification failed"):
+        AL.read_alerts(spark, other, "key", plain).collect()
+    empty = AL.write_alerts(rows.limit(0), str(tmp_path / "empty"), "key")
+    assert AL.read_alerts(spark, empty, "key", plain).count() == 0
     spoiled = [json.loads(line) for f in (tmp_path / "alerts").glob("*.json") for line in f.read_text().splitlines()]
     spoiled[0]["payload"] = spoiled[0]["payload"].replace("0.9", "0.1")
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "a.json").write_text("\n".join(map(json.dumps, spoiled)))
+    spark.read.schema(AL.MANIFEST).json(path + ".manifest").write.json(str(tmp_path / "bad.manifest"))
     with pytest.raises(Exception, match="signature verification failed"):
         AL.read_alerts(spark, str(tmp_path / "bad"), "key", "computer string, risk_score double").collect()
 
@@ -223,6 +242,32 @@ def test_process_tree_stops_at_cycles(spark):
     assert got == {1: (0, "WOULD_TERMINATE"), 2: (1, "WOULD_TERMINATE"), 3: (2, "REFUSE_PROTECTED"), 4: (3, "WOULD_TERMINATE")}
 
 
+def test_deep_process_trees_are_followed_to_their_end(spark):
+    chain = [(i, i - 1 if i else None, "p") for i in range(1101)] + [(5000, 5001, "x"), (5001, 5002, "x"), (5002, 5000, "x"), (6000, 5000, "x")]
+    rows = spark.createDataFrame(chain, "pid int, parent_pid int, name string")
+    got = {r["pid"]: r["depth"] for r in process_tree.process_tree_closure(rows, rows.filter("pid IN (0, 700)")).collect()}
+    assert got == {**{i: i for i in range(700)}, **{i: i - 700 for i in range(700, 1101)}}
+
+
+def test_a_source_under_both_labels_gets_one_split(windows):
+    mixed = windows.withColumn("source", F.regexp_replace("source", "attack-[01]", "benign-0")).withColumn("source", F.regexp_replace("source", "attack-2", "benign-4"))
+    mixed = mixed.unionByName(windows.filter("label = 1").withColumn("source", F.concat("source", F.lit("-more"))))
+    split = S.assign_split(mixed, S.source_split(mixed))
+    assert split.count() == mixed.count() and S.leakage(split).count() == 0
+
+
+def test_key_is_not_in_the_plan(spark):
+    df = spark.createDataFrame([("m",)], "m string").select(hmac_sha256(F.col("m"), "open-sesame"))
+    pads = [bytes(b ^ x for b in b"open-sesame") for x in (0x36, 0x5C)]
+    text = df._jdf.queryExecution().toString().lower()
+    assert not any(p.hex() in text or str(p) in text for p in pads) and "open-sesame" not in text
+
+
+def test_missing_profile_of_no_rows(spark):
+    rows = profiling.missing_profile(spark.createDataFrame([], "a int, b string")).collect()
+    assert sorted(tuple(r) for r in rows) == [("a", 0, None), ("b", 0, None)]
+
+
 def test_chi_square_of_a_tiny_case(spark):
     shown = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f")], "sample_id int, name string")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "sample_id int, label int")

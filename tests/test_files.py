@@ -46,9 +46,11 @@ def test_listing_page(spark):
 
 
 def test_details_need_a_report(spark):
-    html = """<a href="http://r">see the report</a><p class="file_info"><span>File: a.exe</span><span>Size: 1 MB</span><span>MD5: ff</span><span>Checked: today</span></p>
-<a class="download_btn" href="/get">Download</a>"""
-    rows = spark.createDataFrame([(1, html), (2, html.replace("see the report", "nothing")), (3, html.replace("download_btn", "x"))], "page_id int, html string")
+    html = """<a href="http://r">see the report</a><a class="download_btn" href="/get">Download</a>"""
+    told = """<p class="file_info"><span>File: a.exe</span><span>Size: 1 MB</span><span>MD5: ff</span><span>Checked: today</span></p>"""
+    rows = [(1, "http://1", html), (2, "http://2", html.replace("see the report", "nothing")), (3, "http://3", html.replace("download_btn", "x")),
+            (4, "http://4", html.replace("http://r", "http://gone")), (5, "http://r", told)]
+    rows = spark.createDataFrame(rows, "page_id int, url string, html string")
     assert [tuple(r) for r in pages.application_details(rows).collect()] == [(1, "a.exe", "1 MB", "ff", "today", "/get")]
 
 
