@@ -34,6 +34,9 @@ def count_windows(df: DataFrame, order: Sequence[str | Column], rows: int = 10,
     def different(c: Column) -> Column:
         return F.size(F.collect_set(c)).cast("long")
 
+    named = [o for o in order if isinstance(o, str)]
+    if len(named) == len(order):  # only what is counted is numbered and moved
+        df = df.select(*dict.fromkeys(["class", "code", "image", "target", "command_line", *named]))
     chunked = chunk_index(df, order, rows)
     counted = chunked.groupBy("chunk").agg(
         F.count(F.lit(1)).alias("event_count"),

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sigmoid
 from ..schemas import ALERT_THRESHOLD
+from ..session import durable
 from .quality import multiclass_metrics
 from .vectors import align_to_model, assemble
 
@@ -159,8 +160,9 @@ def tree_samples(train: DataFrame, key: str, seed: int, trees: int, rows: int) -
 def train_isolation_forest(benign: DataFrame, features: Sequence[str], key: str, seed: int = 42, trees: int = TREES,
                            rows: int = TREE_ROWS, contamination: float = CONTAMINATION) -> IsolationForest:
     """Random trees on small hash-drawn samples of benign rows, one task group per tree."""
+    benign = durable(benign.select(key, *features))  # read four times below
     scaler = fit_scaler(benign, features)
-    scaled = scaler.transform(benign.select(key, *features))
+    scaled = scaler.transform(benign)
     limit = int(np.ceil(np.log2(max(rows, 2))))
     names = list(features)
 
@@ -212,19 +214,17 @@ def anomaly_score(df: DataFrame, forest: IsolationForest, name: str = "anomaly_s
 
 # ---- behaviour-matrix models -------------------------------------------------------------------
 
-def rfe_path(train: DataFrame, features: Sequence[str], keeps: Sequence[int], step: float = 0.1, max_iter: int = 100,
-             c: float = 1.0) -> dict[int, list[str]]:
-    """Recursive elimination: refit, drop the weakest squared coefficients, until few enough remain.
+def eliminate(rows: DataFrame, size: int, keeps: Sequence[int], step: float = 0.1, max_iter: int = 10_000, c: float = 1.0) -> dict[int, list[int]]:
+    """Recursive elimination on ``rows(all, label)``: refit, drop the weakest squared coefficients, until few enough remain.
 
     Each round drops ``step`` of the original number of features; every fit is a distributed job. All wanted sizes
-    share one path: a size is reached by a smaller last drop from the round before it.
+    share one path: a size is reached by a smaller last drop from the round before it. Gives the places kept by size.
     """
-    rows = assemble(train, features, "all").select("all", F.col("label").cast("double").alias("label"))
     n = rows.count()
-    left = list(range(len(features)))
-    per_round = max(1, int(len(features) * step))
-    found = {k: list(features) for k in keeps if k >= len(left)}
-    open_sizes = sorted((k for k in keeps if k < len(left)), reverse=True)
+    left = list(range(size))
+    per_round = max(1, int(size * step))
+    found = {k: list(left) for k in keeps if k >= size}
+    open_sizes = sorted((k for k in keeps if k < size), reverse=True)
     while open_sizes:
         sliced = VectorSlicer(inputCol="all", outputCol="features", indices=left).transform(rows)
         fitted = LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter).fit(sliced)
@@ -235,47 +235,72 @@ def rfe_path(train: DataFrame, features: Sequence[str], keeps: Sequence[int], st
             return [f for i, f in enumerate(left) if i not in gone]
         while open_sizes and len(left) - open_sizes[0] <= per_round:
             k = open_sizes.pop(0)
-            found[k] = [features[i] for i in without(len(left) - k)]
+            found[k] = without(len(left) - k)
         left = without(per_round)
     return found
 
 
+def rfe_path(train: DataFrame, features: Sequence[str], keeps: Sequence[int], step: float = 0.1) -> dict[int, list[str]]:
+    """``eliminate`` over columns: the features kept by size."""
+    rows = assemble(train, features, "all").select("all", F.col("label").cast("double").alias("label"))
+    return {k: [features[i] for i in kept] for k, kept in eliminate(rows, len(features), keeps, step).items()}
+
+
 def rfe(train: DataFrame, features: Sequence[str], keep: int, step: float = 0.1) -> list[str]:
     """The ``keep`` features that survive recursive elimination."""
     return rfe_path(train, features, [keep], step)[keep]
 
 
-def rfe_sweep(train: DataFrame, test: DataFrame, features: Sequence[str],
-              percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90)) -> DataFrame:
-    """Balanced accuracy on the test rows by percentage of features kept."""
-    sizes = {p: max(1, int(p / 100 * len(features))) for p in percentages}
-    kept = rfe_path(train, features, sorted(set(sizes.values())))
+def rfe_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90)) -> DataFrame:
+    """``sweep`` over columns."""
+    parts = (assemble(d, features, "all").select("all", F.col("label").cast("double").alias("label")) for d in (train, test))
+    return sweep(*parts, len(features), percentages)
+
+
+def sweep(train: DataFrame, test: DataFrame, size: int, percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90),
+              max_iter: int = 1000) -> DataFrame:
+    """Balanced accuracy on the test rows by percentage of features kept; both frames have ``all, label``."""
+    sizes = {p: max(1, int(p / 100 * size)) for p in percentages}
+    kept = eliminate(train, size, sorted(set(sizes.values())))
     parts = []
-    for percent, size in sizes.items():
-        rows = [assemble(d, kept[size]).select("features", F.col("label").cast("double").alias("label")) for d in (train, test)]
-        predicted = LogisticRegression(maxIter=100).fit(rows[0]).transform(rows[1])
+    for percent, count in sizes.items():
+        fit, held = (VectorSlicer(inputCol="all", outputCol="features", indices=kept[count]).transform(d) for d in (train, test))
+        predicted = LogisticRegression(maxIter=max_iter).fit(fit).transform(held)
         figure = multiclass_metrics(predicted, "label", "prediction", digits=6)
-        parts.append(figure.select(F.lit(percent).alias("percent"), F.lit(size).alias("features"), "balanced_accuracy"))
+        parts.append(figure.select(F.lit(percent).alias("percent"), F.lit(count).alias("features"), "balanced_accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def estimators(classes: int) -> dict[str, tuple[object, list]]:
-    """Classifier and parameter grid per name; extra trees become a forest on the whole sample."""
+# The search grids. A tree without depth limit gets the deepest one there is; a split of s rows leaves s // 2 a side.
+DEPTHS = (30, 10, 20)
+SPLITS = (2, 5, 10)
+STRENGTHS = (0.01, 0.1, 1.0, 10.0)
+ENSEMBLE_SIZES = (50, 100, 200)
+LEAVES = (15, 31)
+ROUNDS = (50, 100)
+RATE = 0.01
+
+
+def estimators(classes: int, rows: int) -> dict[str, tuple[object, list]]:
+    """Classifier and whole parameter grid per name for a fit on ``rows`` rows; extra trees become a forest on the whole sample."""
     def grid(estimator, **values):
         build = ParamGridBuilder()
         for name, options in values.items():
-            build = build.addGrid(estimator.getParam(name), options)
+            build = build.addGrid(estimator.getParam(name), list(options))
         return estimator, build.build()
-    boosted = GBTClassifier(seed=42, maxIter=10, stepSize=0.1)
+    sides = sorted({s // 2 for s in SPLITS})
+    boosted = GBTClassifier(seed=42, stepSize=RATE)
+    forest = {"numTrees": ENSEMBLE_SIZES, "maxDepth": DEPTHS, "minInstancesPerNode": sides[:2]}
     zoo = {
-        "Decision Tree": grid(DecisionTreeClassifier(seed=42), maxDepth=[5, 10]),
-        "Logistic Regression": grid(LogisticRegression(maxIter=100), regParam=[0.001, 0.1]),
-        "Random Forest": grid(RandomForestClassifier(seed=42), numTrees=[20, 50]),
-        "Extra Trees": grid(RandomForestClassifier(seed=42, subsamplingRate=1.0, bootstrap=False,
-                                                   featureSubsetStrategy="sqrt"), numTrees=[20]),
+        "Decision Tree": grid(DecisionTreeClassifier(seed=42), maxDepth=DEPTHS, minInstancesPerNode=sides),
+        "Logistic Regression": grid(LogisticRegression(maxIter=1000), regParam=[1.0 / (c * max(rows, 1)) for c in STRENGTHS]),
+        "Random Forest": grid(RandomForestClassifier(seed=42), **forest),
+        "Extra Trees": grid(RandomForestClassifier(seed=42, subsamplingRate=1.0, bootstrap=False, featureSubsetStrategy="sqrt"), **forest),
+        "Gradient Boosting": grid(boosted, maxDepth=[int(np.ceil(np.log2(n))) for n in LEAVES], maxIter=ROUNDS),
     }
-    zoo["Gradient Boosting"] = grid(boosted, maxDepth=[3]) if classes == 2 else (
-        OneVsRest(classifier=boosted), ParamGridBuilder().build())
+    if classes > 2:
+        one_vs_rest = [{OneVsRest.classifier: boosted.copy(g)} for g in zoo["Gradient Boosting"][1]]
+        zoo["Gradient Boosting"] = OneVsRest(classifier=boosted), one_vs_rest
     return zoo
 
 
@@ -287,18 +312,23 @@ def grid_search(train: DataFrame, estimator, grid, classes: int, folds: int = 3,
                           parallelism=parallelism, seed=42).fit(train)
 
 
-def model_zoo(train: DataFrame, test: DataFrame, features: Sequence[str], classes: int,
-              names: Sequence[str] | None = None) -> DataFrame:
-    """Test predictions of the best model per classifier: model, label, predicted, score of class 1."""
-    train, test = (assemble(d, features).select("features", F.col("label").cast("double").alias("label"))
-                   for d in (train, test))
-    parts = []
-    for name, (estimator, grid) in estimators(classes).items():
+def model_zoo(train: DataFrame, test: DataFrame, classes: int, names: Sequence[str] | None = None, grids: dict | None = None) -> DataFrame:
+    """Test predictions of the best model per classifier: model, label, predicted, scores of the classes.
+
+    Both frames have ``features, label``. ``grids`` may replace a classifier's grid by lists of parameter values.
+    """
+    rows, parts = train.count(), []
+    for name, (estimator, grid) in estimators(classes, rows).items():
         if names and name not in names:
             continue
+        if grids and name in grids:
+            build = ParamGridBuilder()
+            for param, options in grids[name].items():
+                build = build.addGrid(estimator.getParam(param), options)
+            grid = build.build()
         best = grid_search(train, estimator, grid, classes).bestModel
         predicted = best.transform(test)
-        score = (vector_to_array("probability")[1] if "probability" in predicted.columns else F.lit(None).cast("double"))
+        scores = vector_to_array("probability") if "probability" in predicted.columns else F.lit(None).cast("array<double>")
         parts.append(predicted.select(F.lit(name).alias("model"), F.col("label").cast("int").alias("label"),
-                                      F.col("prediction").cast("int").alias("predicted"), score.alias("score")))
+                                      F.col("prediction").cast("int").alias("predicted"), scores.alias("scores")))
     return reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import (basename_image, benign_technique, contains_ci, ilike_escaped, low_activity, pid_from_key,
                          risk_band)
 from ..schemas import ALERT_FIELDS, ALERT_THRESHOLD, DEFAULT_PAGE, MAX_PAGE
+from ..session import durable
 from .ordering import trailing
 
 # Rows shown by the stream list and the risk chart, score that counts as an anomaly.
@@ -109,12 +110,13 @@ def rolling_max(scored: DataFrame, group: Sequence[str] = ("computer",), rows: i
 
 def dashboard_kpis(scored: DataFrame) -> DataFrame:
     """Totals over all windows; average risk and anomalies over the newest rows on screen."""
-    chart = newest(scored, CHART_ROWS).withColumn("_risk", F.coalesce("risk_score", F.lit(MISSING_RISK)))
-    recent = Window.orderBy("window_start", F.desc("computer"), F.desc("process_key")).rowsBetween(-2, 0)
-    average = chart.select(F.max("_risk").over(recent).alias("s")).agg(F.avg("s"))  # CHART_ROWS rows
+    rows = durable(scored.select("window_start", "computer", "process_key", "risk_score", "anomaly_score"))  # windows are built once
+    chart = newest(rows, CHART_ROWS).withColumn("_risk", F.coalesce("risk_score", F.lit(MISSING_RISK)))
+    recent = Window.orderBy("window_start", F.desc("computer"), F.desc("process_key"))  # CHART_ROWS rows
+    shown = chart.select(F.max("_risk").over(recent.rowsBetween(-2, 0)).alias("s"), "anomaly_score", "risk_score",
+                         F.row_number().over(Window.orderBy(F.desc("window_start"), "computer", "process_key")).alias("rn"))
     elevated = (F.coalesce("anomaly_score", F.lit(0.0)) > 0) | (F.coalesce("risk_score", F.lit(0.0)) >= ANOMALY_RISK)
-    anomalies = newest(scored, STREAM_ROWS).agg(F.count_if(elevated))
-    out = scored.agg(F.count(F.lit(1)).alias("total_windows"))
-    risk = F.coalesce(average.scalar(), F.lit(0.0))
-    return out.select("total_windows", F.round(risk, 6).alias("average_risk"), risk_band(risk).alias("band"),
-                      anomalies.scalar().alias("anomalies"), (F.col("total_windows") / 10).alias("rate"))
+    figures = shown.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("risk"), F.count_if((F.col("rn") <= STREAM_ROWS) & elevated).alias("anomalies"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return figures.select(total.alias("total_windows"), F.round("risk", 6).alias("average_risk"), risk_band(F.col("risk")).alias("band"),
+                          "anomalies", (total / 10).alias("rate"))

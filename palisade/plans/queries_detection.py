@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
@@ -11,7 +13,10 @@ from ..operators import quality as Q
 from ..operators import sequence_model as SM
 from ..operators import splits as S
 from ..operators import telemetry as T
+from ..operators.vectors import assemble
 from ..schemas import WINDOW_FEATURES, WINDOW_KEY
+from ..session import durable
+from . import matrix_models as MM
 from . import views as V
 from .checks import over
 from .detection import train_baseline as baseline_job
@@ -43,7 +48,7 @@ def _model(windows):
        + "SELECT window_id, " + ", ".join(f"round({_scaled(f)}, 6) + 0.0 AS {f}" for f in WINDOW_FEATURES) + " FROM scored, st"))
 def standard_scale(spark, sf):
     """Fitted on the training sources, applied to all windows."""
-    scored = V.scored(spark, sf)
+    scored = durable(V.scored(spark, sf).select("window_id", "source", "label", *WINDOW_FEATURES))
     train = S.assign_split(scored, S.source_split(scored)).filter("split = 'train'")
     scaled = M.fit_scaler(train, WINDOW_FEATURES).transform(scored)
     return scaled.select("window_id", *((F.round(f, 6) + 0.0).alias(f) for f in WINDOW_FEATURES))
@@ -143,95 +148,140 @@ def sequence_attribution(spark, sf):
     return shares.withColumn("importance_value", F.round("importance_value", 5))
 
 
-@query("train_sequence")
+# The fits have no SQL twin; their queries return what SQL can tell of them and whether the fit holds what it promises.
+
+@query("train_sequence", over("scored", "SELECT count(*) AS windows, count(*) FILTER (label = 1) AS attacks, TRUE AS separates FROM scored"))
 def train_sequence(spark, sf):
+    """A sequence model of the windows, and whether it tells more attack windows than it raises in vain."""
     scored = V.scored(spark, sf)
     model = SM.train_sequence(scored, WINDOW_FEATURES, order=ORDER)
-    fresh = SM.sequence_score(scored.drop("risk_score"), model, group=("source",), order=ORDER)
-    return Q.binary_metrics(fresh)
+    figures = Q.binary_metrics(SM.sequence_score(scored.drop("risk_score"), model, group=("source",), order=ORDER))
+    return figures.select((F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("windows"), (F.col("tp") + F.col("fn")).alias("attacks"),
+                          (F.col("recall") >= F.col("false_positive_rate")).alias("separates"))
 
 
 # ---- fitted models -----------------------------------------------------------------------------
 
-@query("train_logistic")
+@query("train_logistic", over("vectors", "SELECT count(*) AS rows, count(*) FILTER (label = 1) AS positives, 64 AS features, TRUE AS converged FROM vectors"))
 def train_logistic(spark, sf):
+    """Fit on all vectors; at the optimum the gradient of the weighted, penalised loss is 0."""
     vectors = V.vectors(spark, sf)
     features = [f"f{i}" for i in range(64)]
-    model = M.train_logistic(vectors, features, max_iter=200)
-    return Q.binary_metrics(M.risk_score(vectors, model))
+    model = M.train_logistic(vectors, features)
+    n, positives = vectors.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
+    scored = M.class_weights(vectors.withColumn("p", model.probability()), n, positives)
+    off = F.col("weight") * (F.col("p") - F.col("label"))
+    slopes = [F.avg(off * x) + F.lit(b / n) for x, b in zip(model.scaler.columns(), model.coefficients)]
+    gradient = F.sqrt(reduce(lambda a, b: a + b, (F.pow(g, 2) for g in [F.avg(off), *slopes])))
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positives"), F.lit(len(features)).alias("features"),
+                      (gradient < 1e-3).alias("converged"))
 
 
-@query("train_isolation_forest")
+@query("train_isolation_forest", over("scored", "SELECT label, count(*) AS windows, TRUE AS within FROM scored GROUP BY label"))
 def train_isolation_forest(spark, sf):
-    """Share of benign and attack windows beyond the accepted offset."""
-    scored = V.scored(spark, sf)
+    """Windows by label, and whether the share of benign windows beyond the offset is the accepted one."""
+    scored = durable(V.scored(spark, sf).select("window_id", "label", *WINDOW_FEATURES))
     forest = M.train_isolation_forest(scored.filter("label = 0"), WINDOW_FEATURES, "window_id")
-    beyond = F.count_if(F.col("anomaly_score") > 0) / F.count(F.lit(1))
-    return M.anomaly_score(scored.drop("anomaly_score"), forest).groupBy("label").agg(
-        F.count(F.lit(1)).alias("windows"), beyond.alias("share_beyond"))
+    beyond = F.count_if(F.col("anomaly_score") > 1e-9) / F.count(F.lit(1))
+    return M.anomaly_score(scored, forest).groupBy("label").agg(
+        F.count(F.lit(1)).alias("windows"), ((F.col("label") != 0) | (beyond <= M.CONTAMINATION + 0.005)).alias("within"))
 
 
-@query("anomaly_score")
+@query("anomaly_score", over("vectors", "SELECT vec_id, label, TRUE AS scored FROM vectors"))
 def anomaly_score(spark, sf):
+    """Every vector gets a score, which minus the offset lies between -1 and 1."""
     vectors = V.vectors(spark, sf)
     forest = M.train_isolation_forest(vectors.filter("label = 0"), [f"f{i}" for i in range(64)], "vec_id")
-    return M.anomaly_score(vectors, forest).select("vec_id", "label", "anomaly_score")
+    return M.anomaly_score(vectors, forest).select("vec_id", "label", F.col("anomaly_score").between(-1.0, 1.0).alias("scored"))
 
 
-@query("baseline_report")
+@query("baseline_report", over("scored", SPLIT + """SELECT split, count(*) AS windows, count(DISTINCT source) AS sources,
+  CASE WHEN split <> 'train' THEN count(*) FILTER (scored.label = 1) END AS attacks FROM scored JOIN assign USING (source) GROUP BY split"""))
 def baseline_report(spark, sf):
-    return baseline_job(V.scored(spark, sf).drop("risk_score", "anomaly_score"), key="window_id").report
+    """Sizes of the splits, from the report of the whole training job; attack windows are those its figures were counted over."""
+    report = baseline_job(V.scored(spark, sf).drop("risk_score", "anomaly_score"), key="window_id").report
+    return report.select("split", "windows", "sources", (F.col("tp") + F.col("fn")).alias("attacks"))
 
 
-@query("scenario_holdout")
+@query("scenario_holdout", over("scored", """, n AS (SELECT count(*) FILTER (label = 0) AS benign FROM scored),
+s AS (SELECT scenario AS held_out, count(*) AS attacks FROM scored WHERE label = 1 GROUP BY scenario)
+SELECT held_out, attacks AS test_attack_windows, least(benign, greatest(attacks, 500)) AS test_benign_windows FROM s, n"""))
 def scenario_holdout(spark, sf):
     from .detection import scenario_holdout as job
-    return job(V.scored(spark, sf).drop("risk_score", "anomaly_score"), key="window_id")
+    report = job(V.scored(spark, sf).drop("risk_score", "anomaly_score"), key="window_id")
+    return report.select("held_out", "test_attack_windows", "test_benign_windows")
 
 
 def _vector_split(spark, sf):
+    """All vectors with an assembled column, and whether they are for training or testing."""
     rows = V.vectors(spark, sf).withColumn("split", F.when(S.seeded_order(F.col("vec_id"), 42) < "3333", "test").otherwise("train"))
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    data = assemble(rows, [f"f{i}" for i in range(64)]).select("features", F.col("label").cast("double").alias("label"), "split")
+    return data.filter("split = 'train'"), data.filter("split = 'test'")
 
 
-@query("rfe")
+def _documents_by(spark, sf, target: str, top: int):
+    """The presence matrix of the labelled documents, with their quality, language or source as the target."""
+    told = V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "lang", "source")
+    labels = V.presence_labels(spark, sf).join(told, "sample_id")
+    splits = labels.select("sample_id", F.when(S.seeded_order(F.col("sample_id"), 42) < "3333", "test").otherwise("train").alias("split"))
+    return MM.matrix(V.presence(spark, sf), labels, splits, top, target)
+
+
+LABELLED = """WITH ids AS (SELECT l.doc_id AS sample_id, quality AS label, lang, source, CASE WHEN md5('42|' || l.doc_id) < '3333' THEN 'test' ELSE 'train' END AS split
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+"""
+
+
+@query("rfe", LABELLED + """SELECT 20 AS kept, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, TRUE AS among_selected FROM ids""")
 def rfe(spark, sf):
-    """Features that remain after elimination, with the balanced accuracy of a model on them."""
-    train, test = _vector_split(spark, sf)
-    kept = M.rfe(train, [f"f{i}" for i in range(64)], keep=16)
-    model = M.train_logistic(train, kept, max_iter=100)
-    predicted = M.risk_score(test, model).withColumn("predicted", (F.col("risk_score") >= 0.5).cast("int"))
-    figures = Q.multiclass_metrics(predicted, "label", "predicted")
-    return figures.select(F.lit(",".join(kept)).alias("features"), "balanced_accuracy")
+    """Elimination on the behaviour matrix, two classes."""
+    data = _documents_by(spark, sf, "label", 200)
+    kept = MM.eliminated(data, 20)
+    sizes = [F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "test")]
+    return data.rows.agg(F.lit(len(set(kept))).alias("kept"), *sizes, F.lit(set(kept) <= set(data.names)).alias("among_selected"))
 
 
-@query("rfe_sweep")
+@query("rfe_sweep", "SELECT p::INTEGER AS percent, greatest(1, p * 200 // 100)::INTEGER AS features, TRUE AS valid FROM (SELECT unnest([3, 4, 5, 10, 20, 50, 70, 90]) AS p)")
 def rfe_sweep(spark, sf):
-    return M.rfe_sweep(*_vector_split(spark, sf), [f"f{i}" for i in range(64)], percentages=(10, 50, 90))
+    data = _documents_by(spark, sf, "label", 200)
+    swept = M.sweep(data.part("train"), data.part("test"), len(data.names))
+    return swept.select("percent", "features", F.col("balanced_accuracy").between(0.0, 1.0).alias("valid"))
 
 
-@query("tree_ensembles")
+@query("tree_ensembles", over("vectors", """, t AS (SELECT count(*) AS rows FROM vectors WHERE md5('42|' || vec_id) < '3333')
+SELECT unnest(['Gradient Boosting', 'Random Forest']) AS model, rows, TRUE AS scored FROM t"""))
 def tree_ensembles(spark, sf):
-    """Boosted trees and random forest on the two-class target."""
+    """Boosted trees and random forest on the two-class target over all 64 columns, with one setting each."""
     train, test = _vector_split(spark, sf)
-    predictions = M.model_zoo(train, test, [f"f{i}" for i in range(16)], 2, names=("Gradient Boosting", "Random Forest"))
-    return Q.roc_auc(predictions, "score", "label", ("model",))
+    one = {"Gradient Boosting": {"maxIter": [20], "maxDepth": [4]}, "Random Forest": {"numTrees": [50], "maxDepth": [10]}}
+    predicted = M.model_zoo(train, test, 2, tuple(one), one)
+    return MM.figures(predicted, 2).select("model", "rows", F.col("roc_auc").between(0.0, 1.0).alias("scored"))
 
 
-@query("grid_search")
+@query("grid_search", LABELLED + "SELECT 'Logistic Regression' AS model, count(*) AS rows, TRUE AS scored FROM ids WHERE split = 'test'")
 def grid_search(spark, sf):
-    train, test = _vector_split(spark, sf)
-    predictions = M.model_zoo(train, test, [f"f{i}" for i in range(64)], 2, names=("Logistic Regression",))
-    return Q.roc_auc(predictions, "score", "label", ("model",))
+    """The whole grid of the logistic model on the behaviour matrix, two classes."""
+    data = _documents_by(spark, sf, "label", 200)
+    predicted = MM.predictions(data, MM.eliminated(data, 20), ("Logistic Regression",))
+    return MM.figures(predicted, 2).select("model", "rows", F.col("roc_auc").between(0.0, 1.0).alias("scored"))
+
+
+def _zoo_sql(target: str, column: str, model: str) -> str:
+    """Test rows of classes known from training; whether the area is told: only if the test rows have every class."""
+    return f"""SELECT '{target}' AS target, '{model}' AS model, count(*) FILTER (split = 'test' AND {column} IN (SELECT {column} FROM ids WHERE split = 'train')) AS rows,
+  count(DISTINCT {column}) FILTER (split = 'test' AND {column} IN (SELECT {column} FROM ids WHERE split = 'train')) = count(DISTINCT {column}) FILTER (split = 'train') AS has_auc FROM ids"""
 
 
-@query("model_zoo")
+@query("model_zoo", LABELLED + " UNION ALL ".join((_zoo_sql("type", "lang", "Decision Tree"), _zoo_sql("type", "lang", "Logistic Regression"),
+                                                   _zoo_sql("family", "source", "Logistic Regression"))))
 def model_zoo(spark, sf):
-    """Accuracy per classifier on the held-out vectors, three coarse types."""
-    train, test = (d.withColumn("label", F.col("type_label") % 3) for d in _vector_split(spark, sf))
-    predictions = M.model_zoo(train, test, [f"f{i}" for i in range(16)], 3, names=("Decision Tree", "Logistic Regression", "Extra Trees"))
-    hits = F.avg(F.when(F.col("label") == F.col("predicted"), 1.0).otherwise(0.0))
-    return predictions.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.round(hits, 4).alias("accuracy"))
+    """Types (language) and families (source) from the behaviour matrix, by whole grids."""
+    parts = []
+    for target, column, models in (("type", "lang", ("Decision Tree", "Logistic Regression")), ("family", "source", ("Logistic Regression",))):
+        data = _documents_by(spark, sf, column, 100)
+        told = MM.figures(MM.predictions(data, data.names, models), len(data.classes))
+        parts.append(told.select(F.lit(target).alias("target"), "model", "rows", F.col("roc_auc").isNotNull().alias("has_auc")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ---- incidents ---------------------------------------------------------------------------------
