@@ -100,9 +100,8 @@ def all_features(reports: DataFrame) -> DataFrame:
 def presence_matrix(presence: DataFrame, names: Sequence[str], samples: DataFrame | None = None) -> DataFrame:
     """0/1 columns for a chosen list of names, one row per sample (all of ``samples`` when given)."""
     flags = [F.max(F.when(F.col("name") == n, 1).otherwise(0)).alias(n) for n in sorted(names)]
-    rows = presence.select("sample_id", "name")
-    if samples is not None:
-        rows = rows.unionByName(samples.select("sample_id", F.lit(None).cast("string").alias("name")))
+    everyone = (presence.select("sample_id").distinct() if samples is None else samples).select("sample_id", F.lit(None).cast("string").alias("name"))
+    rows = presence.filter(F.col("name").isin(*names)).select("sample_id", "name").unionByName(everyone)
     return rows.groupBy("sample_id").agg(*flags)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,18 +47,18 @@ def mutual_information(presence: DataFrame, labels: DataFrame, label: str = "lab
     return cells.groupBy(feature).agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("mi"))
 
 
-def _survival(x: float, df: int) -> float:
-    """Upper tail of the chi-square distribution for a whole number of degrees of freedom."""
-    half = x / 2
-    if df % 2 == 0:
-        tail, term, first = math.exp(-half), math.exp(-half), 1
-    else:
-        tail, term, first = math.erfc(math.sqrt(half)), math.sqrt(half) * math.exp(-half) / math.gamma(1.5), 0
-        if df > 1:
-            tail += term
-    for i in range(1, (df - 1) // 2 if df % 2 else df // 2):
-        term *= half / (i + (0.5 if df % 2 else 0))
-        tail += term
+def _survival(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tails of the chi-square distribution for whole degrees of freedom: a finite sum, taken for all rows together."""
+    half, odd = x / 2, df % 2 == 1
+    tail, term = np.exp(-half), np.exp(-half)
+    if odd.any():
+        tail[odd] = [math.erfc(v) for v in np.sqrt(half[odd])]
+        term[odd] = np.sqrt(half[odd]) * np.exp(-half[odd]) / math.gamma(1.5)
+        tail = np.where(odd & (df > 1), tail + term, tail)
+    steps = np.where(odd, (df - 1) // 2, df // 2)  # so many terms have been added, or are still to come
+    for i in range(1, int(steps.max(initial=0))):
+        term = term * half / (i + np.where(odd, 0.5, 0.0))
+        tail = np.where(i < steps, tail + term, tail)
     return tail
 
 
@@ -79,7 +80,7 @@ def chi_square(presence: DataFrame, labels: DataFrame, label: str = "label", fea
 
     @F.pandas_udf("double")
     def p_value(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([_survival(a, int(d)) for a, d in zip(x, df)])
+        return pd.Series(_survival(x.to_numpy(float), df.to_numpy(int)))
     return stats.withColumn("p_value", p_value("chi2", "df"))
 
 

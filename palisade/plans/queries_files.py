@@ -140,7 +140,7 @@ def json_to_jsonl(spark, sf):
     chunks = counts.chunk_index(events, ("row_id",), ARRAY_ROWS)
     arrays = chunks.groupBy("chunk").agg(F.to_json(F.collect_list(F.struct("row_id", "event_type", "user_id"))).alias("value"))
     source = scratch_path(spark, "arrays")
-    arrays.write.partitionBy("chunk").text(source)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(source)
     lines = files.json_to_jsonl(spark, source, scratch_path(spark, "lines"), "row_id BIGINT, event_type STRING, user_id BIGINT")
     return lines
 

@@ -44,6 +44,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/palisade/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables below ``<shared folder>/palisade``; call it when no result that was made from them is still to be read."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palisade")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: short lineage that survives lost executors.
 

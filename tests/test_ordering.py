@@ -132,3 +132,12 @@ def test_temporal_split_with_ties_and_missing_dates(spark):
         assert part["split"].tolist() == ["test"] * quota + ["train"] * (len(part) - quota)
     hidden = splits.temporal_split(spark.createDataFrame(frame.assign(d=None), "sample_id long, k int, d string"), "k", "d")
     assert {r["sample_id"] for r in hidden.filter("split = 'test' AND k = 0").collect()} == set(range(48, 60))
+
+
+def test_scratch_is_cleared_on_request(spark, tmp_path, monkeypatch):
+    from palisade import session
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    kept = session.durable(spark.range(3))
+    assert kept.count() == 3 and (tmp_path / "palisade").exists()
+    session.clear_scratch(spark)
+    assert not (tmp_path / "palisade").exists()
