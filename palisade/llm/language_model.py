@@ -149,7 +149,7 @@ def _training_words(batches: Iterator) -> Iterator:
         yield out()
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 20.0, block_tokens: int = 1 << 21, least_blocks: int = 64) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 300.0, block_tokens: int = 1 << 21, least_blocks: int = 64) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text, ...)``.
 
     The model learns from the rows where ``held_out`` is false (null counts as true). A-Z are lower-cased; a null text is

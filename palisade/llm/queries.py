@@ -35,7 +35,8 @@ def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     says = "<|im_end|><|im_start|>assistant ok"
-    probe = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(probe))
 

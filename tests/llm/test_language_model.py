@@ -15,7 +15,7 @@ def held():
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
-def brute(rows, order, strength=20.0):
+def brute(rows, order, strength=300.0):
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: [*(t or "").encode().lower().split(), "</s>"]
     grams, contexts = Counter(), Counter()
@@ -79,7 +79,7 @@ def _conditional(rows, context):
     total, seen = sum(counts.values()), sum(n for (a, _), n in after.items() if a == context)
     for word in [*counts, "unknown"]:
         base = (counts[word] + 1) / (total + len(counts) + 1)
-        yield (after[context, word] + 20 * base) / (seen + 20)
+        yield (after[context, word] + 300 * base) / (seen + 300)
 
 
 def test_no_training_texts(docs):
