@@ -193,7 +193,7 @@ class _Alerts(StatefulProcessor):
              + frames.max(axis=2) @ np.array(self.model.max_weights))
         batch["risk_score"] = np.where(batch["gated"], 0.0, 1.0 / (1.0 + np.exp(-z)))
         raised = batch[batch["risk_score"] >= self.threshold].drop_duplicates("window_us")
-        raised = raised[[not self.raised.containsKey((int(at),)) for at in raised["window_us"]]]
+        raised = raised[np.array([not self.raised.containsKey((int(at),)) for at in raised["window_us"]], bool)]
         seen = len(past) + len(batch)
         self.history.put([(row.tolist(),) for row in steps[-min(seen, length):]])
         for at, risk in zip(raised["window_us"], raised["risk_score"]):
