@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.llm.common import scratch_path, table
 from palisade.llm.language_id import fit, identify
@@ -22,16 +22,20 @@ SURROGATE_KEY = "corpus-surrogates"
 ORACLE_SQL = None  # fitted models, keyed surrogates and dynamic programming have no SQL twin
 
 
-def _row_key() -> Column:
-    return F.xxhash64("doc_id", "text", "lang", "source")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Each row as ``doc`` with a key of its values, which only equal rows share."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*docs.columns).alias("row"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told, in all columns as they were. Texts without a letter and those no language fits better than even go."""
-    rows = docs.select(_row_key().alias("row"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    judged = identify(rows, fit(docs))
-    rejected = judged.filter(~F.coalesce("accepted", F.lit(False))).select("row").distinct()
-    return docs.withColumn("row", _row_key()).join(rejected, "row", "left_anti").select(*docs.columns)
+    """Documents whose language is told, in all columns as they were.
+
+    Those go whose text has no letter (null and empty ones too) or whose most probable language is less likely than all others together.
+    """
+    keyed = _keyed(docs)
+    rows = keyed.select("row", "doc.text", F.col("doc.lang").alias("declared"), F.col("doc.source").alias("host"))
+    rejected = identify(rows, fit(docs.select("text", "lang"))).filter(~F.coalesce("accepted", F.lit(False))).select("row").distinct()
+    return keyed.join(rejected, "row", "left_anti").select("doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,21 +51,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets replaced; ``n_chars`` follows the new text."""
-    new = replace(docs, SURROGATE_KEY).withColumn("n_chars", F.when(F.col("entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return new.select(*docs.columns)
+    """All documents, personal data and secrets replaced; ``n_chars`` follows a changed text. Null texts stay null."""
+    new = replace(docs.select(F.struct(*docs.columns).alias("doc"), "text"), SURROGATE_KEY)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("entities") > 0, F.length("text")).otherwise(F.col("doc.n_chars")).cast("long")}
+    return new.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it does not take go. Those without words are left out."""
-    keyed = docs.withColumn("row", _row_key())
-    taken = mix(keyed.select(F.col("row").alias("doc_id"), "text", "source")).filter("taken > 0")
+    """Each document as often as the mix takes it; documents that it does not take go, and so do those without words."""
+    keyed = _keyed(docs)
+    taken = mix(keyed.select(F.col("row").alias("doc_id"), "doc.text", "doc.source")).filter("taken > 0")
     times = taken.groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("times")).withColumnRenamed("doc_id", "row")
     repeated = keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
     if not repeated.isEmpty():  # equal rows were counted one by one; one of them stands for all
-        one = keyed.join(repeated, "row", "left_semi").groupBy("row").agg(F.max(F.struct(*docs.columns)).alias("d")).select("row", "d.*")
-        keyed = keyed.join(repeated, "row", "left_anti").unionByName(one)
-    return keyed.join(times, "row").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+        one = keyed.join(repeated, "row", "left_semi").groupBy("row").agg(F.max("doc").alias("doc")).select("doc", "row")
+        keyed = keyed.join(repeated, "row", "left_anti").select("doc", "row").unionByName(one)
+    return keyed.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

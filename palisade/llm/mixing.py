@@ -3,7 +3,8 @@
 A source's target is spent in three steps. Whole passes over the source take what they can. Of the rest, every length gets
 its proportional number of documents, rounded down, from a histogram of exact lengths; a seeded order of lengths then adds
 single documents until the remaining budget is small. That budget is fitted by a bounded-knapsack (subset-sum) program over the
-lengths and their unused counts. Last, each length's documents are taken in a seeded order until its count is reached.
+lengths and their unused counts. Where that cannot be met by
+taking documents once more, repeats fill it up. Last, each length's documents are taken in a seeded order until its count is reached.
 """
 
 from __future__ import annotations
@@ -114,12 +115,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
         share = np.array([int(c) * budget // whole if whole else 0 for c in have], np.int64)
         share[sizes == 0] = 0
         share += fit(sizes, have - share, budget - int((share * sizes).sum()), seed)
-        return pd.DataFrame({"name": pdf.name, "size": sizes, "picked": share})
+        left = budget - int((share * sizes).sum())
+        if left > 0:  # only then are documents taken once more than others of their length
+            share += fit(sizes, have * (most - int(pdf.passes.iloc[0])) - share, left, seed + 1)
+        return pd.DataFrame({"name": pdf.name, "size": sizes, "count": have, "picked": share})
 
     # one group a source: a row for each different length, never for each document
-    picks = (counts.join(sources.drop("source"), "name").select("name", "size", "count", "source_size", "budget")
-             .groupBy("name").applyInPandas(choose, "name string, size long, picked long"))
+    picks = (counts.join(sources.drop("source"), "name").select("name", "size", "count", "source_size", "budget", "passes")
+             .groupBy("name").applyInPandas(choose, "name string, size long, count long, picked long"))
     plan = durable(picks.join(sources.drop("source", "budget"), "name"))
     ranked = group_rank(rows, ["name", "size"], "order", ["doc_id"]).join(plan, ["name", "size"])
-    taken = F.col("size") * (F.col("passes") + (F.col("rank") <= F.col("picked")).cast("long"))
+    once = F.floor(F.col("picked") / F.col("count")).cast("long")
+    taken = F.col("size") * (F.col("passes") + once + (F.col("rank") <= F.col("picked") - once * F.col("count")).cast("long"))
     return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

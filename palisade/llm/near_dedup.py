@@ -28,6 +28,7 @@ from .common import durable, mix64, one_per_id, word_hashes
 from .graph import components
 
 _COEFFICIENT = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = 32
 _ODDS = mix64(np.arange(1, 65, dtype=np.uint64) * _COEFFICIENT) | np.uint64(1)  # one factor for each place in a shingle
 
 
@@ -252,6 +253,14 @@ def _ended(batches):
     yield None
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for every salt, so that a class of very many copies is dealt to several tasks.
+
+    The hint keeps Spark from broadcasting it: its size check does not see that the rows are multiplied.
+    """
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))).hint("merge")
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document of ``docs(doc_id, text, ...)``.
 
@@ -263,8 +272,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = one_per_id(docs.filter("doc_id is not null"))
     sets = durable(signatures(named, p))
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = durable(sets.drop("sig").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep"))
+    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))
+    member = durable(sets.select("doc_id", "n_shingles", "d1", "d2", salt.alias("salt")).join(_salted(classes), ["d1", "d2", "salt"], "left")
+                     .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     stand = member.filter("doc_id = rep").select("doc_id")
     reps = sets.join(stand, "doc_id", "left_semi")
 
@@ -288,7 +299,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     late = _confirmed(_cells(live, sigs, p), texts, p)
     final = components(near.unionByName(late))
 
-    out = (member.join(final.withColumnRenamed("vertex", "rep"), "rep", "left")
+    out = (member.withColumn("salt", salt).join(_salted(final.withColumnRenamed("vertex", "rep")), ["rep", "salt"], "left")
            .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     bare = (named.select("doc_id").join(member.select("doc_id"), "doc_id", "left_anti")
             .unionByName(docs.filter("doc_id is null").select("doc_id"))

@@ -50,6 +50,12 @@ def test_mix_one_hot_length(docs):
     assert [r.taken for r in mix(docs([(1, None), (2, " ")])).collect()] == [0, 0]
 
 
+def test_mix_repeats_small_documents_where_a_large_one_does_not_fit(docs):
+    rows = [(0, "w " * 4000, "en", "b"), (1, "w " * 50, "en", "b"), (2, "w " * 30, "en", "b"), (3, "w " * 100, "en", "a")]
+    got = {r.doc_id: r.taken for r in mix(docs(rows)).collect()}
+    assert got == {0: 0, 1: 150, 2: 90, 3: 300}  # 3880 are wanted of b: less than its large document
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fit_finds_the_best_sum(seed):
     rng = random.Random(seed)
