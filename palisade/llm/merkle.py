@@ -84,20 +84,20 @@ def _pieces(docs: DataFrame, rows_each: int, most: int) -> tuple[Column, int]:
 def with_next(docs: DataFrame, rows_each: int = 1024, most: int = 65536) -> DataFrame:
     """``docs(doc_id, text)`` with ``next_text``: the text of the next row by descending doc_id (nulls last), after the last of the first.
 
-    Rows meet their neighbours in ranges of doc_id; the last row of a range takes the first of the next range that has rows, from a
-    table with one row a range. The table of ranges itself has at most ``most`` narrow rows.
+    Rows meet their neighbours in ranges of doc_id. The first row of the next range that has rows joins each range as a guest behind its
+    last row, so whole texts are shuffled once. The table of ranges has at most ``most`` narrow rows, that of guests a row a range.
     """
     piece, _ = _pieces(docs, rows_each, most)
     cut = docs.select("doc_id", "text", piece.cast("int").alias("piece"))
-    order = Window.partitionBy("piece").orderBy(F.desc_nulls_last("doc_id"), "text")
-    placed = cut.withColumns({"rn": F.row_number().over(order), "last": F.lead(F.lit(False), 1, True).over(order), "next_text": F.lead("text").over(order)})
-    held = cut.select("piece").distinct()  # ranges that have rows
+    order = (F.desc_nulls_last("doc_id"), "text")
     down = Window.orderBy(F.desc("piece"))
-    follows = held.select("piece", F.coalesce(F.lead("piece").over(down), F.max("piece").over(Window.partitionBy())).alias("follower"))
-    heads = placed.filter("rn = 1").select(F.col("piece").alias("follower"), F.col("text").alias("head"))
-    ends = (placed.filter("last").select("doc_id", "text", "piece").join(follows, "piece").join(heads, "follower")
-            .select("doc_id", "text", F.col("head").alias("next_text")))
-    return placed.filter("not last").select("doc_id", "text", "next_text").unionByName(ends)
+    follows = cut.select("piece").distinct().select("piece", F.coalesce(F.lead("piece").over(down), F.max("piece").over(Window.partitionBy())).alias("follower"))
+    first = cut.withColumn("rn", F.row_number().over(Window.partitionBy("piece").orderBy(*order))).filter("rn = 1")
+    guests = follows.join(first.select(F.col("piece").alias("follower"), "text"), "follower").select(
+        F.lit(None).cast("long").alias("doc_id"), "text", "piece", F.lit(1).alias("guest"))
+    rows = cut.withColumn("guest", F.lit(0)).unionByName(guests)
+    follow = F.lead("text").over(Window.partitionBy("piece").orderBy("guest", *order))
+    return rows.withColumn("next_text", follow).filter("guest = 0").select("doc_id", "text", "next_text")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     picks = (counts.join(sources.drop("source"), "name").select("name", "size", "count", "source_size", "budget", "passes")
              .groupBy("name").applyInPandas(choose, "name string, size long, count long, picked long"))
     plan = durable(picks.join(sources.drop("source", "budget"), "name"))
-    ranked = group_rank(rows, ["name", "size"], "order", ["doc_id"]).join(plan, ["name", "size"])
+    ranked = group_rank(rows, ["name", "size"], "order", ["doc_id"]).join(plan.hint("merge"), ["name", "size"])  # its file is far smaller than its rows
     once = F.floor(F.col("picked") / F.col("count")).cast("long")
     taken = F.col("size") * (F.col("passes") + once + (F.col("rank") <= F.col("picked") - once * F.col("count")).cast("long"))
     return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
