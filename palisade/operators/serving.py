@@ -66,6 +66,7 @@ def page_bounds(limit=DEFAULT_PAGE, offset=0) -> tuple[int, int]:
 def page(df: DataFrame, order: Sequence[Column], limit=DEFAULT_PAGE, offset=0) -> DataFrame:
     """One page in the given order, each row with the total number of matching rows."""
     limit, offset = page_bounds(limit, offset)
+    df = durable(df)  # the matching rows are made once, for the page and the total
     total = df.agg(F.count(F.lit(1)))
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total.scalar())
 
