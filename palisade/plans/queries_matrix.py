@@ -15,14 +15,18 @@ from .registry import query
 
 EXTRACTS = {
     "api": ["'API:Nt' || event_type", "'API:Reg' || (k % 7)"],
-    "registry": [r"'REG:OPENED:HKLM\A' || (k % 11)", r"CASE WHEN k % 2 = 0 THEN 'REG:WRITTEN:HKCU\Run' || (k % 5) END"],
-    "file": [r"'FILE:CREATED:c:\temp\f' || (k % 13) || '.txt'", r"CASE WHEN k % 3 = 0 THEN 'FILE:DELETED:c:\docs\' || event_type END"],
-    "directory": [r"'DIRECTORY:ENUMERATED:c:\users\u' || (user_id % 6)"],
+    "registry": [r"'REG:OPENED:HKLM\A' || (k % 11)", r"CASE WHEN k % 2 = 0 THEN 'REG:WRITTEN:HKCU\Run' || (k % 5) END",
+                 r"CASE WHEN k % 4 = 0 THEN 'REG:DELETED:HKU\D' || (k % 3) END", r"'REG:READ:HKCR\R' || event_type"],
+    "file": [r"'FILE:CREATED:c:\temp\f' || (k % 13) || '.txt'", r"CASE WHEN k % 3 = 0 THEN 'FILE:DELETED:c:\docs\' || event_type END",
+             r"'FILE:RECREATED:c:\r' || (k % 6)", r"'FILE:OPENED:d:\o' || (k % 8)", r"'FILE:OPENED:d:\o' || (k % 3)",
+             r"CASE WHEN k % 5 = 0 THEN 'FILE:WRITTEN:c:\w' || (k % 9) END", r"'FILE:EXISTS:c:\e' || (k % 4)",
+             r"CASE WHEN k % 6 = 0 THEN 'FILE:FAILED:c:\x' || (k % 3) END", r"'FILE:READ:c:\l' || (user_id % 7)"],
+    "directory": [r"'DIRECTORY:ENUMERATED:c:\users\u' || (user_id % 6)", r"'DIRECTORY:CREATED:c:\n' || (k % 5)"],
     "string": ["'STRING:str' || k", "'STRING:' || event_type"],
     "network": ["CASE WHEN k % 10 = 1 THEN 'NETWORK:CONNECTS_IP:10.0.0.' || (k % 16) END",
-                "'NETWORK:RESOLVES_HOST:c2-' || (k % 4) || '.example'"],
+                "'NETWORK:RESOLVES_HOST:c2-' || (k % 4) || '.example'", "CASE WHEN k % 3 = 1 THEN 'NETWORK:CONNECTS_HOST:h' || (k % 6) || '.ex' END"],
     "system": ["'SYSTEM:DLL_LOADED:kernel' || (k % 3) || '.dll'", "'SYSTEM:DLL_LOADED:ntdll.dll'",
-               "'SYSTEM:MUTEX:m' || (user_id % 9)"],
+               "'SYSTEM:MUTEX:m' || (user_id % 9)", "'SYSTEM:COMMAND_LINE:run ' || event_type", "'SYSTEM:GUID:{a' || (k % 10) || '}'"],
     "dropped": ["'DROP:EXTENSION:ext' || (k % 6)", "'DROP:TYPE:pe32_executable_(gui)'",
                 "CASE WHEN k % 2 = 0 THEN 'DROP:TYPE:ascii_text' END"],
     "signature": ["'SIGNATURE:sig_' || event_type"],

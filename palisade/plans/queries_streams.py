@@ -120,10 +120,12 @@ def stream_alerts(spark, sf):
     return scored.select("computer", "process_key", "window_start", F.round("risk_score", 6).alias("risk_score"), "alert_created")
 
 
-@query("stream_incidents", over("scored", LIVE + """SELECT DISTINCT window_start AS "timestamp", computer, 'ACTIVE' AS status FROM r WHERE risk >= 0.85"""))
+@query("stream_incidents", over("scored", LIVE + """SELECT window_start AS "timestamp", computer, min_by(technique_id, process_key) AS ransomware_family,
+  round(min_by(risk, process_key), 6) AS risk_score, 'ACTIVE' AS status FROM r WHERE risk >= 0.85 GROUP BY window_start, computer"""))
 def stream_incidents(spark, sf):
     incidents = live.incidents_of(_alerts(spark, sf))
-    return _ntz(_run(incidents, "incidents"), "timestamp").select("timestamp", "computer", "status")
+    rows = _ntz(_run(incidents, "incidents"), "timestamp").withColumn("risk_score", F.round("risk_score", 6))
+    return rows.select("timestamp", "computer", "ransomware_family", "risk_score", "status")
 
 
 @query("alert_handoff", over("scored", """, a AS (SELECT * FROM scored WHERE risk_score >= 0.5 AND window_start >= TIMESTAMP '2024-01-05'),

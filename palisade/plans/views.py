@@ -127,6 +127,18 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("resolves_host"), F.array(text("C2-", k % 4, ".Example")),
         F.lit("dll_loaded"), F.array(text("KERNEL", k % 3, ".dll"), F.lit("ntdll.DLL")),
         F.lit("mutex"), F.array(text("M", uid % 9)),
+        F.lit("regkey_deleted"), F.when(k % 4 == 0, F.array(text("HKU\\D", k % 3))).otherwise(none),
+        F.lit("regkey_read"), F.array(text("HKCR\\R", kind)),
+        F.lit("file_recreated"), F.array(text("C:\\R", k % 6)),
+        F.lit("file_opened"), F.array(text("D:\\O", k % 8), text("D:\\O", k % 3)),
+        F.lit("file_written"), F.when(k % 5 == 0, F.array(text("C:\\W", k % 9))).otherwise(none),
+        F.lit("file_exists"), F.array(text("C:\\E", k % 4)),
+        F.lit("file_failed"), F.when(k % 6 == 0, F.array(text("C:\\X", k % 3))).otherwise(none),
+        F.lit("file_read"), F.array(text("C:\\L", uid % 7)),
+        F.lit("directory_created"), F.array(text("C:\\N", k % 5)),
+        F.lit("connects_host"), F.when(k % 3 == 1, F.array(text("H", k % 6, ".EX"))).otherwise(none),
+        F.lit("command_line"), F.array(text("Run ", kind)),
+        F.lit("guid"), F.array(text("{A", k % 10, "}")),
         F.lit("unrelated"), F.array(F.lit("ignored")))
     dropped = F.array(
         F.struct(text("a.b.EXT", k % 6).alias("name"), F.lit("PE32 executable (GUI)").alias("type")),
