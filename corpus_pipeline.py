@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palisade.llm.common import scratch_path, table
 from palisade.llm.language_id import fit, identify
 from palisade.llm.mixing import mix
-from palisade.llm.near_dedup import near_duplicates
+from palisade.llm.near_dedup import NearDedup, near_duplicates
 from palisade.llm.packing import pack
 from palisade.llm.surrogates import replace
 
 #: The key of the surrogates; a production job passes its own, from its secret store.
 SURROGATE_KEY = "corpus-surrogates"
+#: Stages link at a similarity of 0.8 or more; more and shorter bands, so that a link at 0.8 is missed with a chance of 1.4e-7.
+NEAR = NearDedup(percent=80, bands=52, rows=6)
 ORACLE_SQL = None  # fitted models, keyed surrogates and dynamic programming have no SQL twin
 
 
@@ -39,8 +41,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; rows that repeat a doc_id go too."""
-    go = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    """One document of each group of near duplicates (``NEAR``), the one with the least doc_id; rows that repeat a doc_id go too."""
+    go = near_duplicates(docs, NEAR).filter(~F.col("kept")).select("doc_id")
     left = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
     repeated = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     if repeated.isEmpty():

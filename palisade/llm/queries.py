@@ -11,7 +11,7 @@ import corpus_pipeline
 from . import chat, language_id, language_model, merkle, surrogates, url_filter
 from .common import table
 from .mixing import mix
-from .near_dedup import near_duplicates
+from .near_dedup import NearDedup, near_duplicates
 from .packing import pack
 from .topk import top_k
 
@@ -71,7 +71,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents"), NearDedup(percent=85))
 
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
