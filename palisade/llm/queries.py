@@ -116,7 +116,7 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_near_s
 
 def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return language_model.score(table(spark, folder, "documents"), held_out)
+    return language_model.score(table(spark, folder, "documents"), held_out, order=3)
 
 
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:

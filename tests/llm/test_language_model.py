@@ -56,6 +56,15 @@ def test_equals_brute_force(clashing, order):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_query_scores_with_trigrams(spark, docs, tmp_path):
+    from palisade.llm.queries import op9_language_model
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in op9_language_model(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute(rows, 3)}, rel=1e-9)
+
+
 def test_states_add_up_to_one(docs):
     """After a seen word, an unseen word and at the start: the probabilities of the vocabulary, the end and one unknown word."""
     train = [(i, t) for i, t in enumerate(["a b a b c", "b a c", "c c a", "a b"] * 3)]
