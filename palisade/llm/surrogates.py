@@ -28,15 +28,16 @@ _NAME = r"\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30}){0,2}"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _KNOWN = "|".join(n for names in GIVEN.values() for n in names)
 _END = r"(?![\p{L}\p{N}_])"
-#: What is found, by kind, in this order where two could begin at the same place. Each begins behind no letter, digit or underscore.
+#: What is found, by kind, in this order where two could begin at the same place. Each begins behind no letter, digit or underscore; a secret word may
+#: stand behind an underscore. A secret runs to its closing quote, or to white space or a quote without the punctuation before it.
 PATTERNS = {
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_]|\.\d)",
     "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})" + _END,
     "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
     "card": r"(?<!\d-)[3-6](?:\d{12,18}|\d{3}(?:[ \-]\d{4}){3}|\d{3}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\p{N}_\-])",
-    "person": rf"(?:(?:{_TITLE})\.?[ ](?:{_NAME})(?:[ ]{_NAME})?|(?:{_KNOWN})[ ]{_NAME})" + _END,
-    "secret": r"""(?i:password|passwd|secret|token|api[_\-]?key|access[_\-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9+/_\-]{8,512}+""",
-    "key": r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "person": rf"(?:(?:{_TITLE})\.?[ ](?:{_NAME})(?:[ ]{_NAME}){{0,30}}|(?:{_KNOWN})(?:[ ]{_NAME}){{1,30}})" + _END,
+    "secret": r"""(?i:password|passwd|secret|token|api[_\-]?key|access[_\-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}(?:"[^"\r\n]{8,}+(?="|$)|'[^'\r\n]{8,}+(?='|$)|["']?[^\s"']{7,}[^\s"'.,;:!?)\]}>])""",
+    "key": r"(?:AKIA[0-9A-Z]{16,}|ghp_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,})(?![A-Za-z0-9])",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
 }
 
@@ -47,7 +48,7 @@ def _any(*kinds: str) -> str:
 
 # most places are ruled out by one sign; the patterns are tried at the others only
 _PLAIN = (r"(?=[0-9(+A-Zaghpst\u0400-\u04FF])(?<![\p{L}\p{N}_])(?:(?=[0-9(+])(?:" + _any("ip", "phone", "ssn", "card") + r")|(?=[A-Z\u0400-\u04FF])(?:" + _any("person")
-          + r")|(?=[aAgpPsStT])(?:" + _any("secret", "key") + "))")
+          + r")|(?=[Ags])(?:" + _any("key") + r"))|(?=[aApPsStT])(?<![\p{L}\p{N}])(?:" + _any("secret") + ")")
 _ANY = rf"{_PLAIN}|(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+\-])(?:{_any('email')})"
 _LETTERS = {"digit": "0123456789", "hex": "0123456789abcdef", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _BYTES = 96
@@ -76,7 +77,7 @@ def _poured(text: Column, bits: Column, hexadecimal: Column | None = None) -> Co
     def one(c, i):
         n = bits[i % _BYTES]
         kind = F.when(c.rlike("[0-9]"), _at(_LETTERS["digit"], n)).when(c.rlike("[a-z]"), _at(_LETTERS["lower"], n)).when(
-            c.rlike("[A-Z]"), _at(_LETTERS["upper"], n)).otherwise(c)
+            c.rlike("[A-Z]"), _at(_LETTERS["upper"], n)).when(c.rlike(r"[\p{L}\p{M}\p{N}]"), _at(_LETTERS["lower"], n)).otherwise(c)
         return kind if hexadecimal is None else F.when(hexadecimal, _at(_LETTERS["hex"], n)).otherwise(kind)
     return F.array_join(F.transform(F.filter(_chars(text), lambda c: c != ""), one), "")
 
@@ -122,15 +123,14 @@ def _identified(mentions: DataFrame) -> DataFrame:
     m = F.col("mention")
     words = F.split(m, " ", -1)
     titled = m.rlike(rf"^(?:{_TITLE})\.? ")
-    names = F.when(titled, F.slice(words, 2, 3)).otherwise(words)
+    names = F.when(titled, F.slice(words, 2, F.size(words))).otherwise(words)
     bare = F.when(titled, F.regexp_replace(words[0], r"\.$", "")).otherwise("")
     prefix = F.when(F.col("kind") == "secret", F.regexp_extract(m, r"""(?i)^([a-z_\-]+["']?[ \t]*[=:][ \t]*["']?)""", 1)).when(
         F.col("kind") == "person", F.when(titled, F.concat(words[0], F.lit(" "))).otherwise("")).otherwise("")
     one = lambda kind, identity: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), identity.alias("identity"))
-    given, surname = F.when(F.size(names) > 1, names[0]), names[F.size(names) - 1]
-    person = F.filter(F.array(
-        F.when(given.isNotNull(), one(F.concat_ws(":", F.lit("given"), _script(given), F.col("gender")), given)),
-        one(F.concat(F.lit("surname:"), _script(surname)), surname)), lambda x: x.isNotNull())
+    last = F.size(names) - 1  # the surname; all names before it are given names
+    person = F.transform(names, lambda x, i: one(
+        F.when(i < last, F.concat_ws(":", F.lit("given"), _script(x), F.col("gender"))).otherwise(F.concat(F.lit("surname:"), _script(x))), x))
     digits = F.regexp_replace(m, r"\D", "")
     parts = (F.when(F.col("kind") == "person", person)
              .when(F.col("kind") == "email", F.array(one("email", F.lower(m))))

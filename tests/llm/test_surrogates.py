@@ -35,6 +35,19 @@ def test_kinds_formats_and_coreference(docs):
     assert rest(got).startswith(rest("Write to ")) and got.endswith(re.search(r"ssn \d{3}-\d{2}-\d{4}$", got)[0])
 
 
+def test_mentions_go_as_a_whole(docs):
+    long = "Ab3" * 200
+    gone = {1: (f"token={long} end", [long[500:]]), 2: ("token: eyJhbGciOi.eyJzdWIiOjE.SflKxwRJSM", ["eyJzdWIiOjE", "SflKxwRJSM"]),
+            3: ("password=Pa$$w0rd!xyz ok", ["w0rd", "xyz"]), 4: ("DB_PASSWORD=hunter2hunter2", ["hunter2"]), 5: ("client_secret: 'one two three four'", ["two", "four"]),
+            6: ("sk-" + long[:90], [long[30:60]]), 7: ("sk-proj-" + long[:40], [long[:40]]), 8: ("Mr John Paul Smith left", ["John", "Paul", "Smith"]),
+            9: ("Maria Elena Garcia left", ["Maria", "Elena", "Garcia"]), 10: ("secret=пароль-очень", ["пароль", "очень"])}
+    got = out(replace(docs([(i, t) for i, (t, _) in gone.items()]), "k"))
+    for i, (text, parts) in gone.items():
+        assert got[i][1] == 1 and not [p for p in parts if p in got[i][0]], (text, got[i])
+    assert got[1][0].endswith(" end") and got[3][0].endswith(" ok") and got[4][0].startswith("DB_PASSWORD=") and got[5][0].endswith("'")
+    assert len(got[8][0].split()) == 5 and got[8][0].startswith("Mr ") and got[8][0].endswith(" left")
+
+
 def test_same_over_documents_and_runs_other_with_another_key(docs):
     rows = [(i, f"mail a{i % 5}@b.example.com now") for i in range(40)]
     one, two, three = out(replace(docs(rows), "k")), out(replace(docs(rows[::-1]), "k")), out(replace(docs(rows), "other"))
