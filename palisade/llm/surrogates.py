@@ -97,10 +97,24 @@ def _gender(title: Column, given: Column) -> Column:
     out = F.lit("")
     for gender in "fm":
         names = [n for (_, g), ns in GIVEN.items() if g == gender for n in ns]
-        out = F.when(title.isin(TITLES[gender]) | ((title == "") & given.isin(names)), F.lit(gender)).otherwise(out)
+        neutral = ~title.isin(*TITLES["f"], *TITLES["m"])
+        out = F.when(title.isin(TITLES[gender]) | (neutral & given.isin(names)), F.lit(gender)).otherwise(out)
     return out
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """``kind, identity`` of ``parts(part_kind, identity, gender)``, each once; a given name's kind ends with its one gender in the corpus.
+
+    That is the gender it is listed with, else that of most of its mentions, else none.
+    """
+    votes = F.sum((F.col("gender") == "f").cast("long") - (F.col("gender") == "m").cast("long"))
+    known = _gender(F.lit(""), F.col("identity"))
+    gender = F.when(known != "", known).when(F.col("votes") > 0, "f").when(F.col("votes") < 0, "m").otherwise("")
+    given = F.col("part_kind").startswith("given:")
+    return parts.groupBy("part_kind", "identity").agg(votes.alias("votes")).select(
+        F.when(given, F.concat("part_kind", F.lit(":"), gender)).otherwise(F.col("part_kind")).alias("kind"), "identity")
+
+
 def mentions_of(text: Column) -> Column:
     """All mentions in a text, in order. Only texts with an at sign are searched for addresses."""
     return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(_ANY), 0)).otherwise(F.regexp_extract_all(text, F.lit(_PLAIN), 0))
@@ -130,7 +144,7 @@ def _identified(mentions: DataFrame) -> DataFrame:
     one = lambda kind, identity: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), identity.alias("identity"))
     last = F.size(names) - 1  # the surname; all names before it are given names
     person = F.transform(names, lambda x, i: one(
-        F.when(i < last, F.concat_ws(":", F.lit("given"), _script(x), F.col("gender"))).otherwise(F.concat(F.lit("surname:"), _script(x))), x))
+        F.when(i < last, F.concat(F.lit("given:"), _script(x))).otherwise(F.concat(F.lit("surname:"), _script(x))), x))
     digits = F.regexp_replace(m, r"\D", "")
     parts = (F.when(F.col("kind") == "person", person)
              .when(F.col("kind") == "email", F.array(one("email", F.lower(m))))
@@ -230,10 +244,10 @@ def replace(docs: DataFrame, secret_key: str, text: str = "text") -> DataFrame:
     dirty = found.filter(F.size("_true") > 0).withColumn("_row", F.xxhash64("_text"))
     held = durable(dirty.select("_row", F.explode(F.array_distinct("_true")).alias("mention")))
     mentions = durable(_identified(held.select("mention").distinct()))
-    parts = mentions.select("mention", "kind", "prefix", F.posexplode("parts").alias("at", "part")).select(
-        "mention", "kind", "prefix", "at", F.col("part.kind").alias("part_kind"), F.col("part.identity").alias("identity"))
-    assigned = assign(parts.select(F.col("part_kind").alias("kind"), "identity"), key)
-    whole = (parts.join(assigned.withColumnRenamed("kind", "part_kind"), ["part_kind", "identity"])
+    parts = mentions.select("mention", "kind", "prefix", "gender", F.posexplode("parts").alias("at", "part")).select(
+        "mention", "kind", "prefix", "gender", "at", F.col("part.kind").alias("part_kind"), F.col("part.identity").alias("identity"))
+    assigned = assign(_settled(parts), key).select(F.regexp_replace("kind", "^(given:[a-z]+):.*$", "$1").alias("part_kind"), "identity", "surrogate")
+    whole = (parts.join(assigned, ["part_kind", "identity"])
              .groupBy("mention", "kind", "prefix").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("s")))
     new = durable(whole.select("mention", _rendered(F.col("mention"), F.col("kind"), F.col("prefix"), F.transform("s", lambda x: x["surrogate"])).alias("new")))
     tables = (held.join(new, "mention").groupBy("_row").agg(F.collect_set(F.struct("mention", "new")).alias("_pairs"))

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from palisade.llm.surrogates import assign, mentions_of, replace
+from palisade.llm.surrogates import GIVEN, assign, mentions_of, replace
 
 TEXT = ("Write to Jo.Doe@Firm.example.org or jo.doe@firm.example.org, call +1 (310) 555-4510 or +1 310 555 4510; card 4111 1111 1111 1111 and 4111111111111111. "
         'token = "e03422dad6b454724135" and password=Abc12345xy; from 10.20.30.40. Mrs Anna Schmidt met Mr. Schmidt; госпожа Анна Иванова. ssn 123-45-6789')
@@ -48,6 +48,13 @@ def test_mentions_go_as_a_whole(docs):
     assert len(got[8][0].split()) == 5 and got[8][0].startswith("Mr ") and got[8][0].endswith(" left")
 
 
+def test_one_given_name_is_one_person_behind_any_title(docs):
+    rows = ["Dr Anna Schmidt", "Anna Schmidt", "Mrs Anna Schmidt", "Prof. Anna Schmidt", "Herr Quentin Meyer", "Dr Quentin Meyer"]
+    got = [t.split() for t, _ in (v for _, v in sorted(out(replace(docs(list(enumerate(rows))), "k")).items()))]
+    assert len({tuple(t[-2:]) for t in got[:4]}) == 1 and len({tuple(t[-2:]) for t in got[4:]}) == 1
+    assert got[0][1] in GIVEN["latin", "f"] and got[4][1] in GIVEN["latin", "m"] and got[0][0] == "Dr"
+
+
 def test_same_over_documents_and_runs_other_with_another_key(docs):
     rows = [(i, f"mail a{i % 5}@b.example.com now") for i in range(40)]
     one, two, three = out(replace(docs(rows), "k")), out(replace(docs(rows[::-1]), "k")), out(replace(docs(rows), "other"))
