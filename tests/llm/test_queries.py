@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are
 COLUMNS = {
     "op4_mix_to_weights": ["doc_id", "size", "source_size", "target", "taken"],
     "op7_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    "op11_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 
@@ -37,4 +38,4 @@ def test_agreed_columns_over_all_rows(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n[2:].split("_")[0]) for n in Q.QUERIES if n != "pipeline"]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in Q.QUERIES and set(Q.CHECKS) <= set(Q.QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in Q.QUERIES and set(Q.CHECKS) <= set(Q.QUERIES)
