@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import sigmoid
 from ..schemas import ALERT_THRESHOLD
 from ..session import durable
-from .quality import multiclass_metrics
+from .logistic_fits import Fit, fit_many, predicted
+from .quality import multiclass_metrics, roc_auc
 from .vectors import align_to_model, assemble
 
 # Fixed values of the anomaly model.
@@ -214,36 +214,44 @@ def anomaly_score(df: DataFrame, forest: IsolationForest, name: str = "anomaly_s
 
 # ---- behaviour-matrix models -------------------------------------------------------------------
 
-def eliminate(rows: DataFrame, size: int, keeps: Sequence[int], step: float = 0.1, max_iter: int = 10_000, c: float = 1.0) -> dict[int, list[int]]:
-    """Recursive elimination on ``rows(all, label)``: refit, drop the weakest squared coefficients, until few enough remain.
+STRENGTHS = (0.01, 0.1, 1.0, 10.0)  # fixed values: inverse penalties of the search
 
-    Each round drops ``step`` of the original number of features; every fit is a distributed job. All wanted sizes
-    share one path: a size is reached by a smaller last drop from the round before it. Gives the places kept by size.
+def _all_rows(models: int):
+    return lambda batch: np.ones((models, batch.num_rows))
+
+
+def eliminate(rows: DataFrame, size: int, keeps: Sequence[int], classes: int = 2, step: float = 0.1, c: float = 1.0) -> dict[int, list[int]]:
+    """Recursive elimination on ``rows(y, x or places)``: refit, drop the weakest squared coefficients, until few enough remain.
+
+    Each round drops ``step`` of the original number of features, those of least weight and of equals the first. A round is a mask over the one table and starts at
+    the last round's coefficients; no row is copied or narrowed. All wanted sizes share one path: a size is reached by a
+    smaller last drop from the round before it. Gives the places kept by size. Write ``rows`` out first, they are read once a step of each fit.
     """
-    n = rows.count()
-    left = list(range(size))
+    n = max(rows.count(), 1)
+    left, start = np.arange(size), None
     per_round = max(1, int(size * step))
-    found = {k: list(left) for k in keeps if k >= size}
+    found = {k: left.tolist() for k in keeps if k >= size}
     open_sizes = sorted((k for k in keeps if k < size), reverse=True)
     while open_sizes:
-        sliced = VectorSlicer(inputCol="all", outputCol="features", indices=left).transform(rows)
-        fitted = LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter).fit(sliced)
-        weakest = np.argsort(np.square(fitted.coefficientMatrix.toArray()).sum(axis=0), kind="stable")
-
-        def without(count: int) -> list[int]:
-            gone = set(weakest[:count])
-            return [f for i, f in enumerate(left) if i not in gone]
+        used = np.zeros(size, bool)
+        used[left] = True
+        start = fit_many(rows, size, [Fit(1.0 / (c * n), used, start=start)], _all_rows(1), classes, tolerance=1e-5)[0]
+        weakest = np.argsort(np.square(start[:, left]).sum(axis=0), kind="stable")
         while open_sizes and len(left) - open_sizes[0] <= per_round:
             k = open_sizes.pop(0)
-            found[k] = without(len(left) - k)
-        left = without(per_round)
+            found[k] = np.delete(left, weakest[:len(left) - k]).tolist()
+        left = np.delete(left, weakest[:per_round])
     return found
 
 
+def _dense(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``y`` and the features as ``x``, null as 0."""
+    return durable(rows.select(F.col("label").cast("double").alias("y"), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)).alias("x")))
+
+
 def rfe_path(train: DataFrame, features: Sequence[str], keeps: Sequence[int], step: float = 0.1) -> dict[int, list[str]]:
     """``eliminate`` over columns: the features kept by size."""
-    rows = assemble(train, features, "all").select("all", F.col("label").cast("double").alias("label"))
-    return {k: [features[i] for i in kept] for k, kept in eliminate(rows, len(features), keeps, step).items()}
+    return {k: [features[i] for i in kept] for k, kept in eliminate(_dense(train, features), len(features), keeps, step=step).items()}
 
 
 def rfe(train: DataFrame, features: Sequence[str], keep: int, step: float = 0.1) -> list[str]:
@@ -253,28 +261,55 @@ def rfe(train: DataFrame, features: Sequence[str], keep: int, step: float = 0.1)
 
 def rfe_sweep(train: DataFrame, test: DataFrame, features: Sequence[str], percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90)) -> DataFrame:
     """``sweep`` over columns."""
-    parts = (assemble(d, features, "all").select("all", F.col("label").cast("double").alias("label")) for d in (train, test))
-    return sweep(*parts, len(features), percentages)
+    return sweep(_dense(train, features), _dense(test, features), len(features), percentages)
+
 
+def sweep(train: DataFrame, test: DataFrame, size: int, percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90), classes: int = 2, c: float = 1.0) -> DataFrame:
+    """Balanced accuracy on the test rows by percentage of features kept; both frames have ``y`` and ``x`` or ``places``.
 
-def sweep(train: DataFrame, test: DataFrame, size: int, percentages: Sequence[int] = (3, 4, 5, 10, 20, 50, 70, 90),
-              max_iter: int = 1000) -> DataFrame:
-    """Balanced accuracy on the test rows by percentage of features kept; both frames have ``all, label``."""
+    All percentages are refitted together, with the penalty of the elimination.
+    """
     sizes = {p: max(1, int(p / 100 * size)) for p in percentages}
-    kept = eliminate(train, size, sorted(set(sizes.values())))
+    kept = eliminate(train, size, sorted(set(sizes.values())), classes, c=c)
+    n = max(train.count(), 1)
+    used = [np.isin(np.arange(size), kept[count]) for count in sizes.values()]
+    tables = fit_many(train, size, [Fit(1.0 / (c * n), u) for u in used], _all_rows(len(used)), classes)
+    told = durable(predicted(test, size, tables, ["y"], lambda batch: np.ones((len(used), batch.num_rows), bool)))
     parts = []
-    for percent, count in sizes.items():
-        fit, held = (VectorSlicer(inputCol="all", outputCol="features", indices=kept[count]).transform(d) for d in (train, test))
-        predicted = LogisticRegression(maxIter=max_iter).fit(fit).transform(held)
-        figure = multiclass_metrics(predicted, "label", "prediction", digits=6)
+    for i, (percent, count) in enumerate(sizes.items()):
+        figure = multiclass_metrics(told.filter(F.col("model") == i), "y", "predicted", digits=6)
         parts.append(figure.select(F.lit(percent).alias("percent"), F.lit(count).alias("features"), "balanced_accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def logistic_search(rows: DataFrame, size: int, classes: int, folds: int = 3, strengths: Sequence[float] = STRENGTHS) -> tuple[float, np.ndarray, DataFrame]:
+    """The best strength, the model refitted with it, and ``strength, figure`` of all; ``rows`` has ``y``, ``x`` or ``places``, and ``fold`` from 0.
+
+    Every fold and strength is a model of one fit, scored on its own fold: by the area under the ROC curve for two classes, by weighted F1 for more.
+    The figure is the mean over the folds that have one; of equal figures the first strength is taken.
+    """
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = max(sum(sizes.values()), 1)
+    pairs = [(c, f) for c in strengths for f in range(folds)]
+    of = np.array([f for _, f in pairs])
+    tables = fit_many(rows, size, [Fit(1.0 / (c * max(n - sizes.get(f, 0), 1))) for c, f in pairs],
+                      lambda b: (b.column("fold").to_numpy()[None, :] != of[:, None]).astype(float), classes, tolerance=1e-5)
+    told = durable(predicted(rows, size, tables, ["y"], lambda b: b.column("fold").to_numpy()[None, :] == of[:, None]))
+    if classes == 2:
+        figures = roc_auc(told.withColumn("score", F.col("scores")[1]), "score", "y", ("model",)).select("model", F.col("roc_auc").alias("figure"))
+        figures = {r["model"]: r["figure"] for r in figures.collect()}
+    else:
+        figures = {i: multiclass_metrics(told.filter(F.col("model") == i), "y", "predicted", digits=9).first()["f1"] for i in range(len(pairs))}
+    by = {c: [figures[i] for i, (d, _) in enumerate(pairs) if d == c and figures.get(i) is not None] for c in strengths}
+    mean = {c: sum(v) / len(v) if v else None for c, v in by.items()}
+    best = max(strengths, key=lambda c: (mean[c] is not None, mean[c] or 0.0, -list(strengths).index(c)))
+    table = fit_many(rows, size, [Fit(1.0 / (best * n))], _all_rows(1), classes, tolerance=1e-6)[0]
+    return best, table, rows.sparkSession.createDataFrame(list(mean.items()), "strength double, figure double")
+
+
 # The search grids. A tree without depth limit gets the deepest one there is; a split of s rows leaves s // 2 a side.
 DEPTHS = (30, 10, 20)
 SPLITS = (2, 5, 10)
-STRENGTHS = (0.01, 0.1, 1.0, 10.0)
 ENSEMBLE_SIZES = (50, 100, 200)
 LEAVES = (15, 31)
 ROUNDS = (50, 100)
@@ -293,7 +328,7 @@ def estimators(classes: int, rows: int) -> dict[str, tuple[object, list]]:
     forest = {"numTrees": ENSEMBLE_SIZES, "maxDepth": DEPTHS, "minInstancesPerNode": sides[:2]}
     zoo = {
         "Decision Tree": grid(DecisionTreeClassifier(seed=42), maxDepth=DEPTHS, minInstancesPerNode=sides),
-        "Logistic Regression": grid(LogisticRegression(maxIter=1000), regParam=[1.0 / (c * max(rows, 1)) for c in STRENGTHS]),
+        "Logistic Regression": grid(LogisticRegression(maxIter=1000, standardization=False), regParam=[1.0 / (c * max(rows, 1)) for c in STRENGTHS]),
         "Random Forest": grid(RandomForestClassifier(seed=42), **forest),
         "Extra Trees": grid(RandomForestClassifier(seed=42, subsamplingRate=1.0, bootstrap=False, featureSubsetStrategy="sqrt"), **forest),
         "Gradient Boosting": grid(boosted, maxDepth=[int(np.ceil(np.log2(n))) for n in LEAVES], maxIter=ROUNDS),

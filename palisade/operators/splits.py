@@ -145,3 +145,12 @@ def holdout_assignment(df: DataFrame, scenario: str, key: str, seed: int = 42) -
 def attack_scenarios(df: DataFrame) -> DataFrame:
     """Distinct attack scenarios."""
     return df.filter((F.col("label") == 1) & F.col("scenario").isNotNull()).select("scenario").distinct()
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 3, seed: int = 42) -> DataFrame:
+    """Rows with ``fold`` from 0: within each label, dealt in turn in the seeded order of the key, so every fold has its share of each label.
+
+    A null label is one label. The numbering spreads a hot label over many tasks.
+    """
+    order = row_numbered(df, [label], [seeded_order(F.col(key), seed), key], "_rank")
+    return order.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")

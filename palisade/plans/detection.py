@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import quality as Q
 from ..operators import serving
 from ..operators import splits as S
+from ..operators.logistic_fits import Fit, fit_many, moments, predicted
 from ..operators.models import (IsolationForest, LinearModel, risk_score, train_isolation_forest, train_logistic)
+from ..operators.ordering import row_numbered
 from ..schemas import ALERT_THRESHOLD, WINDOW_FEATURES
 from ..session import durable
 from ..sources.alerts import write_alerts
@@ -53,25 +55,47 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
                      seed: int = 42) -> DataFrame:
     """Leave each attack scenario out of training and measure on it plus a benign sample.
 
-    The loop runs over scenario names only; every fit and measurement inside it is distributed. A scenario that
-    leaves a part with one class keeps its name and has no figures.
+    The sample is ``splits.holdout_assignment``'s, taken for all scenarios from one numbering of the benign rows. All models are fitted in one scan a step
+    and scored in one more, however many scenarios there are; the driver gets the scenarios' names and sizes and their coefficients.
+    A scenario that leaves a part with one class keeps its name and has no figures.
     """
-    rows = durable(windows.select(key, "label", "scenario", *features))
-    names = [r[0] for r in S.attack_scenarios(rows).orderBy("scenario").collect()]
+    spark = windows.sparkSession
+    values = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    rows = windows.select(F.col(key).alias("key"), F.col("label").cast("int").alias("y"), "scenario", values.alias("x")).filter("y in (0, 1)")
+    benign = row_numbered(rows.filter("y = 0"), [], [S.seeded_order(F.col("key"), seed), "key"], "place")
+    attacks = rows.filter("y = 1")
+    sizes = attacks.filter("scenario is not null").groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()
+    names, held = [r["scenario"] for r in sizes], np.array([r["n"] for r in sizes])
     if len(names) < 2:
         raise ValueError("Need at least 2 attack scenarios for held-out evaluation.")
-    parts = []
-    for name in names:
-        marked = S.holdout_assignment(rows, name, key, seed)
-        train, test = marked.filter("part = 'train'"), marked.filter("part = 'test'")
-        classes = marked.groupBy("part").agg(F.countDistinct("label").alias("n")).filter("n = 2").count()
-        if classes == 2:
-            scored = risk_score(test, train_logistic(train, features), threshold=0.5)
-            parts.append(scored.select(F.lit(name).alias("held_out"), "label", "risk_score"))
-    report = rows.sparkSession.createDataFrame([(n,) for n in names], "held_out string")
-    if not parts:
+    numbers = spark.createDataFrame(list(enumerate(names)), "number int, scenario string")
+    marked = (attacks.join(numbers, "scenario", "left").select("y", "x", F.coalesce("number", F.lit(-1)).alias("number"), F.lit(0).cast("long").alias("place"))
+              .unionByName(benign.select("y", "x", F.lit(-1).alias("number"), F.col("place").cast("long").alias("place"))))
+    marked = durable(marked)
+    drawn = np.maximum(held, S.MIN_HOLDOUT_BENIGN)
+    every = np.arange(len(names))[:, None]
+
+    def tested(batch) -> np.ndarray:
+        y, number, place = (batch.column(c).to_numpy()[None, :] for c in ("y", "number", "place"))
+        return np.where(y == 1, number == every, place <= drawn[:, None])
+
+    counts, means, deviations = moments(marked, len(features), len(names), lambda b: (~tested(b)).astype(float))
+    whole = counts.sum(1)
+    total = marked.agg(F.count_if(F.col("y") == 0)).first()[0]
+    both = (counts > 0).all(1) & (held > 0) & (total > 0)
+    report = spark.createDataFrame([(n,) for n in names], "held_out string")
+    if not both.any():
         return report
-    scored = reduce(DataFrame.unionByName, parts)
+    share = np.where(both[:, None], whole[:, None] / (2 * np.maximum(counts, 1)), 0.0)
+
+    def weigh(batch) -> np.ndarray:
+        return np.where(tested(batch), 0.0, share[:, batch.column("y").to_numpy()])
+
+    fits = [Fit(1.0 / max(n, 1), mean=m, deviation=d) for n, m, d in zip(whole, means, deviations)]
+    tables = fit_many(marked, len(features), fits, weigh)
+    told = predicted(marked, len(features), tables, ["y"], lambda b: tested(b) & both[:, None], fits)
+    scored = durable(told.join(numbers.withColumnRenamed("number", "model"), "model")
+                     .select(F.col("scenario").alias("held_out"), F.col("y").alias("label"), F.col("scores")[1].alias("risk_score")))
     figures = Q.binary_metrics(scored, group=("held_out",)).join(Q.roc_auc(scored, group=("held_out",)), "held_out")
     return (report.join(figures, "held_out", "left")
             .withColumns({"test_attack_windows": F.col("tp") + F.col("fn"), "test_benign_windows": F.col("fp") + F.col("tn")}))

@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import CountVectorizerModel, VectorSlicer
+import numpy as np
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import selection as L
+from ..operators import splits as S
+from ..operators.logistic_fits import predicted
 from ..session import durable
 
 
+#: Fixed value: the least mutual information, in nats, of a name that goes into the models.
+LEAST_INFORMATION = 0.01
+_PLACES = 1 << 20
+
+
 @dataclass(frozen=True)
 class Matrix:
-    """``rows(sample_id, label, split, all)`` with a sparse 0/1 vector over ``names``; labels are numbered from 0 by frequency in ``classes``."""
+    """``rows(sample_id, y, split, fold, places)``: for each sample the places in ``names`` of those it shows; labels are numbered from 0 by frequency in ``classes``.
+
+    ``fold`` deals the training samples of each class in turn, null for the others.
+    """
 
     rows: DataFrame
     names: tuple[str, ...]
@@ -26,37 +38,63 @@ class Matrix:
         return self.rows.filter(F.col("split") == split)
 
 
-def matrix(presence: DataFrame, labels: DataFrame, splits: DataFrame, top: int, label: str = "label") -> Matrix:
-    """The ``top`` names by mutual information on the training samples, as sparse vectors of all samples.
+def matrix(presence: DataFrame, labels: DataFrame, splits: DataFrame, label: str = "label", least: float = LEAST_INFORMATION) -> Matrix:
+    """All samples over all names whose mutual information on the training samples is ``least`` or more.
 
-    Only the chosen names reach the driver, as the vocabulary; a sample's names are at most ``top``. No wide columns are made.
+    The chosen names reach the driver, as a model over them must; a sample is one row with the places of its names. No wide columns are made.
     """
     known = labels.select("sample_id", F.col(label).alias("label")).filter(F.col("label").isNotNull()).join(splits.select("sample_id", "split"), "sample_id")
     known = durable(known)
     train = known.filter("split = 'train'")
     scores = L.mutual_information(L.restrict(presence, train), train)
-    names = sorted(r[0] for r in L.top_k(scores, top).select(L.FEATURE).collect())
+    names = sorted(r[0] for r in scores.filter(F.col("mi") >= least).select(L.FEATURE).collect())
     classes = [r[0] for r in train.groupBy("label").count().orderBy(F.desc("count"), "label").collect()]
-    chosen = presence.sparkSession.createDataFrame([(n,) for n in names], f"{L.FEATURE} string")
-    shown = presence.join(chosen, L.FEATURE, "left_semi").groupBy("sample_id").agg(F.collect_set(L.FEATURE).alias("shown"))
-    number = F.create_map(*(F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))))
-    rows = (known.join(shown, "sample_id", "left").withColumn("shown", F.coalesce("shown", F.array().cast("array<string>")))
-            .withColumn("label", number[F.col("label")]).filter(F.col("label").isNotNull()))
-    vectors = CountVectorizerModel.from_vocabulary(names, "shown", "all").setBinary(True).transform(rows)
-    return Matrix(durable(vectors.select("sample_id", "label", "split", "all")), tuple(names), tuple(classes))
+    spark = presence.sparkSession
+    numbered = spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"{L.FEATURE} string, place int")
+    shown = presence.join(numbered, L.FEATURE).groupBy("sample_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    number = spark.createDataFrame([(c, i) for i, c in enumerate(classes)], f"label {train.schema['label'].dataType.simpleString()}, y int")
+    rows = (known.join(number, "label").join(shown, "sample_id", "left")
+            .select("sample_id", "y", "split", F.coalesce("places", F.array().cast("array<int>")).alias("places")))
+    rows = durable(rows)
+    folds = S.stratified_folds(rows.filter("split = 'train'").select("sample_id", "y"), "sample_id", "y").select("sample_id", "fold")
+    shown_in_all = rows.agg(F.sum(F.size("places"))).first()[0] or 0
+    pieces = max(1, -(-shown_in_all // _PLACES))  # a task of a fit returns sums as long as the names, so it should read more than that
+    return Matrix(durable(rows.join(folds, "sample_id", "left").repartition(pieces)), tuple(names), tuple(classes))
 
 
 def eliminated(data: Matrix, keep: int) -> list[str]:
     """The ``keep`` names that survive recursive elimination on the training samples."""
-    return [data.names[i] for i in M.eliminate(data.part("train"), len(data.names), [keep])[keep]]
+    return [data.names[i] for i in M.eliminate(data.part("train"), len(data.names), [keep], len(data.classes))[keep]]
 
 
-def predictions(data: Matrix, keep: Sequence[str], names: Sequence[str] | None = None, grids: dict | None = None) -> DataFrame:
-    """Predictions of the searched models on the test samples, from the kept names only."""
+def narrowed(data: Matrix, keep: Sequence[str]) -> Matrix:
+    """The matrix over the kept names only, in their order."""
     place = {n: i for i, n in enumerate(data.names)}
-    slicer = VectorSlicer(inputCol="all", outputCol="features", indices=[place[n] for n in keep])
-    train, test = (slicer.transform(data.part(s)).select("features", "label") for s in ("train", "test"))
-    return M.model_zoo(train, test, len(data.classes), names, grids)
+    new = F.create_map(*(F.lit(x) for i, n in enumerate(keep) for x in (place[n], i)))
+    places = F.sort_array(F.filter(F.transform("places", lambda p: F.try_element_at(new, p)), lambda p: p.isNotNull()))
+    return Matrix(data.rows.withColumn("places", places), tuple(keep), data.classes)
+
+
+def logistic(data: Matrix) -> DataFrame:
+    """Test predictions of the searched logistic model: model, label, predicted, scores."""
+    rows = durable(data.rows)
+    _, table, _ = M.logistic_search(rows.filter("split = 'train'"), len(data.names), len(data.classes))
+    told = predicted(rows.filter("split = 'test'"), len(data.names), [table], ["y"], lambda b: np.ones((1, b.num_rows), bool))
+    return told.select(F.lit("Logistic Regression").alias("model"), F.col("y").alias("label"), "predicted", "scores")
+
+
+def predictions(data: Matrix, names: Sequence[str] | None = None, grids: dict | None = None) -> DataFrame:
+    """Test predictions of the searched models over the matrix; the logistic model's folds and strengths are one fit, tree models are searched by the tuner."""
+    parts = []
+    if names is None or "Logistic Regression" in names:
+        parts.append(logistic(data))
+    trees = [n for n in M.estimators(len(data.classes), 1) if n != "Logistic Regression" and (names is None or n in names)]
+    if trees:
+        size = len(data.names)
+        vector = F.udf(lambda places: SparseVector(size, places, [1.0] * len(places)), VectorUDT())  # one small row helper, for the tree models only
+        train, test = (data.part(s).select(vector("places").alias("features"), F.col("y").cast("double").alias("label")) for s in ("train", "test"))
+        parts.append(M.model_zoo(train, test, len(data.classes), trees, grids))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def figures(predicted: DataFrame, classes: int) -> DataFrame:

@@ -20,6 +20,7 @@ from . import matrix_models as MM
 from . import views as V
 from .checks import over
 from .detection import train_baseline as baseline_job
+from .queries_matrix import mi_sql
 from .queries_samples import SPLIT
 from .registry import query
 
@@ -219,12 +220,28 @@ def _vector_split(spark, sf):
     return data.filter("split = 'train'"), data.filter("split = 'test'")
 
 
-def _documents_by(spark, sf, target: str, top: int):
+def _split(labels):
+    return labels.select("sample_id", F.when(S.seeded_order(F.col("sample_id"), 42) < "3333", "test").otherwise("train").alias("split"))
+
+
+def _documents_by(spark, sf, target: str):
     """The presence matrix of the labelled documents, with their quality, language or source as the target."""
     told = V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "lang", "source")
     labels = V.presence_labels(spark, sf).join(told, "sample_id")
-    splits = labels.select("sample_id", F.when(S.seeded_order(F.col("sample_id"), 42) < "3333", "test").otherwise("train").alias("split"))
-    return MM.matrix(V.presence(spark, sf), labels, splits, top, target)
+    return MM.matrix(V.presence(spark, sf), labels, _split(labels), target)
+
+
+PLANTS = 5
+
+
+def _planted(spark, sf):
+    """The same matrix with five more names, each on a hashed half of the documents, and their majority as the target."""
+    ids = V.presence_labels(spark, sf).join(V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id")), "sample_id").select("sample_id")
+    there = F.filter(F.array(*(F.lit(f"plant-{i}") for i in range(PLANTS))), lambda n: F.md5(F.concat(n, F.lit("|"), F.col("sample_id").cast("string")).cast("binary")) < "8")
+    shown = ids.withColumn("plants", there)
+    labels = shown.select("sample_id", (F.size("plants") > PLANTS // 2).cast("int").alias("label"))
+    plants = shown.select("sample_id", F.explode("plants").alias("name"))
+    return MM.matrix(V.presence(spark, sf).unionByName(plants), labels, _split(labels))
 
 
 LABELLED = """WITH ids AS (SELECT l.doc_id AS sample_id, quality AS label, lang, source, CASE WHEN md5('42|' || l.doc_id) < '3333' THEN 'test' ELSE 'train' END AS split
@@ -232,22 +249,46 @@ LABELLED = """WITH ids AS (SELECT l.doc_id AS sample_id, quality AS label, lang,
 """
 
 
-@query("rfe", LABELLED + """SELECT 20 AS kept, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, TRUE AS among_selected FROM ids""")
+_IDS = LABELLED.replace("WITH ids", ", ids") + ", tr AS (SELECT sample_id, label FROM ids WHERE split = 'train')"
+
+
+@query("rfe", over("presence", _IDS + mi_sql("tr") + """, m AS (SELECT count(*) AS names FROM mi WHERE mi >= 0.01)
+SELECT least(20, any_value(names))::INTEGER AS kept, any_value(names)::INTEGER AS names, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows FROM ids, m"""))
 def rfe(spark, sf):
-    """Elimination on the behaviour matrix, two classes."""
-    data = _documents_by(spark, sf, "label", 200)
+    """Elimination on the whole behaviour matrix, two classes."""
+    data = _documents_by(spark, sf, "label")
     kept = MM.eliminated(data, 20)
     sizes = [F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "test")]
-    return data.rows.agg(F.lit(len(set(kept))).alias("kept"), *sizes, F.lit(set(kept) <= set(data.names)).alias("among_selected"))
+    return data.rows.agg(F.lit(len(set(kept) & set(data.names))).alias("kept"), F.lit(len(data.names)).alias("names"), *sizes)
 
 
-@query("rfe_sweep", "SELECT p::INTEGER AS percent, greatest(1, p * 200 // 100)::INTEGER AS features, TRUE AS valid FROM (SELECT unnest([3, 4, 5, 10, 20, 50, 70, 90]) AS p)")
+@query("rfe_planted", over("presence", f""", ids AS (SELECT doc_id AS sample_id, CASE WHEN md5('42|' || doc_id) < '3333' THEN 'test' ELSE 'train' END AS split FROM labels JOIN documents USING (doc_id)),
+shown AS (SELECT sample_id, name FROM ids, (SELECT 'plant-' || unnest(range({PLANTS})) AS name) WHERE md5(name || '|' || sample_id) < '8'),
+tr AS (SELECT sample_id, (count(name) > {PLANTS // 2})::INTEGER AS label FROM ids LEFT JOIN shown USING (sample_id) WHERE split = 'train' GROUP BY sample_id),
+every AS (SELECT sample_id, name FROM presence UNION ALL SELECT sample_id, name FROM shown)""" + mi_sql("tr", "every") + f""", m AS (SELECT count(*) AS names FROM mi WHERE mi >= 0.01)
+SELECT 'plant-' || unnest(range({PLANTS})) AS name, names::INTEGER AS names FROM m"""))
+def rfe_planted(spark, sf):
+    """The names that elimination keeps of the whole matrix, where a few planted ones decide the class."""
+    data = _planted(spark, sf)
+    kept = MM.eliminated(data, PLANTS)
+    return spark.createDataFrame([(n,) for n in kept], "name string").withColumn("names", F.lit(len(data.names)))
+
+
+@query("rfe_sweep", over("presence", _IDS + mi_sql("tr") + """, m AS (SELECT count(*) AS names FROM mi WHERE mi >= 0.01)
+SELECT p::INTEGER AS percent, greatest(1, p * names // 100)::INTEGER AS features, TRUE AS valid FROM (SELECT unnest([3, 4, 5, 10, 20, 50, 70, 90]) AS p), m"""))
 def rfe_sweep(spark, sf):
-    data = _documents_by(spark, sf, "label", 200)
+    data = _documents_by(spark, sf, "label")
     swept = M.sweep(data.part("train"), data.part("test"), len(data.names))
     return swept.select("percent", "features", F.col("balanced_accuracy").between(0.0, 1.0).alias("valid"))
 
 
+@query("stratified_folds", LABELLED + """SELECT sample_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sample_id), sample_id) - 1) % 3)::INTEGER AS fold FROM ids""")
+def stratified_folds(spark, sf):
+    """The folds of the searches: the samples of each class dealt in turn."""
+    ids = V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+    return S.stratified_folds(V.presence_labels(spark, sf).join(ids, "sample_id").select("sample_id", "label"), "sample_id", "label")
+
+
 @query("tree_ensembles", over("vectors", """, t AS (SELECT count(*) AS rows FROM vectors WHERE md5('42|' || vec_id) < '3333')
 SELECT unnest(['Gradient Boosting', 'Random Forest']) AS model, rows, TRUE AS scored FROM t"""))
 def tree_ensembles(spark, sf):
@@ -261,8 +302,8 @@ def tree_ensembles(spark, sf):
 @query("grid_search", LABELLED + "SELECT 'Logistic Regression' AS model, count(*) AS rows, TRUE AS scored FROM ids WHERE split = 'test'")
 def grid_search(spark, sf):
     """The whole grid of the logistic model on the behaviour matrix, two classes."""
-    data = _documents_by(spark, sf, "label", 200)
-    predicted = MM.predictions(data, MM.eliminated(data, 20), ("Logistic Regression",))
+    data = _documents_by(spark, sf, "label")
+    predicted = MM.predictions(MM.narrowed(data, MM.eliminated(data, 20)), ("Logistic Regression",))
     return MM.figures(predicted, 2).select("model", "rows", F.col("roc_auc").between(0.0, 1.0).alias("scored"))
 
 
@@ -272,16 +313,22 @@ def _zoo_sql(target: str, column: str, model: str) -> str:
   count(DISTINCT {column}) FILTER (split = 'test' AND {column} IN (SELECT {column} FROM ids WHERE split = 'train')) = count(DISTINCT {column}) FILTER (split = 'train') AS has_auc FROM ids"""
 
 
-@query("model_zoo", LABELLED + " UNION ALL ".join((_zoo_sql("type", "lang", "Decision Tree"), _zoo_sql("type", "lang", "Logistic Regression"),
-                                                   _zoo_sql("family", "source", "Logistic Regression"))))
+def _zoo(spark, sf, target: str, column: str, models: tuple):
+    data = _documents_by(spark, sf, column)
+    told = MM.figures(MM.predictions(data, models), len(data.classes))
+    return told.select(F.lit(target).alias("target"), "model", "rows", F.col("roc_auc").isNotNull().alias("has_auc"))
+
+
+@query("model_zoo", LABELLED + " UNION ALL ".join((_zoo_sql("type", "lang", "Decision Tree"), _zoo_sql("type", "lang", "Logistic Regression"))))
 def model_zoo(spark, sf):
-    """Types (language) and families (source) from the behaviour matrix, by whole grids."""
-    parts = []
-    for target, column, models in (("type", "lang", ("Decision Tree", "Logistic Regression")), ("family", "source", ("Logistic Regression",))):
-        data = _documents_by(spark, sf, column, 100)
-        told = MM.figures(MM.predictions(data, data.names, models), len(data.classes))
-        parts.append(told.select(F.lit(target).alias("target"), "model", "rows", F.col("roc_auc").isNotNull().alias("has_auc")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Types (language) from the whole behaviour matrix, by whole grids."""
+    return _zoo(spark, sf, "type", "lang", ("Decision Tree", "Logistic Regression"))
+
+
+@query("model_zoo_family", LABELLED + _zoo_sql("family", "source", "Logistic Regression"))
+def model_zoo_family(spark, sf):
+    """Families (source) from the whole behaviour matrix, by the whole grid of the logistic model."""
+    return _zoo(spark, sf, "family", "source", ("Logistic Regression",))
 
 
 # ---- incidents ---------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
 # Searches and fits that take more than ten seconds even on small tables run with PALISADE_ALL=1 only.
-SLOW = {"rfe_sweep", "tree_ensembles", "model_zoo", "grid_search", "scenario_holdout", "baseline_report", "rfe"}
+SLOW = {"rfe_sweep", "tree_ensembles", "model_zoo", "model_zoo_family", "rfe_planted", "grid_search", "scenario_holdout", "baseline_report", "rfe"}
 CORPUS = re.compile(r"op\d+_|pipeline$")  # tested in tests/llm
 CHOSEN = sorted(n for n in entry.oracle_sql() if not CORPUS.match(n) and (n not in SLOW or os.environ.get("PALISADE_ALL")))
 
