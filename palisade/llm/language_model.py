@@ -12,7 +12,9 @@ so every state's probabilities add up to 1. A text's tokens are its words and on
 
 The model is as large as the corpus and never broadcast. Documents are dealt to blocks. A block sends each shard of the model the
 hashes of its different n-grams with their counts in training texts; the shard adds up all blocks' counts and answers
-each block in the block's own order. So one exchange both trains and asks, a frequent n-gram costs one entry a block, and a block
+each block in the block's own order. So one exchange both trains and asks, and a frequent n-gram costs one entry a block. The longest
+n-grams, which are most, follow in a second exchange, and only those that another block can have: another block must have the two shorter n-grams
+in it, without its last and without its first symbol. For all others the block's own count is the total, so nothing is left out. A block
 then walks its texts through the part of the automaton that they reach. Words and n-grams are known by 64-bit hashes.
 """
 
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, word_hashes
+from .common import mix64, word_count, word_hashes
 
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the start of a text and the end token
 _NEXT = np.uint64(0xD1342543DE82EF95)
@@ -155,62 +157,107 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 3
     The model learns from the rows where ``held_out`` is false (null counts as true). A-Z are lower-cased; a null text is
     empty and has the end token only. ``base_score`` is the sum of log10 p(w) without context, ``score`` that of the automaton;
     ``n_known`` counts tokens seen in training. Equal rows are separate documents; an empty table gives no rows, and without
-    training texts every token is unknown. Other columns are not looked at.
+    training texts every token is unknown. Other columns are not looked at. Blocks are dealt by doc_id and text, so rows without doc_id spread; equal rows meet in
+    one block. A block has about ``block_tokens`` tokens, of training texts or not, and is held by one task; a text is never split, so one that is
+    longer than that sizes its task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(held_out, F.lit(True)).alias("held_out"))
     words = rows.select("text", "held_out").mapInArrow(_training_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = blocks = max(least_blocks, -(-total // block_tokens))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    every_token = rows.agg(F.sum(word_count(F.col("text")) + 1)).first()[0] or 0  # also of the texts that are only scored
+    shards = blocks = max(least_blocks, -(-every_token // block_tokens))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    longest = order - 1
 
     def read(block: pa.Table):
-        """A block's n-grams; for each length the different ones, sorted, and each token's place among them."""
+        """A block's n-grams; for each length the different ones, sorted, each token's place among them, and their training counts in the block."""
         grams = Grams(block.column("text").to_pylist(), order)
-        keys, at = [], []
+        train = ~np.array(block.column("held_out").to_pylist(), bool)
+        own = np.repeat(train, grams.counts)
+        keys, at, counted = [], [], []
         for k, one in enumerate(grams.at):
             every, place = np.unique(np.concatenate((one, [_START])) if k == 0 else one, return_inverse=True)
             keys.append(every)
             at.append(place[:len(one)])
-        return grams, keys, at
+            counted.append(np.bincount(at[k], own, len(every)).astype(np.int64))
+        counted[0][np.searchsorted(keys[0], _START)] = train.sum()  # as a context it was met once a text
+        return grams, keys, at, counted
 
-    def ask(block: pa.Table) -> pa.Table:
-        grams, keys, at = read(block)
-        train = ~np.array(block.column("held_out").to_pylist(), bool)
-        own = np.repeat(train, grams.counts)
+    def asks(block: int, found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple]:
         out = []
-        for kind, (every, place) in enumerate(zip(keys, at)):
-            seen = np.bincount(place, own, len(every)).astype(np.int64)
-            if kind == 0:
-                seen[np.searchsorted(every, _START)] = train.sum()  # as a context it was met once a text
+        for kind, every, seen in found:
             to = _shard(every, shards)
             cuts = np.flatnonzero(np.diff(to, prepend=-1, append=shards))
-            out += [(int(to[a]), kind, _packed(every[a:b]), _numbers(seen[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([block.column("block")[0].as_py()] * len(out), pa.int32()),
-                         pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()),
-                         pa.array([x[3] for x in out], pa.binary())], names=["shard", "block", "kind", "keys", "counts"])
+            out += [(int(to[a]), block, kind, _packed(every[a:b]), _numbers(seen[a:b])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+        return out
+
+    def asked(rows: list[tuple]) -> pa.Table:
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["shard", "block", "kind", "keys", "counts"])
+
+    def ask(block: pa.Table) -> pa.Table:
+        """All n-grams of a block but the longest ones."""
+        _, keys, _, counted = read(block)
+        return asked(asks(block.column("block")[0].as_py(), [(k, keys[k], counted[k]) for k in range(max(1, longest))]))
 
     def answer(asked: pa.Table) -> pa.Table:
-        keys = [_unpacked(x) for x in asked.column("keys").to_pylist()]
-        every, n = _totals(keys, [_numbered(x) for x in asked.column("counts").to_pylist()])
+        """Twice the total of each n-gram that the blocks ask for, plus one if several blocks ask; what comes without keys is that already."""
+        packed = asked.column("keys").to_pylist()
+        if packed[0] is None:
+            return asked.select(["block", "shard", "kind", "counts"])
+        keys = [_unpacked(x) for x in packed]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_numbered(x) for x in asked.column("counts").to_pylist()])).astype(np.int64)
+        n = 2 * n + (np.bincount(at) > 1)
         return pa.table([asked.column("block"), asked.column("shard"), asked.column("kind"),
                          pa.array([_numbers(n[np.searchsorted(every, x)]) for x in keys], pa.binary())], names=["block", "shard", "kind", "counts"])
 
+    def totals(answers: pa.Table, kind: int) -> np.ndarray:
+        parts = sorted((s, c) for k, s, c in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "counts"))) if k == kind)
+        return np.concatenate([_numbered(c) for _, c in parts]) if parts else np.zeros(0, np.int64)
+
+    def elsewhere(grams: Grams, keys: list, at: list, shorter: np.ndarray) -> np.ndarray:
+        """Which of the longest n-grams another block may have, in training or not: those whose first and whose last symbols it has."""
+        first = np.empty(len(keys[longest]), np.int64)
+        first[at[longest][::-1]] = np.arange(len(at[longest]))[::-1]
+        other = shorter & 1 == 1
+        context = grams.before[longest - 1][first]
+        begin = np.minimum(np.searchsorted(keys[longest - 1], context), len(keys[longest - 1]) - 1)
+        return (context != 0) & other[begin] & other[at[longest - 1][first]]
+
+    def ask_longest(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """The longest n-grams that other blocks may know; the totals known so far go along."""
+        if not block.num_rows:
+            return asked([])
+        grams, keys, at, counted = read(block)
+        name = block.column("block")[0].as_py()
+        seen = [totals(answers, k) for k in range(longest)]
+        known = [(-1 - name % shards, name, k, None, _numbers(x)) for k, x in enumerate(seen)]
+        some = elsewhere(grams, keys, at, seen[-1])
+        return asked(known + asks(name, [(longest, keys[longest][some], counted[longest][some])]))
+
     def walk(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=_SCORED)
-        grams, keys, at = read(block)
-        parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "counts"))))
-        seen = [np.concatenate([_numbered(x) for kind, _, x in parts if kind == k]) for k in range(order)]
+        grams, keys, at, counted = read(block)
+        answered = [totals(answers, k) for k in range(max(1, longest))]
+        seen = [x >> 1 for x in answered]
+        if longest:
+            seen.append(counted[longest])
+            seen[longest][elsewhere(grams, keys, at, answered[-1])] = totals(answers, longest) >> 1
         automaton = Automaton(grams, keys, at, seen, strength, total, vocabulary)
         add = lambda x: np.add.reduceat(x, grams.first)  # noqa: E731  every text has a token at least
         return pa.table([block.column("doc_id"), block.column("held_out"), pa.array(grams.counts), pa.array(add((seen[0] > 0)[at[0]].astype(np.int64))),
                          pa.array(np.full(block.num_rows, total, np.int64)), pa.array(add(automaton.arcs[0][at[0]])), pa.array(add(automaton.walk()))],
                         names=_SCORED)
 
-    answers = (placed.groupBy("block").applyInArrow(ask, "shard int, block int, kind int, keys binary, counts binary")
-               .groupBy("shard", "kind").applyInArrow(answer, "block int, shard int, kind int, counts binary"))
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    texts = placed.groupBy("block")
+    asking, told = "shard int, block int, kind int, keys binary, counts binary", "block int, shard int, kind int, counts binary"
+    answers = texts.applyInArrow(ask, asking).groupBy("shard", "kind").applyInArrow(answer, told)
+    if longest:
+        answers = texts.cogroup(answers.groupBy("block")).applyInArrow(ask_longest, asking).groupBy("shard", "kind").applyInArrow(answer, told)
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(
         walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
