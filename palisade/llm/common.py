@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import durable, scratch_path, shared_dir
 
-__all__ = ["WORD", "durable", "group_rank", "mix64", "one_per_id", "scratch_path", "seeded", "shared_dir", "table", "word_count", "word_hashes"]
+__all__ = ["WORD", "durable", "group_rank", "mix64", "scratch_path", "seeded", "shared_dir", "table", "word_count", "word_hashes"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but ASCII white space
 _GAP = r"[\x20\x09-\x0D]+"
@@ -34,15 +34,6 @@ def seeded(seed: int | str, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(str(seed)), *columns)
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with one row a doc_id, the one with the greatest text. Ids are counted first, so texts move only if ids repeat."""
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return docs
-    many = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return docs.join(repeated, "doc_id", "left_anti").select("doc_id", "text").unionByName(many)
-
-
 def group_rank(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], name: str = "rank", pieces: int = 1024) -> DataFrame:
     """Exact 1-based position of each row in its group, by the pseudo-random long ``order`` and then ``ties``.
 

@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, mix64, one_per_id, word_hashes
+from ..operators.ordering import row_numbered
+from .common import durable, mix64, word_hashes
 from .graph import components
 
 _COEFFICIENT = np.uint64(0x9E3779B97F4A7C15)
@@ -261,16 +262,48 @@ def _salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))).hint("merge")
 
 
+def text_marks() -> dict:
+    """Two hashes of the text, which tell the texts of one doc_id apart; null is a text of its own."""
+    return {"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit("second"), "text")}
+
+
+def _numbered(docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by a number in the order of doc_id, one for each different text of an id, as ``doc_id`` (the number), ``text``; and number, id and marks."""
+    many = docs.join(repeated, "doc_id", "left_semi").withColumns(text_marks()).groupBy("doc_id", "m1", "m2").agg(F.max("text").alias("text"))
+    rows = docs.join(repeated, "doc_id", "left_anti").withColumns(text_marks()).select(*many.columns).unionByName(many)
+    names = durable(row_numbered(rows.select("doc_id", "m1", "m2"), [], ["doc_id", "m1", "m2"], "key").select("key", "doc_id", "m1", "m2"))
+    return rows.join(names, ["doc_id", "m1", "m2"]).select(F.col("key").cast("long").alias("doc_id"), "text"), names
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document of ``docs(doc_id, text, ...)``.
 
-    ``component_id`` is the least doc_id that links reach; ``kept`` marks that document. Null or blank texts have no
-    shingles and stand alone. Texts of any length are taken whole. Rows that share a doc_id are one document with the greatest
-    of their texts and give one row. A row without doc_id gives a row of nulls that is kept and linked with nothing. Other
+    ``component_id`` is the least doc_id that links reach; ``kept`` marks rows of that doc_id. Null or blank texts have no
+    shingles and stand alone. Texts of any length are taken whole. Rows that share doc_id and text are one document and give one row; rows that share
+    a doc_id but not the text are documents of their own. A row without doc_id gives a row of nulls that is kept and linked with nothing. Other
     columns are not looked at; an empty table gives no rows.
     """
+    return near_rows(docs, p).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_rows(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
+    """``near_duplicates`` and, where doc_ids repeat, ``m1, m2`` (hashes of the text) and ``stays``: true for one document of each component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = one_per_id(docs.filter("doc_id is not null"))
+    named = docs.filter("doc_id is not null")
+    lost = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return _grouped(named, p).withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(lost)
+    rows, names = _numbered(named, durable(repeated))
+    found = _grouped(durable(rows), p).withColumnsRenamed({"doc_id": "key", "component_id": "first"})
+    heads = names.select(F.col("key").alias("first"), F.col("doc_id").alias("component_id"))
+    out = found.join(names, "key").join(heads, "first").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"),
+                                                               "m1", "m2", (F.col("key") == F.col("first")).alias("stays"))
+    return out.unionByName(lost.withColumn("stays", F.lit(True)), allowMissingColumns=True)
+
+
+def _grouped(named: DataFrame, p: NearDedup) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of documents with different doc_ids."""
     sets = durable(signatures(named, p))
     classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))
@@ -302,6 +335,5 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     out = (member.withColumn("salt", salt).join(_salted(final.withColumnRenamed("vertex", "rep")), ["rep", "salt"], "left")
            .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     bare = (named.select("doc_id").join(member.select("doc_id"), "doc_id", "left_anti")
-            .unionByName(docs.filter("doc_id is null").select("doc_id"))
             .select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return out.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.unionByName(bare)

@@ -124,79 +124,16 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _OP6 = f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
-SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept
-FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
-"""
-
-def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = toxicity.fit(docs, table(spark, folder, "labels"), ~fold)
-    scored = toxicity.score(docs.withColumn("held_out", fold), model)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "language")
-
-
-def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_codes.encode(table(spark, folder, "embeddings"))
-
-
-def _nearest_sql(rows: str, books: str) -> str:
-    """Each part's smallest distance and entry, as distance * 64 + entry."""
-    away = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-    return f"SELECT x.r, x.p, any_value(x.v) AS v, min({away}::BIGINT * 64 + b.c) AS m FROM {rows} x JOIN {books} b USING (p) GROUP BY x.r, x.p"
-
-
-def _moved_sql(k: int) -> str:
-    return f"""
-a{k} AS MATERIALIZED ({_nearest_sql("parts", f"c{k}")}),
-u{k} AS (SELECT p, m % 64 AS c, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS z FROM (SELECT p, m, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY 1, 2, 3),
-c{k + 1} AS MATERIALIZED (SELECT b.p, b.c, coalesce(n.v, b.v) AS v FROM c{k} b LEFT JOIN (SELECT p, c, list(z ORDER BY i) AS v FROM u{k} GROUP BY 1, 2) n USING (p, c)),"""
-
-
-_OP12 = f"""
-WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-parts AS MATERIALIZED (SELECT r, p, e[p * (len(e) // 16) + 1:(p + 1) * (len(e) // 16)] AS v FROM k, (SELECT unnest(range(16)) AS p)),
-c0 AS MATERIALIZED (SELECT p, r - 1 AS c, v FROM parts WHERE r <= 64),
-{_moved_sql(0)}{_moved_sql(1)}
-a2 AS MATERIALIZED ({_nearest_sql("parts", "c2")}),
-f AS (SELECT r, string_agg(lower(lpad(to_hex(m % 64), 2, '0')), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY r),
-h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM c2)
-SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM f JOIN k USING (r), h
-"""
-
-
-def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
-    return spelling.group_variants(spelling.word_counts(table(spark, folder, "documents"), slip=97))
-
-
-# The remainders of the CRC-32 polynomial for four bits.
-_CRC = ("[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
-        "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]")
-_HALF_BYTES = "list_transform(range(1, len(h) + 1), lambda i: ('0x' || substr(h, i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END, 1))::BIGINT)"
-_OP13 = f"""
-WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
-x AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY 1, 2),
-b AS (SELECT run, k, hex(encode(doc_id || ':' || run)) AS h FROM x),
-s AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], {_HALF_BYTES}),
-      lambda c, v: xor(c >> 4, ({_CRC}::BIGINT[])[(xor(c, v) & 15) + 1])), 4294967295::BIGINT) AS crc FROM b),
-w AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, k FROM s),
-v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
-d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
-l AS (SELECT DISTINCT d.word AS long, v.word AS short, d.n AS long_n, v.n AS short_n FROM d JOIN v ON v.word = d.less),
-e AS (SELECT p.word, q.word AS near, q.n AS near_n FROM d p JOIN d q ON p.i = q.i AND p.less = q.less AND p.word <> q.word
-      UNION ALL SELECT long, short, short_n FROM l UNION ALL SELECT short, long, long_n FROM l),
-t AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM e),
-f AS MATERIALIZED (SELECT v.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
-      FROM v LEFT JOIN (SELECT * FROM t WHERE r = 1) t ON t.word = v.word),
-way(word, root) AS (SELECT word, word FROM f UNION SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f g ON g.word = way.root WHERE g.form IS NULL
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+pairs AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.k <> b.k GROUP BY 1, 2),
+e AS (SELECT x, y FROM pairs JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r(k, seen) AS (SELECT k, k FROM d UNION SELECT r.k, e.y FROM r JOIN e ON e.x = r.seen),
+f AS (SELECT k, min(seen) AS head FROM r GROUP BY k)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, h.doc_id AS component_id, d.doc_id = h.doc_id AS kept
+FROM f JOIN d ON d.k = f.k JOIN d h ON h.k = f.head LEFT JOIN n ON n.k = f.k
+UNION ALL SELECT NULL, 0, NULL, TRUE FROM documents WHERE doc_id IS NULL
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

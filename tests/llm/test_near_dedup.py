@@ -6,7 +6,7 @@ import pytest
 
 from palisade.llm.common import word_hashes
 from palisade.llm.graph import components
-from palisade.llm.near_dedup import NearDedup, least_matches, near_duplicates
+from palisade.llm.near_dedup import NearDedup, least_matches, near_duplicates, near_rows
 
 
 def shingles(text):
@@ -70,9 +70,15 @@ def test_empty_table(docs):
     assert near_duplicates(docs([])).count() == 0
 
 
-def test_shared_id_takes_the_greatest_text(docs):
-    got = result(near_duplicates(docs([(1, "a b c d e"), (1, "z b c d e"), (2, "z b c d e"), (3, "a b c d e")])))
-    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True)}
+def test_texts_of_one_id_are_documents_of_their_own(docs):
+    near = "z b c d e " * 12
+    rows = [(1, "a b c d e"), (1, "z b c d f"), (1, "z b c d f"), (2, "z b c d f"), (3, "a b c d e"), (5, near), (5, near + "x"), (4, None), (4, ""), (None, "a b c d e")]
+    got = sorted(map(tuple, near_rows(docs(rows)).select("doc_id", "n_shingles", "component_id", "kept", "stays").collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True, True), (1, 1, 1, True, True), (2, 1, 1, False, False), (3, 1, 1, False, False), (4, 0, 4, True, True), (4, 0, 4, True, True),
+                          (5, 5, 5, True, True), (5, 6, 5, True, True), (None, 0, None, True, True)], key=repr)
+    copies = [(5, " ".join(f"w{i}" for i in range(200))), (5, " ".join(f"w{i}" for i in range(201))), (6, " ".join(f"w{i}" for i in range(200)))]
+    got = near_rows(docs(copies)).collect()
+    assert [r.component_id for r in got] == [5, 5, 5] and sum(r.stays for r in got) == 1 and sorted(r.kept for r in got) == [False, True, True]
 
 
 def test_words_are_ascii_separated():

@@ -64,13 +64,18 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, edge_rows):
     df = extra(docs(edge_rows))
     out = P.near_duplicate_stage(spark, df, "")
     assert out.columns == df.columns
-    texts = {}
-    for i, t, *_ in edge_rows:
-        if i is not None:
-            texts[i] = max(texts.get(i, t) or "", t or "")
-    kept = {i for i, (_, _, k) in near_brute(texts.items()).items() if k}
+    numbered = dict(enumerate(sorted({(i, t or "") for i, t, *_ in edge_rows if i is not None})))
+    kept = [numbered[k][0] for k, (_, _, stays) in near_brute((k, t) for k, (_, t) in numbered.items()).items() if stays]
     got = [r.doc_id for r in out.collect()]
-    assert sorted(i for i in got if i is not None) == sorted(kept) and got.count(None) == 2
+    assert sorted(i for i in got if i is not None) == sorted(kept) and got.count(None) == 2 and kept.count(205) == 2 and kept.count(204) == 1
+
+
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark, docs):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "quite another text that has other words"), (1, " ".join(words)), (2, " ".join(words[:99])), (1, " ".join(words))]
+    out = P.near_duplicate_stage(spark, extra(docs(rows)), "")
+    texts = [r.text for r in out.collect()]
+    assert len(texts) == 3 and {rows[0][1], rows[1][1]} < set(texts)
 
 
 def test_near_duplicate_stage_links_at_80_per_cent(spark, docs):
