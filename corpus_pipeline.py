@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palisade.llm.common import scratch_path, table
 from palisade.llm.language_id import fit, identify
 from palisade.llm.mixing import mix
-from palisade.llm.near_dedup import NearDedup, near_duplicates
+from palisade.llm.near_dedup import NearDedup, near_rows, text_marks
 from palisade.llm.packing import pack
 from palisade.llm.surrogates import replace
 
@@ -41,15 +41,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (``NEAR``), the one with the least doc_id; rows that repeat a doc_id go too."""
-    go = near_duplicates(docs, NEAR).filter(~F.col("kept")).select("doc_id")
-    left = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    repeated = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    greatest = F.max(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(greatest.alias("d")).select("doc_id", "d.*").select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    """One document of each group of near duplicates (``NEAR``), the one with the least doc_id; a row goes only as a near duplicate of one that stays.
+
+    Rows of one doc_id with unlike texts all stay. Of rows that share doc_id and text one stays; rows without doc_id all stay.
+    """
+    found = near_rows(docs, NEAR)
+    if "stays" not in found.columns:
+        return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    marks = {f"_{name}": mark for name, mark in text_marks().items()}
+    go = found.filter(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("m1").alias("_g1"), F.col("m2").alias("_g2"))
+    left = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", *(mark.alias(name) for name, mark in marks.items()))
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_m1") == F.col("_g1")) & (F.col("_m2") == F.col("_g2"))
+    left = left.join(go, same, "left_anti")
+    one = left.filter("doc_id is not null").groupBy("doc_id", "_m1", "_m2").agg(F.max("doc").alias("doc"))
+    return one.select("doc.*").unionByName(left.filter("doc_id is null").select("doc.*"))
 
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
