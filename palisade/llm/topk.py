@@ -44,13 +44,15 @@ class BallTree:
             spans += [(a, middle), (middle, b)]
         self.spans, self.rows, self.ids = spans, rows[place], ids[place]
         self.centres, self.radii = np.array(centres), np.array(radii)
+        self.reach = np.sqrt((self.centres ** 2).sum(1))
         self.least = [int(self.ids[a:b].min()) for a, b in spans]
 
     def search(self, queries: np.ndarray, ids: np.ndarray, k: int, known: list) -> Iterator[tuple[int, int, int]]:
         """``(query, row, score)`` of each query's k best rows here, but for those that ``known``, a (score, id) or None a query, beats."""
         wide = queries.astype(np.float64)
-        top = wide @ self.centres.T + np.sqrt((wide ** 2).sum(1))[:, None] * self.radii
-        top = np.floor(top * (1 + 1e-12 * np.sign(top)) + 1e-6)  # scores are whole numbers
+        length = np.sqrt((wide ** 2).sum(1))[:, None]
+        top = wide @ self.centres.T + length * self.radii
+        top = np.floor(top + 1e-12 * length * (self.reach + self.radii) + 1e-6)  # scores are whole numbers; what rounding may take is added
         for q, own, bound, beat in zip(queries, ids, top, known):
             best: list[tuple[int, int]] = []  # (-score, id), best first
             heap = [(-bound[0], self.least[0], 0)]
@@ -74,7 +76,8 @@ class BallTree:
                 good = there != own
                 if worst is not None:
                     good &= scores >= -worst[0]
-                best = sorted([*best, *zip((-scores[good].astype(np.int64)).tolist(), there[good].tolist())])[:k]
+                less = -scores[good] if scores.dtype == object else -scores[good].astype(np.int64)
+                best = sorted([*best, *zip(less.tolist(), there[good].tolist())])[:k]
             for score, row in best:
                 yield int(own), int(row), -int(score)
 
@@ -93,10 +96,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     Components become ``floor(scale * x)``. Queries are the rows of ``vectors(vec_id, embedding, ...)`` whose id ``every`` divides; the
     query's own row is no candidate. Vectors that are null or hold a null or non-finite component, and rows without id, take no part. A
     shorter vector counts as one with zeros behind. Rows that share an id are one vector, the greatest. With fewer than k
-    other rows there are fewer results; an empty table gives none. Other columns are not looked at.
+    other rows there are fewer results; an empty table gives none. Other columns are not looked at. Components whose products pass what 64 bits hold
+    are multiplied as Python's whole numbers; components at or beyond 2**62 / scale, and results that a long cannot hold, fail with a message.
     """
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 62), F.floor(x.cast("double") * scale))
+                        .otherwise(F.raise_error(F.lit("a component times scale is beyond 2**62"))).cast("long"))
     rows = (vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
             .select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
             .groupBy("vec_id").agg(F.max("v").alias("v")))
@@ -104,7 +109,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     n, wanted, width, high = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v")),
                                       F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     shards, blocks, width = max(1, -(-n // shard_rows)), max(1, -(-wanted // block_rows)), width or 0
-    small = width * float(high or 0) ** 2 < 2 ** 52  # products are then exact in floating point, which is faster
+    largest = width * int(high or 0) ** 2
+    kind = np.float64 if largest < 2 ** 52 else np.int64 if largest < 2 ** 62 else object  # exact in each: the first is fastest, the last has no end
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
@@ -115,10 +121,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        kind = np.float64 if small else np.int64
         tree = BallTree(_matrix(left.v, width).astype(kind), left.vec_id.to_numpy(), leaf)
         known = [None if pd.isna(s) else (int(s), int(i)) for s, i in zip(right.kth, right.kth_id)]
         found = list(tree.search(_matrix(right.q, width).astype(kind), right.query_id.to_numpy(), k, known))
+        if any(abs(score) >= 1 << 63 for _, _, score in found):
+            raise OverflowError("a score is beyond what a long holds")
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     def searched(asked: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from palisade.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int, score long, block string"
@@ -42,3 +45,32 @@ def test_cases(spark):
     assert got == brute(rows) and {r[0] for r in got} == {0, 200, -50}
     assert top_k(table(spark, [])).count() == 0
     assert top_k(table(spark, [(0, [1.0])])).count() == 0
+
+
+def exact(rows, k=5, every=50):
+    whole = {i: [int(np.floor(256 * np.float64(x))) for x in v] for i, v in rows}
+    out = []
+    for q in sorted(i for i in whole if i % every == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    return out
+
+
+@pytest.mark.parametrize("large", [1e6, 3e6, 5e6])
+def test_large_components_are_ranked_exactly(spark, large):
+    rows = [(i, [large * (1 + (i % 7) * 1e-9), float(i % 5) - 2, -large if i % 3 else large]) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, leaf=8, shard_rows=40).collect()))
+    assert got == exact(rows)
+
+
+def test_products_that_wrap_in_64_bits(spark):
+    rows = [(0, [1e8, 1.0]), (1, [1e8, 2.0]), (2, [-1e8, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond what a long holds"):
+        top_k(df).collect()
+    with pytest.raises(Exception, match="beyond 2"):
+        top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+    cancel = [(0, [1e8, 1e8, 1.0]), (1, [1e8, -1e8, 5.0]), (2, [1e8, -1e8, 4.0]), (3, [-1e8, 1e8, 9.0])]  # products pass 2**63, scores do not
+    got = sorted(map(tuple, top_k(spark.createDataFrame(cancel, "vec_id long, embedding array<double>")).collect()))
+    assert got == exact(cancel) and [r[2] for r in got] == [3, 1, 2]
