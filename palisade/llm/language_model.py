@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, word_count, word_hashes
+from .common import mix64, word_hashes
 
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the start of a text and the end token
 _NEXT = np.uint64(0xD1342543DE82EF95)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 class Grams:
@@ -67,14 +68,16 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """Counts in one byte each below 255; larger ones have 255 there and eight bytes behind."""
-    return len(values).to_bytes(8, "little") + np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
+    """Counts in one byte each below 255; larger ones have 255 there and eight bytes behind. Most are alike, so they are compressed."""
+    plain = len(values).to_bytes(8, "little") + np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
+    return len(plain).to_bytes(8, "little") + _ZSTD.compress(plain, asbytes=True)
 
 
 def _numbered(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    values = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    values[values == 255] = np.frombuffer(data, "<i8", -1, 8 + n)
+    plain = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n = int.from_bytes(plain[:8], "little")
+    values = np.frombuffer(plain, np.uint8, n, 8).astype(np.int64)
+    values[values == 255] = np.frombuffer(plain, "<i8", -1, 8 + n)
     return values
 
 
@@ -130,15 +133,20 @@ class Automaton:
 
 
 def _training_words(batches: Iterator) -> Iterator:
-    """Different tokens of a piece of the table with their training counts; what is held is bounded, the shuffle adds up the rest."""
-    keys, counts, held = [], [], 0
+    """Different tokens of a piece of the table with their training counts, and under null the number of all its tokens.
+
+    What is held is bounded, the shuffle adds up the rest.
+    """
+    keys, counts, held, every_token = [], [], 0, 0
 
     def out():
         every, n = _totals(keys, counts)
         return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], ["word", "n"])
 
     for batch in batches:
-        tokens = Grams([t for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not h], 1).at[0]
+        grams = Grams(batch.column(0).to_pylist(), 1)
+        tokens = grams.at[0][~np.repeat(np.array(batch.column(1).to_pylist(), bool), grams.counts)]
+        every_token += len(grams.at[0])
         if len(tokens):
             every, n = np.unique(tokens, return_counts=True)
             keys.append(every)
@@ -149,6 +157,7 @@ def _training_words(batches: Iterator) -> Iterator:
             keys, counts, held = [], [], 0
     if keys:
         yield out()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every_token], pa.int64())], ["word", "n"])
 
 
 def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 300.0, block_tokens: int = 1 << 21, least_blocks: int = 64) -> DataFrame:
@@ -164,14 +173,14 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 3
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(held_out, F.lit(True)).alias("held_out"))
     words = rows.select("text", "held_out").mapInArrow(_training_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    every_token = rows.agg(F.sum(word_count(F.col("text")) + 1)).first()[0] or 0  # also of the texts that are only scored
+    training = F.when(F.col("word").isNotNull(), F.col("n"))
+    total, vocabulary, every_token = words.agg(F.coalesce(F.sum(training), F.lit(0)), F.count("word"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     shards = blocks = max(least_blocks, -(-every_token // block_tokens))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     longest = order - 1
 
-    def read(block: pa.Table):
-        """A block's n-grams; for each length the different ones, sorted, each token's place among them, and their training counts in the block."""
+    def read(block: pa.Table, order: int = order):
+        """A block's n-grams of up to ``order`` symbols; for each length the different ones, sorted, each token's place among them, and their training counts in the block."""
         grams = Grams(block.column("text").to_pylist(), order)
         train = ~np.array(block.column("held_out").to_pylist(), bool)
         own = np.repeat(train, grams.counts)
@@ -198,7 +207,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 3
 
     def ask(block: pa.Table) -> pa.Table:
         """All n-grams of a block but the longest ones."""
-        _, keys, _, counted = read(block)
+        _, keys, _, counted = read(block, max(1, longest))
         return asked(asks(block.column("block")[0].as_py(), [(k, keys[k], counted[k]) for k in range(max(1, longest))]))
 
     def answer(asked: pa.Table) -> pa.Table:
