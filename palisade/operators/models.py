@@ -19,6 +19,7 @@ from ..functions import sigmoid
 from ..schemas import ALERT_THRESHOLD
 from ..session import durable
 from .logistic_fits import Fit, fit_many, predicted
+from .ordering import row_numbered
 from .quality import multiclass_metrics, roc_auc
 from .vectors import align_to_model, assemble
 
@@ -179,8 +180,17 @@ def train_isolation_forest(benign: DataFrame, features: Sequence[str], key: str,
     flat = tuple({c: t[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")}
                  for _, t in table.groupby("tree"))
     forest = IsolationForest(scaler, flat, int(table["rows"].max()), 0.0)
-    cutoff = anomaly_score(benign, forest).agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000)).first()[0]
-    return IsolationForest(scaler, flat, forest.rows, float(cutoff))
+    return IsolationForest(scaler, flat, forest.rows, quantile(anomaly_score(benign, forest), "anomaly_score", 1 - contamination))
+
+
+def quantile(df: DataFrame, column: str, share: float) -> float:
+    """The exact quantile, between neighbours in proportion: the values are numbered in order, and the two about the place come to the driver."""
+    ranked = durable(row_numbered(df.select(column).filter(F.col(column).isNotNull()), (), (column,), "_rn").select(column, "_rn"))
+    n = ranked.count()
+    place = (n - 1) * share
+    low = int(place)
+    near = {r["_rn"]: r[column] for r in ranked.filter(F.col("_rn").between(low + 1, low + 2)).collect()}
+    return float(near[low + 1] + (near.get(low + 2, near[low + 1]) - near[low + 1]) * (place - low))
 
 
 def anomaly_score(df: DataFrame, forest: IsolationForest, name: str = "anomaly_score") -> DataFrame:

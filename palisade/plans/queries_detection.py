@@ -178,14 +178,17 @@ def train_logistic(spark, sf):
                       (gradient < 1e-3).alias("converged"))
 
 
-@query("train_isolation_forest", over("scored", "SELECT label, count(*) AS windows, TRUE AS within FROM scored GROUP BY label"))
+@query("train_isolation_forest", over("scored", """SELECT label, count(*) AS windows,
+  CASE WHEN label = 0 THEN count(*) - 1 - floor((count(*) - 1) * 0.95)::BIGINT END AS beyond, TRUE AS within FROM scored GROUP BY label"""))
 def train_isolation_forest(spark, sf):
-    """Windows by label, and whether the share of benign windows beyond the offset is the accepted one."""
+    """Windows by label; how many benign ones may lie beyond the offset, the exact quantile, and whether it parts them there (ties at it stay below)."""
     scored = durable(V.scored(spark, sf).select("window_id", "label", *WINDOW_FEATURES))
     forest = M.train_isolation_forest(scored.filter("label = 0"), WINDOW_FEATURES, "window_id")
-    beyond = F.count_if(F.col("anomaly_score") > 1e-9) / F.count(F.lit(1))
-    return M.anomaly_score(scored, forest).groupBy("label").agg(
-        F.count(F.lit(1)).alias("windows"), ((F.col("label") != 0) | (beyond <= M.CONTAMINATION + 0.005)).alias("within"))
+    n, benign = F.count(F.lit(1)), F.col("label") == 0
+    beyond = n - 1 - F.floor((n - 1) * (1 - M.CONTAMINATION))
+    parted = (F.count_if(F.col("anomaly_score") > 1e-12) <= beyond) & (F.count_if(F.col("anomaly_score") >= -1e-12) >= beyond)
+    return M.anomaly_score(scored, forest).groupBy("label").agg(n.alias("windows"), F.when(benign, beyond).cast("long").alias("beyond"),
+                                                                F.when(benign, parted).otherwise(F.lit(True)).alias("within"))
 
 
 @query("anomaly_score", over("vectors", "SELECT vec_id, label, TRUE AS scored FROM vectors"))

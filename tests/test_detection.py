@@ -289,3 +289,10 @@ def test_imputation_ties_take_the_smallest(spark):
                                  "ransomware_family string, source string, sample_type int, d string")
     filled = profiling.mode_impute(rows, "d").collect()
     assert sorted(r["d"] for r in filled) == ["2021-02-04", "a", "a", "a", "b"]
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.5, 0.5, 0.5, 9.0], [float(i * i % 37) for i in range(101)]])
+def test_quantile_equals_numpy(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        assert M.quantile(df, "x", share) == pytest.approx(np.quantile(values, share), abs=1e-12)
