@@ -90,6 +90,15 @@ def _totals(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
 
 
+def _states(grams: Grams, keys: list, at: list, k: int) -> np.ndarray:
+    """By token: the place of the k symbols before it, which end with the token before; -1 where the text's start is nearer."""
+    out = np.empty(len(at[0]), np.int64)
+    out[1:] = at[k - 1][:-1]
+    out[grams.first] = np.searchsorted(keys[0], _START) if k == 1 else -1
+    out[grams.before[k - 1] == 0] = -1
+    return out
+
+
 class Automaton:
     """The states and arcs that a block's texts reach, from the block's n-grams and their training counts."""
 
@@ -98,9 +107,7 @@ class Automaton:
         self.arcs = [np.log10((seen[0] + 1.0) / (tokens + vocabulary + 1.0))]  # by n-gram: log10 p(last symbol | the others)
         self.failures, self.states = [], []
         for k in range(1, len(keys)):
-            state = np.searchsorted(keys[k - 1], grams.before[k - 1])  # by token: the state of the k symbols before it
-            known = grams.before[k - 1] != 0
-            state = np.where(known, np.minimum(state, len(keys[k - 1]) - 1), -1)
+            state = _states(grams, keys, at, k)
             first = np.empty(len(keys[k]), np.int64)
             first[at[k][::-1]] = np.arange(len(at[k]))[::-1]
             shorter = 10.0 ** self._probability(k - 1, at, first)
@@ -231,9 +238,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 3
         first = np.empty(len(keys[longest]), np.int64)
         first[at[longest][::-1]] = np.arange(len(at[longest]))[::-1]
         other = shorter & 1 == 1
-        context = grams.before[longest - 1][first]
-        begin = np.minimum(np.searchsorted(keys[longest - 1], context), len(keys[longest - 1]) - 1)
-        return (context != 0) & other[begin] & other[at[longest - 1][first]]
+        context = _states(grams, keys, at, longest)[first]
+        return (context >= 0) & other[context] & other[at[longest - 1][first]]
 
     def ask_longest(block: pa.Table, answers: pa.Table) -> pa.Table:
         """The longest n-grams that other blocks may know; the totals known so far go along."""
