@@ -52,16 +52,23 @@ class Grams:
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as the first one and the differences, in as many bytes as the largest difference needs."""
+    """Sorted 64-bit keys as the first one and the differences, in as many bytes as the largest difference needs.
+
+    Differences are mostly far below the largest, so their highest bytes are much alike and are compressed apart from the others.
+    """
     steps = np.diff(keys, prepend=keys[:1])
     wide = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return int(keys[0]).to_bytes(8, "little") + bytes([wide]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    high = _ZSTD.compress(np.ascontiguousarray(planes[:, wide - 1]), asbytes=True)
+    return int(keys[0]).to_bytes(8, "little") + bytes([wide]) + len(keys).to_bytes(8, "little") + planes[:, :wide - 1].tobytes() + high
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[8])
-    steps = np.zeros((len(body), 8), np.uint8)
-    steps[:, :data[8]] = body
+    wide, n = data[8], int.from_bytes(data[9:17], "little")
+    rest = 17 + n * (wide - 1)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide - 1] = np.frombuffer(data, np.uint8, n * (wide - 1), 17).reshape(n, wide - 1)
+    steps[:, wide - 1] = np.frombuffer(_ZSTD.decompress(data[rest:], n, asbytes=True), np.uint8)
     keys = steps.reshape(-1).view("<u8")
     keys[0] = int.from_bytes(data[:8], "little")
     return np.cumsum(keys, dtype=np.uint64)
