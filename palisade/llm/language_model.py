@@ -42,12 +42,12 @@ class Grams:
         ends = np.cumsum(self.counts)
         tokens = np.insert(words, np.cumsum(counts), _END)
         self.first = ends - self.counts
-        self.at, self.before = [tokens], []
+        self.at, self.nearer = [tokens], []  # hashes, and by context length the tokens that have the text's start nearer
         for k in range(1, order):
             context = np.empty_like(tokens)  # the k symbols before the token
             context[1:] = self.at[k - 1][:-1]
             context[self.first] = _START if k == 1 else 0
-            self.before.append(context)
+            self.nearer.append(context == 0)
             self.at.append(np.where(context != 0, mix64(context * _NEXT + tokens), np.uint64(0)))
 
 
@@ -99,10 +99,10 @@ def _totals(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _states(grams: Grams, keys: list, at: list, k: int) -> np.ndarray:
     """By token: the place of the k symbols before it, which end with the token before; -1 where the text's start is nearer."""
-    out = np.empty(len(at[0]), np.int64)
+    out = np.empty(len(at[0]), np.int32)
     out[1:] = at[k - 1][:-1]
     out[grams.first] = np.searchsorted(keys[0], _START) if k == 1 else -1
-    out[grams.before[k - 1] == 0] = -1
+    out[grams.nearer[k - 1]] = -1
     return out
 
 
@@ -199,10 +199,12 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, strength: float = 3
         train = ~np.array(block.column("held_out").to_pylist(), bool)
         own = np.repeat(train, grams.counts)
         keys, at, counted = [], [], []
-        for k, one in enumerate(grams.at):
+        for k in range(order):
+            one, grams.at[k] = grams.at[k], None  # a block's arrays are what a task holds: hashes go as soon as they have places
             every, place = np.unique(np.concatenate((one, [_START])) if k == 0 else one, return_inverse=True)
             keys.append(every)
-            at.append(place[:len(one)])
+            at.append(place[:len(one)].astype(np.int32))
+            del one, place
             counted.append(np.bincount(at[k], own, len(every)).astype(np.int64))
         counted[0][np.searchsorted(keys[0], _START)] = train.sum()  # as a context it was met once a text
         return grams, keys, at, counted
