@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _TURNS = "array<struct<role:string,text:string>>"
+_STRING = r"""\"(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+\""""  # a JSON string
+_VALUE = rf"""\G([^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}"""  # names and signs from the last match on, then a string that is no name
+_LONGEST = str((1 << 31) - 1)
 
 
 @dataclass(frozen=True)
@@ -66,8 +69,12 @@ def shape(paths: Sequence[str]) -> str:
 
 
 def record_shape(record: Column) -> Column:
-    """Names and nesting of a JSON text, with every kind of value written as V; null for texts that are not JSON."""
-    kinds = F.schema_of_variant(F.try_parse_json(record))
+    """Names and nesting of a JSON text, with every kind of value written as V; null for texts that are not JSON.
+
+    Strings are emptied before the text is parsed, so their length does not matter; what is left must fit a variant (128 MiB, some
+    million turns), else the shape is null.
+    """
+    kinds = F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, _VALUE, '$1""')))
     return F.regexp_replace(kinds, r"(?<=: |ARRAY<|^)(?!OBJECT<|ARRAY<)[A-Z_]+(?:\(\d+,\s*\d+\))?(?=[,>]|$)", "V")
 
 
@@ -81,7 +88,7 @@ def _ddl(paths: Sequence[str]) -> str:
 
 
 def _turns(record: Column, layout: Layout) -> Column:
-    read = F.from_json(record, _ddl(layout.paths))
+    read = F.from_json(record, _ddl(layout.paths), {"maxStringLen": _LONGEST})
     reach = lambda path: _reach(read, path)
     empty = F.lit("")
     if layout.each:
@@ -108,6 +115,7 @@ def canonical(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFr
 
     The fingerprint of each record's field paths picks the layout; records of unknown layout, null records and texts that are not
     JSON have null in both. An empty array has no fields below it, so a layout's shape with an empty array is known too.
+    Texts of any length are read whole; a record is one row, so Spark's 2 GiB for a row bound it.
     """
     mark = schema_hash(record_shape(F.col("record")))
     marked = records.withColumn("_mark", mark)
@@ -173,7 +181,7 @@ def conversation_records(turns: DataFrame) -> DataFrame:
     """``conv_id, record`` of ``turns(conv_id, turn, role, text)``: one JSON text for each conversation, in the layout that its roles suit.
 
     Turns are ordered by number, then role and text, nulls first; null roles and texts are empty. A conversation is one record, so
-    its turns meet in one task.
+    its turns meet in one task. Rows without conv_id are one conversation, and so are all rows of a repeated one.
     """
     empty = F.lit("")
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(

@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import durable
 
 _CELLS = 1 << 16
+_SLICE = 1 << 18
 #: Country suffixes and the language that most of their pages have.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en",
             "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "se": "sv", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko"}
@@ -34,19 +35,27 @@ class Model:
     weights: np.ndarray
 
 
-def _cells(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram cells of all texts in a row, over the bytes of the lower-cased letters with one blank for everything else, and their numbers."""
-    found, counts = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+def _slices(text: str | None) -> Iterator[np.ndarray]:
+    """Trigram cells of a text, over the bytes of its lower-cased letters with one blank for everything else; none without letters.
+
+    The text is read ``_SLICE`` characters at a time, and each slice carries on where the last one ended.
+    """
+    line, inside, found = np.array([32], np.uint32), True, False
+    for start in range(0, len(text or ""), _SLICE):
+        raw = np.frombuffer(text[start:start + _SLICE].lower().encode("utf-8", "surrogatepass"), np.uint8)
         letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
-        kept = letter | np.concatenate(([True], letter[:-1]))[:len(raw)]  # of several other signs the first stays
-        line = np.concatenate(([32], np.where(letter, raw, 32)[kept], [32])).astype(np.uint32)
-        if letter.any():
-            code = (line[:-2] << 16) | (line[1:-1] << 8) | line[2:]
-            found.append((code * np.uint32(2654435761)) >> np.uint32(16))
-            counts[i] = len(code)
-    return (np.concatenate(found) if found else np.zeros(0, np.uint32)).astype(np.int64), counts
+        kept = letter | np.concatenate(([inside], letter[:-1]))  # of several other signs the first stays
+        line = np.concatenate((line[-2:], np.where(letter, raw, 32)[kept].astype(np.uint32)))
+        inside, found = letter[-1], found or bool(letter.any())
+        if found:
+            yield _hashed(line)
+    if found:
+        yield _hashed(np.concatenate((line[-2:], np.array([32], np.uint32))))
+
+
+def _hashed(line: np.ndarray) -> np.ndarray:
+    code = (line[:-2] << 16) | (line[1:-1] << 8) | line[2:]
+    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
 def fit(labelled: DataFrame, train_rows: int = 20_000, smoothing: float = 0.5) -> Model:
@@ -63,8 +72,10 @@ def fit(labelled: DataFrame, train_rows: int = 20_000, smoothing: float = 0.5) -
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in set(langs.tolist()):
-                cells, _ = _cells([t for t, x in zip(batch.column(0).to_pylist(), langs) if x == lang])
-                n = np.bincount(cells, minlength=_CELLS)
+                n = np.zeros(_CELLS, np.int64)
+                for text in (t for t, x in zip(batch.column(0).to_pylist(), langs) if x == lang):
+                    for cells in _slices(text):
+                        n += np.bincount(cells, minlength=_CELLS)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "cell", "n"])
 
@@ -87,19 +98,26 @@ def text_evidence(rows: DataFrame, model: Model, certainty: float) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             evidence, grams = np.zeros((len(texts), languages)), np.zeros(len(texts), np.int64)
-            at, size = 0, 0
-            for i in range(len(texts) + 1):  # about 1 MB of text at a time
-                if i == len(texts) or size > 1 << 20:
-                    cells, counts = _cells(texts[at:i])
-                    full = np.flatnonzero(counts)
-                    if len(full):
-                        sums = np.add.reduceat(table[cells].astype(np.float64), (np.cumsum(counts) - counts)[full])
-                        n = counts[full][:, None]
-                        evidence[at:i][full] = sums / n * np.minimum(n, certainty)
-                        grams[at:i] = counts
-                    at, size = i, 0
-                if i < len(texts):
-                    size += len(texts[i] or "")
+            held, owners, size = [], [], 0
+
+            def add_up() -> None:
+                starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+                np.add.at(evidence, owners, np.add.reduceat(table[np.concatenate(held)].astype(np.float64), starts))
+
+            for i, text in enumerate(texts):
+                for cells in _slices(text):
+                    if len(cells):
+                        held.append(cells)
+                        owners.append(i)
+                        grams[i] += len(cells)
+                        size += len(cells)
+                    if size >= _SLICE:  # memory follows a slice, not a text
+                        add_up()
+                        held, owners, size = [], [], 0
+            if held:
+                add_up()
+            n = np.maximum(grams, 1)[:, None]
+            evidence = evidence / n * np.minimum(n, certainty)
             evidence -= evidence.max(1, keepdims=True) if len(texts) else 0
             lists = pa.ListArray.from_arrays(np.arange(0, evidence.size + 1, languages, dtype=np.int32), pa.array(evidence.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(grams), lists],
@@ -140,6 +158,7 @@ def identify(rows: DataFrame, model: Model, certainty: float = 30.0, inertia: fl
     ``confidence`` that posterior; ``text_lang`` goes by the text alone. A row is accepted if its text has a letter, the confidence is
     ``least`` or more and ``wanted``, if given, has the language. Texts without letters are ``und``, with the posterior of
     the other evidence as confidence, and not accepted. A null or empty host has the corpus's prior. Equal rows are judged alike.
+    Texts of any length are read whole, a slice at a time.
     """
     languages, n = model.languages, len(model.languages)
     known = F.lower(F.regexp_extract(F.trim(F.col("declared")), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))

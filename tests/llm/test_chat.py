@@ -83,3 +83,27 @@ def test_escape_is_reversible(spark):
 
 def test_shapes_from_paths():
     assert chat.shape(["messages[].role", "messages[].content"]) == "OBJECT<messages: ARRAY<OBJECT<content: V, role: V>>>"
+
+
+def test_very_long_turn_and_many_escapes(spark):
+    """Longer than the JSON reader's usual limit of 20 million characters; the second is mostly escapes."""
+    odd = '"\\\n'
+    text = F.when(F.col("id") == 0, F.repeat(F.lit("ab"), F.lit(10_500_000))).when(F.col("id") == 1, F.repeat(F.lit(odd), F.lit(500_000)))
+    rows = spark.range(3).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "assistant").otherwise("user").alias("role"), text.alias("text"))
+    n, digest, chars, loss, *_ = chat.digests(rows).first()[1:]
+    long, odd = "ab" * 10_500_000, odd * 500_000
+    assert (n, chars) == (3, len(odd)) and loss == hashlib.sha256(odd.encode()).hexdigest()
+    assert digest == hashlib.sha256(f"user\n{long}\nassistant\n{odd}\nuser\n\n".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("record", ['{"messages": [{"role": "a\\qb", "content": "x"}]}', '{"messages": [{"role": "a\nb", "content": "x"}]}', '{"prompt": "x", "response": "y}',
+                                    '{"prompt": "x" "y", "response": "y"}'])
+def test_texts_that_are_no_json(spark, record):
+    row = chat.canonical(spark.createDataFrame([(record,)], "record string")).first()
+    assert (row.layout, row.turns) == (None, None)
+
+
+def test_names_and_values_are_told_apart(spark):
+    record = '{ "prompt" : "a: \\"b\\", {[", "response":":"}'
+    row = chat.canonical(spark.createDataFrame([(record,)], "record string")).first()
+    assert row.layout == "prompt-response" and [t.text for t in row.turns] == ['a: "b", {[', ":"]

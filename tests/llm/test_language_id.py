@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.llm import language_id
 from palisade.llm.language_id import fit, identify, page_language, page_text
 
 WORDS = {"en": "the and of house with that window through where thing".split(), "de": "der und haus fenster nicht durch schön straße wohin ding".split(),
@@ -63,3 +65,40 @@ def test_pages(spark):
     html = '<!DOCTYPE html><HTML class="x" lang=\'fr-CA\'><style>p{}</style><script>if (a < b) "</p>"</script><!-- no\n--><body>Le <b>gar&ccedil;on</b> &amp; lui</body>'
     row = spark.createDataFrame([(html,), (None,)], "h string").select(page_language(F.col("h")).alias("l"), page_text(F.col("h")).alias("t")).collect()
     assert row[0].l == "fr-CA" and row[0].t.split() == ["Le", "gar&ccedil;on", "&", "lui"] and row[1].t is None
+
+
+def test_slices_equal_the_whole(monkeypatch):
+    rng = random.Random(4)
+    for text in ["".join(rng.choice(["a", "B", "é", " ", "1", "-", "ß", "\n"]) for _ in range(rng.randint(0, 90))) for _ in range(200)] + [None, "", "12 -", " a", "a "]:
+        whole = np.concatenate([np.zeros(0, np.int64), *language_id._slices(text)])
+        for size in (1, 2, 7):
+            monkeypatch.setattr(language_id, "_SLICE", size)
+            assert np.concatenate([np.zeros(0, np.int64), *language_id._slices(text)]).tolist() == whole.tolist()
+        monkeypatch.undo()
+
+
+def test_cells_of_a_text():
+    """Brute force over the definition: bytes of lower-cased letters, one blank for the rest, a blank at either end."""
+    def brute(text):
+        raw = text.lower().encode()
+        line, last = b" ", True
+        for byte in raw:
+            letter = 97 <= byte <= 122 or byte >= 128
+            if letter or last:
+                line += bytes([byte]) if letter else b" "
+            last = letter
+        line += b" "
+        return [((line[i] << 16 | line[i + 1] << 8 | line[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(line) - 2)]
+    for text in ("Das ist, nun ja: schön!", " x", "a1b2  c"):
+        assert np.concatenate(list(language_id._slices(text))).tolist() == brute(text)
+
+
+def test_memory_follows_a_slice(spark, model):
+    """A text of 40 MB, added up in the driver's own process so that its memory can be watched."""
+    import tracemalloc
+    text = "das ist der lange text " * 1_700_000
+    tracemalloc.start()
+    total = sum(len(cells) for cells in language_id._slices(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 39_000_000 and peak < 20_000_000
