@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seconds_between
 from ..schemas import ALERT_THRESHOLD, RESET_THRESHOLD, SILENCE_SECONDS, WARNING_THRESHOLD
@@ -22,6 +22,27 @@ def silence_gaps(events: DataFrame, group: Sequence[str] = ("computer",), time:
             .withColumn("status", F.when(gap > threshold, "SENSOR_SILENCED").otherwise("HEALTHY")))
 
 
+def decisive(score: Column) -> Column:
+    """Scores in between the reset and the warning level change nothing."""
+    return (score < RESET_THRESHOLD) | (score >= WARNING_THRESHOLD)
+
+
+def episode_firsts(scored: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """For each ``episode`` (number of resets so far) of a group the first warning ``w``, the first critical score ``c`` and ``peak_risk``.
+
+    A stretch of scores matters to what follows only by its resets and by the firsts after the last one; resets add up and firsts are
+    minima, so stretches compose in any grouping and a hot group spreads over tasks. Only scores that decide are numbered.
+    """
+    score = F.col("risk_score")
+    marked = (scored.filter(decisive(score)).select(*group, *order, "risk_score")
+              .withColumn("_reset", F.when(score < RESET_THRESHOLD, 1).otherwise(0)))
+    runs = running_total(marked, group, (*order, "risk_score"), "_reset", "episode")
+    spot = F.struct(*(F.col(o) for o in order), score.alias("risk_score"))
+    warning = F.when((score >= WARNING_THRESHOLD) & (score < ALERT_THRESHOLD), spot)
+    critical = F.when(score >= ALERT_THRESHOLD, spot)
+    return runs.groupBy(*group, "episode").agg(F.min(warning).alias("w"), F.min(critical).alias("c"), F.max(score).alias("peak_risk"))
+
+
 def escalation_episodes(scored: DataFrame, group: Sequence[str] = ("computer",),
                         order: Sequence[str] = ("window_start", "process_key")) -> DataFrame:
     """Incidents raised by a two-level hysteresis over each host's scores.
@@ -30,15 +51,7 @@ def escalation_episodes(scored: DataFrame, group: Sequence[str] = ("computer",),
     band and the first critical score matter: a warning that comes first is upgraded by the critical
     score; a critical score that comes first stands alone and a later warning opens a second incident.
     """
-    score = F.col("risk_score")
-    marked = scored.withColumn("_reset", F.when(score < RESET_THRESHOLD, 1).otherwise(0))
-    runs = running_total(marked, group, order, "_reset", "episode")
-    spot = F.struct(*(F.col(o) for o in order), score.alias("risk_score"))
-    warning = F.when((score >= WARNING_THRESHOLD) & (score < ALERT_THRESHOLD), spot)
-    critical = F.when(score >= ALERT_THRESHOLD, spot)
-    firsts = (runs.groupBy(*group, "episode")
-              .agg(F.min(warning).alias("w"), F.min(critical).alias("c"), F.max(score).alias("peak_risk"))
-              .filter(F.col("w").isNotNull() | F.col("c").isNotNull()))
+    firsts = episode_firsts(scored, group, order).filter(F.col("w").isNotNull() | F.col("c").isNotNull())
     w, c = F.col("w"), F.col("c")
     upgraded = w.isNotNull() & c.isNotNull() & (w < c)
     time = order[0]

@@ -30,7 +30,7 @@ def _run(stream, label: str):
     path = scratch_path(spark, label)
     live.append(stream, path, scratch_path(spark, f"{label}-state"), available_now=True,
                 state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.schema.names)
 
 
 def _ntz(df, *names):

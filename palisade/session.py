@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def build_session(cores: str = "*", partitions: int = 8, app: str = "palisade") -> SparkSession:
@@ -41,14 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/palisade/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/palisade/{label}-{uuid.uuid4().hex}"
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    context = spark.sparkContext
+    known = context._jvm.org.apache.hadoop.fs.Path(path)
+    return known.getFileSystem(context._jsc.hadoopConfiguration()), known
+
+
+@contextmanager
+def temporary_scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread makes below the shared folder inside the block are removed at its end."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            fs, known = file_system(spark, path)
+            fs.delete(known, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all tables below ``<shared folder>/palisade``; call it when no result that was made from them is still to be read."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palisade")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = file_system(spark, f"{shared_dir(spark)}/palisade")
+    fs.delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

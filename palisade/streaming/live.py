@@ -1,6 +1,7 @@
 """Live twins of the batch jobs: windows, heartbeat, alerts, hand-off and escalation.
 
-Every query reads a stream of rows, keeps bounded state behind a watermark and appends final rows.
+Every query reads a stream of rows, keeps bounded state and appends final rows. Windows and heartbeats keep theirs behind a watermark,
+alerts, hand-off and escalation a few rows a host (``ordered``), which expire where they would grow.
 Distinct counts are exact and spread by value: each event becomes a few (kind, value) facts, facts are
 made distinct per window, and the last step only adds them up.
 """
@@ -10,15 +11,20 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions import benign_technique, low_activity, pid_from_key
+from ..functions import benign_technique, low_activity, pid_from_key, sigmoid
+from ..operators.episodes import decisive, episode_firsts
+from ..operators.ordering import trailing
 from ..operators.sequence_model import SequenceModel
 from ..operators.telemetry import event_filter, window_facts, window_totals, windowed_rows
-from ..schemas import ALERT_THRESHOLD, RESET_THRESHOLD, SILENCE_SECONDS, WARNING_THRESHOLD, WINDOW_SECONDS
+from ..schemas import ALERT_THRESHOLD, SILENCE_SECONDS, WINDOW_SECONDS
+from ..session import durable
+from .ordered import OrderedJob, State
 
 #: What tells events apart: the host's record number where there is one, else the host and all that is known of the event.
 RECORD_KEY = ("computer", "record_id")
@@ -33,13 +39,15 @@ def event_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet"
             .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def append(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+def append(stream: DataFrame | OrderedJob, path: str, checkpoint: str, available_now: bool = False,
            state_partitions: int | None = None) -> StreamingQuery:
     """Write final rows as Parquet with exactly-once file commits.
 
     The number of state partitions is fixed by the first start of a checkpoint, so choose it for the cluster
     (default: the session's shuffle partitions). The query keeps the settings it was started with.
     """
+    if isinstance(stream, OrderedJob):
+        return stream.start(path, checkpoint, available_now)
     conf = stream.sparkSession.conf
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
     if state_partitions:
@@ -170,143 +178,139 @@ def stream_heartbeat(events: DataFrame, delay: str, threshold: float = SILENCE_S
 
 # ---- alerts ------------------------------------------------------------------------------------
 
-class _Alerts(StatefulProcessor):
-    """The last scaled vectors of a host and the times of its incidents: one small entry an incident."""
-
-    def __init__(self, model: SequenceModel, threshold: float) -> None:
-        self.model, self.threshold = model, threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", "v array<double>")
-        self.raised = handle.getMapState("raised", "window_us bigint", "risk double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        length, width = self.model.length, len(self.model.scaler.features)
-        past = [list(r[0]) for r in self.history.get()] if self.history.exists() else []
-        batch = pd.concat(rows).sort_values(["window_us", "process_key"]).reset_index(drop=True)
-        current = np.vstack(batch["v"].to_numpy())
-        steps = np.vstack([np.zeros((length - len(past), width)), np.array(past).reshape(-1, width), current])[-(length + len(batch)):]
-        frames = np.lib.stride_tricks.sliding_window_view(steps, length, axis=0)[1:]  # rows x width x length
-        z = (self.model.intercept + frames.mean(axis=2) @ np.array(self.model.mean_weights)
-             + frames.max(axis=2) @ np.array(self.model.max_weights))
-        batch["risk_score"] = np.where(batch["gated"], 0.0, 1.0 / (1.0 + np.exp(-z)))
-        raised = batch[batch["risk_score"] >= self.threshold].drop_duplicates("window_us")
-        raised = raised[np.array([not self.raised.containsKey((int(at),)) for at in raised["window_us"]], bool)]
-        seen = len(past) + len(batch)
-        self.history.put([(row.tolist(),) for row in steps[-min(seen, length):]])
-        for at, risk in zip(raised["window_us"], raised["risk_score"]):
-            self.raised.updateValue((int(at),), (float(risk),))
-        batch["alert_created"] = batch.index.isin(raised.index)
-        yield batch.assign(computer=key[0])[["computer", "process_key", "window_us", "technique_id", "risk_score", "alert_created"]]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_alerts(windows: DataFrame, model: SequenceModel, threshold: float = ALERT_THRESHOLD) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equality join in which nulls equal each other; ``left``'s names stay."""
+    other = right.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    out = left.join(other, reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names)), how)
+    return out.drop(*(f"_of_{n}" for n in names))
+
+
+def _score_batch(model: SequenceModel, threshold: float, horizon: int, batch: DataFrame, state: State) -> tuple[DataFrame, State]:
+    """Scores of a micro-batch, each host's stored vectors first, and what the next batch needs of it."""
+    names = [f"x{i}" for i in range(len(model.scaler.features))]
+    hosts, past, raised = durable(batch.groupBy("computer").agg(F.max("window_us").alias("newest"))), state["history"], state["raised"]
+    back = _joined(past, hosts, ["computer"], "left_semi").withColumns({"fresh": F.lit(False), "window_us": F.col("place")}).drop("place")
+    rows = batch.withColumn("fresh", F.lit(True)).unionByName(back, allowMissingColumns=True)
+
+    def pooled(w):
+        held, total = F.count(F.lit(1)).over(w), F.lit(model.intercept)
+        for n, mean, top in zip(names, model.mean_weights, model.max_weights):
+            largest = F.max(n).over(w)  # steps before the first window are zeros
+            total = total + F.lit(mean) * F.sum(n).over(w) / model.length + F.lit(top) * F.when(held < model.length, F.greatest(largest, F.lit(0.0))).otherwise(largest)
+        return {"risk_score": F.when(F.col("gated"), 0.0).otherwise(sigmoid(total))}
+    scored = durable(trailing(rows, ("computer",), ("fresh", "window_us", "process_key", *names), model.length, pooled, keep_rn="place"))
+
+    fresh = scored.filter("fresh")
+    found = fresh.filter(F.col("risk_score") >= threshold).groupBy("computer", "window_us").agg(F.min("place").alias("place"))
+    found = durable(_joined(found, raised, ["computer", "window_us"], "left_anti"))
+    marks = found.select("computer", "place", F.lit(True).alias("alert_created"))
+    output = (_joined(fresh, marks, ["computer", "place"], "left")
+              .select("computer", "process_key", F.timestamp_micros("window_us").alias("window_start"), "technique_id", "risk_score",
+                      F.coalesce("alert_created", F.lit(False)).alias("alert_created")))
+
+    ends = scored.groupBy("computer").agg(F.max("place").alias("end"))
+    history = _joined(scored, ends, ["computer"]).filter(F.col("place") > F.col("end") - (model.length - 1)).select("computer", "place", *names)
+    away = _joined(past, hosts, ["computer"], "left_anti")
+    known = raised.unionByName(found.select("computer", "window_us"))
+    clock = (known.withColumnRenamed("window_us", "newest").unionByName(hosts).groupBy("computer").agg(F.max("newest").alias("now")))
+    kept = _joined(known, clock, ["computer"]).filter(F.col("window_us") >= F.col("now") - horizon * 1_000_000).select("computer", "window_us")
+    return output, {"history": history.unionByName(away), "raised": kept}
+
+
+def stream_alerts(windows: DataFrame, model: SequenceModel, threshold: float = ALERT_THRESHOLD, horizon: int = 7 * 86_400) -> OrderedJob:
     """Score each final window with its host's history; one incident per host and window time.
 
-    Benign sources and idle windows score 0 but stay part of the history. State holds at most
-    ``model.length`` vectors per host; windows of a micro-batch are taken in time order.
+    Benign sources and idle windows score 0 but stay part of the history. Windows of a micro-batch are taken in time order, and a hot
+    host's are spread over tasks. State holds ``model.length - 1`` vectors a host and the times of its incidents of the
+    last ``horizon`` seconds before its newest window; an older window that comes again may raise its incident again.
     """
     gated = benign_technique(F.col("technique_id")) | low_activity(
         F.col("event_count"), F.col("file_activity_count"), F.col("registry_activity_count"))
+    scaled = [c.cast("double").alias(f"x{i}") for i, c in enumerate(model.scaler.columns())]
     rows = windows.select("computer", "process_key", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"),
-                          "technique_id", gated.alias("gated"), F.array(*model.scaler.columns()).alias("v"))
-    out = rows.groupBy("computer").transformWithStateInPandas(
-        _Alerts(model, threshold),
-        "computer string, process_key string, window_us bigint, technique_id string, risk_score double, alert_created boolean",
-        "append", "none")
-    return out.select("computer", "process_key", F.timestamp_micros("window_us").alias("window_start"), "technique_id",
-                      "risk_score", "alert_created")
+                          "technique_id", gated.alias("gated"), *scaled)
+    vector = ", ".join(f"x{i} double" for i in range(len(scaled)))
+    return OrderedJob(rows, partial(_score_batch, model, threshold, horizon),
+                      "computer string, process_key string, window_start timestamp, technique_id string, risk_score double, alert_created boolean",
+                      {"history": f"computer string, place bigint, {vector}", "raised": "computer string, window_us bigint"})
 
 
-def incidents_of(scored: DataFrame) -> DataFrame:
+def incidents_of(scored: DataFrame | OrderedJob) -> DataFrame | OrderedJob:
     """Incident rows of the alert stream."""
+    if isinstance(scored, OrderedJob):
+        return scored.then(incidents_of)
     return scored.filter("alert_created").select(
         F.col("window_start").alias("timestamp"), "computer", F.col("technique_id").alias("ransomware_family"),
         "risk_score", pid_from_key(F.col("process_key")).alias("process_id"), F.lit("ACTIVE").alias("status"))
 
 
-class _HandOver(StatefulProcessor):
-    """Whether the alert of this host and time was handed over."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "risk double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            for risk, process in zip(part["risk_score"], part["process_key"]):
-                best = max(best or (risk, process), (risk, process))
-        if best is not None and not self.done.exists():
-            self.done.update((float(best[0]),))
-            yield pd.DataFrame({"computer": [key[0]], "alert_us": [key[1]], "process_key": [best[1]], "risk_score": [best[0]]})
-
-    def close(self) -> None:
-        pass
+def _hand_over_batch(threshold: float, kept: int, batch: DataFrame, state: State) -> tuple[DataFrame, State]:
+    """The riskiest row of each alert that was not handed over before."""
+    best = durable(batch.groupBy("computer", "alert_us").agg(F.max(F.struct("risk_score", "process_key")).alias("x")).select("computer", "alert_us", "x.*"))
+    new = _joined(best, state["done"], ["computer", "alert_us"], "left_anti")
+    act, pid = F.col("risk_score") >= threshold, pid_from_key(F.col("process_key"), default=None)
+    output = new.select(F.timestamp_micros("alert_us").alias("alert_id"), "computer", "risk_score", F.when(act, pid).alias("process_id"),
+                        (act & pid.isNotNull()).alias("terminate_tree"), act.alias("isolate_host"), F.lit("dry_run").alias("mode"))
+    done = state["done"].unionByName(new.select("computer", "alert_us"))
+    clock = done.groupBy("computer").agg(F.max("alert_us").alias("now"))
+    left = _joined(done, clock, ["computer"]).filter(F.col("alert_us") >= F.col("now") - kept * 1_000_000).drop("now")
+    return output, {"done": left}
 
 
-def alert_handoff(alerts: DataFrame, ignored: DataFrame | None = None, threshold: float = ALERT_THRESHOLD) -> DataFrame:
+def alert_handoff(alerts: DataFrame, ignored: DataFrame | None = None, threshold: float = ALERT_THRESHOLD, kept: int = 7 * 86_400) -> OrderedJob:
     """Each alert, known by host and time, handed over once as a row of intents; nothing is executed.
 
     Alerts present at the start (``ignored(computer, alert_id)``) are left out; of several alerts of one host and time that come together
-    the riskiest counts, later ones do not. State is one number an alert, so no earlier output is read again.
+    the riskiest counts, later ones do not. State is one row an alert, so no earlier output is read again; it is forgotten ``kept``
+    seconds behind the host's newest alert, and an older alert that comes again after that is handed over again.
     """
     at = F.coalesce("window_start", "timestamp") if "timestamp" in alerts.columns else F.col("window_start")
     rows = alerts.withColumn("alert_id", at).filter("alert_id IS NOT NULL AND risk_score IS NOT NULL")
     if ignored is not None:
         rows = rows.join(ignored.select("computer", "alert_id"), ["computer", "alert_id"], "left_anti")
     rows = rows.select("computer", F.unix_micros(F.col("alert_id").cast("timestamp")).alias("alert_us"), F.coalesce("process_key", F.lit("")).alias("process_key"), "risk_score")
-    best = rows.groupBy("computer", "alert_us").transformWithStateInPandas(
-        _HandOver(), "computer string, alert_us bigint, process_key string, risk_score double", "append", "none")
-    act, pid = F.col("risk_score") >= threshold, pid_from_key(F.col("process_key"), default=None)
-    return best.select(F.timestamp_micros("alert_us").alias("alert_id"), "computer", "risk_score", F.when(act, pid).alias("process_id"),
-                       (act & pid.isNotNull()).alias("terminate_tree"), act.alias("isolate_host"), F.lit("dry_run").alias("mode"))
+    return OrderedJob(rows, partial(_hand_over_batch, threshold, kept),
+                      "alert_id timestamp, computer string, risk_score double, process_id int, terminate_tree boolean, isolate_host boolean, mode string",
+                      {"done": "computer string, alert_us bigint"})
 
 
 # ---- escalation --------------------------------------------------------------------------------
 
-class _Escalation(StatefulProcessor):
-    """Hysteresis per host: whether a warning and a critical score were seen since the last reset."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("level", "warned boolean, critical boolean, open_us bigint, episode bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        warned, critical, open_us, episode = self.state.get() if self.state.exists() else (False, False, -1, 0)
-        out = []
-        batch = pd.concat(rows).sort_values(["window_us", "process_key"])
-        for at, score in zip(batch["window_us"], batch["risk_score"]):
-            if score < RESET_THRESHOLD:
-                warned, critical, open_us, episode = False, False, -1, episode + 1
-            elif WARNING_THRESHOLD <= score < ALERT_THRESHOLD and not warned:
-                warned, open_us = True, int(at)
-                out.append((key[0], episode, "OPENED", open_us, int(at), score, "MONITORING"))
-            elif score >= ALERT_THRESHOLD and not critical:
-                critical = True
-                if open_us >= 0:
-                    out.append((key[0], episode, "UPGRADED", open_us, int(at), score, "ACTIVE"))
-                else:
-                    open_us = int(at)
-                    out.append((key[0], episode, "OPENED", open_us, int(at), score, "ACTIVE"))
-        self.state.update((warned, critical, open_us, episode))
-        yield pd.DataFrame(out, columns=["computer", "episode", "change", "opened_us", "at_us", "risk_score", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_escalation(scored: DataFrame) -> DataFrame:
-    """Incident changes per host as scores arrive: opened with a status, or upgraded to ACTIVE."""
-    score = F.col("risk_score")
-    decisive = (score < RESET_THRESHOLD) | (score >= WARNING_THRESHOLD)  # scores in between change nothing
-    rows = scored.filter(decisive).select(
+_SPOT = "struct<window_us: bigint, process_key: string, risk_score: double>"
+
+
+def _escalate_batch(batch: DataFrame, state: State) -> tuple[DataFrame, State]:
+    """Firsts of the batch's episodes, where the first episode goes on from the one that the host was in."""
+    held = state["level"]
+    firsts = durable(episode_firsts(batch, ("computer",), ("window_us", "process_key")))
+    before = held.select("computer", F.col("episode").alias("base"), F.col("w").alias("old_w"), F.col("c").alias("old_c"))
+    goes_on = F.col("episode") == 0
+    level = durable(_joined(firsts, before, ["computer"], "left").select(
+        "computer", (F.coalesce("base", F.lit(0)) + F.col("episode")).cast("long").alias("episode"), "w", "c",
+        F.when(goes_on, F.col("old_w")).alias("old_w"), F.when(goes_on, F.col("old_c")).alias("old_c")))
+    w, c, old_w, old_c = (F.col(n) for n in ("w", "c", "old_w", "old_c"))
+    warned = F.coalesce(old_w, F.when(c.isNull() | (w < c), w))  # the warning that stands when the critical score comes
+
+    def change(kind, opened, at, status):
+        return F.struct(kind.alias("change"), opened["window_us"].alias("opened_us"), at["window_us"].alias("at_us"), at["risk_score"].alias("risk_score"),
+                        F.lit(status).alias("status"))
+    changes = F.array_compact(F.array(
+        F.when(old_w.isNull() & w.isNotNull(), change(F.lit("OPENED"), w, w, "MONITORING")),
+        F.when(old_c.isNull() & c.isNotNull(), change(F.when(warned.isNull(), "OPENED").otherwise("UPGRADED"), F.coalesce(warned, c), c, "ACTIVE"))))
+    output = level.select("computer", "episode", F.explode(changes).alias("x")).select(
+        "computer", "episode", "x.change", F.timestamp_micros("x.opened_us").alias("opened_at"), F.timestamp_micros("x.at_us").alias("changed_at"),
+        "x.risk_score", "x.status")
+    now = level.groupBy("computer").agg(F.max_by(F.struct("episode", F.coalesce(old_w, w).alias("w"), F.coalesce(old_c, c).alias("c")), "episode").alias("x"))
+    now = now.select("computer", "x.*")
+    return output, {"level": now.unionByName(_joined(held, now, ["computer"], "left_anti"))}
+
+
+def stream_escalation(scored: DataFrame) -> OrderedJob:
+    """Incident changes per host as scores arrive: opened with a status, or upgraded to ACTIVE.
+
+    A micro-batch's scores are taken in time order. State is a row a host: the number of its episode and the episode's firsts.
+    """
+    rows = scored.filter(decisive(F.col("risk_score"))).select(
         "computer", "process_key", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "risk_score")
-    out = rows.groupBy("computer").transformWithStateInPandas(
-        _Escalation(), "computer string, episode bigint, change string, opened_us bigint, at_us bigint, risk_score double, status string",
-        "append", "none")
-    return out.select("computer", "episode", "change", F.timestamp_micros("opened_us").alias("opened_at"),
-                      F.timestamp_micros("at_us").alias("changed_at"), "risk_score", "status")
+    return OrderedJob(rows, _escalate_batch, "computer string, episode bigint, change string, opened_at timestamp, changed_at timestamp, risk_score double, status string",
+                      {"level": f"computer string, episode bigint, w {_SPOT}, c {_SPOT}"})

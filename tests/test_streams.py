@@ -156,3 +156,62 @@ def test_each_alert_is_handed_over_once(spark, tmp_path):
     rows = sorted((r["computer"], r["risk_score"], r["process_id"], r["terminate_tree"], r["mode"]) for r in got.collect())
     want = [("other", 0.12, None, False), ("other", 0.9, None, False), ("other", 0.95, 22, True), ("pc", 0.12, None, False), ("pc", 0.95, 22, True)]
     assert rows == [(*w, "dry_run") for w in want]  # pc's last alert was there at the start
+
+
+def test_incidents_are_forgotten_behind_the_horizon(spark, tmp_path):
+    """The same window comes again: within the horizon it raises nothing, later it does, and its state entry is gone in between."""
+    def at(second, process):
+        return pd.DataFrame({"computer": "pc", "process_key": [process], "window_start": pd.Timestamp("2026-01-01", tz="UTC") + pd.to_timedelta([second], unit="s"),
+                             "event_count": 40, "file_activity_count": 9, "registry_activity_count": 0, "technique_id": "T1486"})
+    write_parts([at(0, "a"), at(50, "b"), at(0, "c"), at(200, "d"), at(0, "e")], f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    model = SM.SequenceModel(M.Scaler(("event_count",), (0.0,), (1.0,)), (1.0,), (1.0,), 9.0)
+    stream = live.event_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    got = run(live.stream_alerts(stream, model, 0.8, horizon=100), tmp_path, "alerts").collect()
+    assert sorted((r["process_key"], r["alert_created"]) for r in got) == [("a", True), ("b", True), ("c", False), ("d", True), ("e", True)]
+    kept = spark.read.parquet(f"{tmp_path}/alerts-state/ordered/raised/3").collect()
+    start = int(pd.Timestamp("2026-01-01", tz="UTC").timestamp())
+    assert [(r["computer"], r["window_us"] // 1_000_000 - start) for r in kept] == [("pc", 200)]
+    assert sorted(os.listdir(f"{tmp_path}/alerts-state/ordered/raised")) == ["3", "4"]  # earlier states are removed
+
+
+def test_a_hot_host_spreads_and_carries_its_level(spark, tmp_path):
+    """Most rows on one host, many pieces, borders of batches inside episodes."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    frame = pd.DataFrame({"computer": np.where(rng.random(n) < 0.8, "hot", np.char.add("pc", rng.integers(0, 40, n).astype(str))),
+                          "process_key": np.char.add("p", np.arange(n).astype(str)), "risk_score": np.round(rng.beta(0.9, 0.5, n), 3),
+                          "window_start": pd.Timestamp("2026-01-01", tz="UTC") + pd.to_timedelta(np.sort(rng.integers(0, n, n)), unit="s")})
+    cuts = [0, 1, 700, 701, 4000, n]
+    write_parts([frame[a:b].sample(frac=1, random_state=1) for a, b in zip(cuts, cuts[1:])], f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = live.event_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    got = run(live.stream_escalation(stream), tmp_path, "levels").collect()
+    want, state = set(), {}
+    parts = [frame[a:b].sort_values(["window_start", "process_key"]) for a, b in zip(cuts, cuts[1:])]
+    for r in pd.concat(parts).itertuples():  # one row after the other
+        warned, critical, opened, episode = state.get(r.computer, (False, False, None, 0))
+        if r.risk_score < 0.2:
+            warned, critical, opened, episode = False, False, None, episode + 1
+        elif 0.6 <= r.risk_score < 0.85 and not warned:
+            warned, opened = True, r.window_start
+            want.add((r.computer, episode, "OPENED", str(opened)[:19], str(r.window_start)[:19], r.risk_score, "MONITORING"))
+        elif r.risk_score >= 0.85 and not critical:
+            critical, kind = True, "UPGRADED" if warned else "OPENED"
+            opened = opened or r.window_start
+            want.add((r.computer, episode, kind, str(opened)[:19], str(r.window_start)[:19], r.risk_score, "ACTIVE"))
+        state[r.computer] = warned, critical, opened, episode
+    names = ("computer", "episode", "change", "opened_at", "changed_at", "risk_score", "status")
+    assert len(got) == len(want) > 500
+    assert {tuple(str(r[n]) if n.endswith("_at") else r[n] for n in names) for r in got} == want
+
+
+def test_handed_over_alerts_are_forgotten(spark, tmp_path):
+    """The alert of second 0 comes again within the horizon, then behind it."""
+    def at(second, process):
+        return pd.DataFrame({"computer": "pc", "process_key": [process], "risk_score": [0.95],
+                             "window_start": pd.Timestamp("2026-01-01", tz="UTC") + pd.to_timedelta([second], unit="s")})
+    write_parts([at(0, "a:1"), at(0, "b:2"), at(200, "c:3"), at(0, "d:4")], f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = live.event_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    assert sorted(r["process_id"] for r in run(live.alert_handoff(stream, kept=100), tmp_path, "intents").collect()) == [1, 3, 4]
