@@ -97,3 +97,54 @@ def test_mentions(spark):
     rows = {"a +1 (988) 555-2485 orthen": 1, "ernt 404189 9 1.2.3": 0, "A@b.c": 0, "x4111111111111111": 0, "James Brown and Brown": 1, "mail me.at@x.y.example.com.": 1}
     got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in rows], "t string").select("t", F.size(mentions_of(F.col("t"))).alias("n")).collect()}
     assert got == rows
+
+
+def test_names_of_any_writing(docs):
+    gone = {1: ("Mrs. Anna O'Neill left", ["Anna", "O'Neill", "Neill"]), 2: ("Dr. Anna McDonald left", ["Anna", "McDonald", "Donald"]), 3: ("Herr Peter van den Berg left", ["Peter", "Berg"]),
+            4: ("Señora Maria de la Cruz left", ["Maria", "Cruz"]), 5: ("MR PETER GARCIA left", ["PETER", "GARCIA"]), 6: ("Mr Bartholomew" + "x" * 60 + " left", ["x" * 20]),
+            7: ("Maria-Elena Garcia-Lopez left", ["Elena", "Lopez"])}
+    got = out(replace(docs([(i, t) for i, (t, _) in gone.items()]), "k"))
+    for i, (text, parts) in gone.items():
+        assert got[i][1] == 1 and not [p for p in parts if p in got[i][0]] and got[i][0].endswith(" left"), (text, got[i])
+    assert " van den " in got[3][0] and " de la " in got[4][0] and got[5][0][:-4].isupper()
+    assert got[1][0].split()[1] == got[2][0].split()[1]  # one given name, whatever the surname
+    assert got[3][0].split()[1].upper() == got[5][0].split()[1]
+
+
+def test_a_name_ends_before_small_words_with_a_capital(docs):
+    got = out(replace(docs([(1, "Maria Went To Berlin In May"), (2, "Maria In Berlin")]), "k"))
+    assert got[1][0].endswith(" To Berlin In May") and got[1][1] == 1 and got[2] == ("Maria In Berlin", 0)
+
+
+def test_words_of_a_name_that_stand_alone(docs):
+    text = "Mr Peter Garcia came. Garcia said no; GARCIA-led Token=abcdefgh1 and Peter too. Garcias stay."
+    rows = [(1, text), (2, "Garcia and Peter came"), (3, "Mr Peter Garcia came")]
+    got = out(replace(docs(rows), "k"))
+    name = got[3][0].split()
+    assert got[2] == (rows[1][1], 0) and got[1][1] == 4 and "abcdefgh1" not in got[1][0]
+    words = got[1][0].split()
+    assert words[1] == words[-4] == name[1] and words[2] == words[4] == name[2] and got[1][0].endswith("Garcias stay.")
+
+
+def test_more_secrets_accounts_and_addresses(docs):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "MIIEow12+/Ab\n" * 30 + "-----END RSA PRIVATE KEY-----"
+    gone = {1: (r'{"password": "ab\"cdefghij-rest"} ok', ["cdefghij", "rest"]), 2: ("Authorization: Bearer abcDEF123456.ghi-789 ok", ["abcDEF", "ghi"]), 3: (pem, ["MIIEow"]),
+            4: ("DE89 3704 0044 0532 0130 00 ok", ["3704 0044", "0532"]), 5: ("to 2001:db8::ff00:42:8329 ok", ["ff00", "8329"]), 6: ("at 00:1B:44:11:3A:B7 ok", ["44:11"]),
+            7: ("tel 0049 30 1234567 or +49 30 1234567 ok", ["30 1234", "1234567"]), 8: ("müller@beispiel.de ok", ["müller", "ller@", "beispiel"]),
+            9: ("a" * 100 + "@b.example.com ok", ["aaaaaaaaaaaaaaaa"]), 10: ("from 2001:0db8:0000:0000:0000:ff00:0042:8329 ok", ["ff00:0042"])}
+    got = out(replace(docs([(i, t) for i, (t, _) in gone.items()] + [(0, "DE89 3704 0044 0532 0130 01 and 12:30:45 std::vector bearer of news std::x86")]), "k"))
+    assert got[0][1] == 0
+    for i, (text, parts) in gone.items():
+        assert got[i][1] == (2 if i == 7 else 1) and not [p for p in parts if p in got[i][0]], (text, got[i])
+    assert got[1][0].startswith('{"password": "') and got[1][0].endswith('"} ok') and got[3][0].endswith("-----END RSA PRIVATE KEY-----")
+    iban = got[4][0][:-3]
+    plain = iban.replace(" ", "")
+    assert [len(x) for x in iban.split()] == [4, 4, 4, 4, 4, 2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    a, b = re.findall(r"(?:0049|\+49) (\d\d \d+)", got[7][0])
+    assert a == b and re.search(r"^at (?:[0-9A-F]{2}:){5}[0-9A-F]{2} ok$", got[6][0])
+
+
+def test_a_text_full_of_mentions_and_its_copies(docs):
+    text = " ".join(f"u{i}@x{i % 7}.example.com" for i in range(20_000))
+    got = out(replace(docs([(1, text), (2, text)]), "k"))
+    assert got[1] == got[2] and got[1][1] == 20_000 and len(set(got[1][0].split())) == 20_000
