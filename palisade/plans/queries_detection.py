@@ -133,9 +133,14 @@ q AS (SELECT *, CASE WHEN n < 30 THEN greatest(xa0, 0) ELSE xa0 END AS xa, CASE
 """
 
 
+def _steps(spark, sf):
+    """The columns that the model reads: the ordering kernel writes and moves what it is given."""
+    return V.scored(spark, sf).select("window_id", "computer", "window_start", "process_key", "event_count", "anomaly_score")
+
+
 @query("sequence_score", over("scored", SEQ + """SELECT window_id, round(1 / (1 + exp(-(-0.2 + 0.7 * ma + 0.1 * xa - 0.4 * mb + 0.3 * xb))), 6) AS risk_score FROM q"""))
 def sequence_score(spark, sf):
-    rows = SM.sequence_score(V.scored(spark, sf), SEQ_MODEL, order=ORDER)
+    rows = SM.sequence_score(_steps(spark, sf), SEQ_MODEL, order=ORDER)
     return rows.select("window_id", F.round("risk_score", 6).alias("risk_score"))
 
 
@@ -144,7 +149,7 @@ def sequence_score(spark, sf):
 SELECT window_id, 'event_count' AS feature_name, round(va / (va + vb) * 10, 5) AS importance_value FROM v
 UNION ALL SELECT window_id, 'anomaly_score', round(vb / (va + vb) * 10, 5) FROM v"""))
 def sequence_attribution(spark, sf):
-    scored = SM.sequence_score(V.scored(spark, sf), SEQ_MODEL, order=ORDER, absolute=True)
+    scored = SM.sequence_score(_steps(spark, sf), SEQ_MODEL, order=ORDER, absolute=True)
     shares = SM.sequence_attribution(scored, SEQ_MODEL, "window_id")
     return shares.withColumn("importance_value", F.round("importance_value", 5))
 

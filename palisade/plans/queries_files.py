@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import counts
 from ..operators import telemetry as T
 from ..schemas import WINDOW_FEATURES, WINDOW_KEY
-from ..session import scratch_path
+from ..session import durable, scratch_path
 from ..sources import alerts as A
-from ..sources import files, pages, reports, xml_events
+from ..sources import files, pages, reports, snapshots, xml_events
 from ..operators import serving
 from . import views as V
 from .checks import over
@@ -99,13 +99,16 @@ def chunked_filter_scan(spark, sf):
     return files.csv_scan(spark, path, "sample_id BIGINT, size DOUBLE, ware_type STRING").filter("ware_type = 'good'")
 
 
-@query("delimited_counts_scan", """SELECT user_id AS process, count(*) FILTER (event_type = 'click') AS NtOpen,
-  count(*) FILTER (event_type = 'error') AS NtWrite FROM events GROUP BY user_id""")
+CALLS = {"click": "NtOpen", "error": "NtWrite", "purchase": "NtCreate", "signup": "NtQuery", "view": "NtRead"}  # a call name for each type of event
+
+
+@query("delimited_counts_scan", "SELECT user_id AS process, " + ", ".join(
+    f"count(*) FILTER (event_type = '{kind}') AS {call}" for kind, call in CALLS.items()) + " FROM events GROUP BY user_id")
 def delimited_counts_scan(spark, sf):
     calls = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("process")).agg(
-        F.count_if(F.col("event_type") == "click").alias("NtOpen"), F.count_if(F.col("event_type") == "error").alias("NtWrite"))
+        *(F.count_if(F.col("event_type") == kind).alias(call) for kind, call in CALLS.items()))
     path = files.csv_sink(calls, scratch_path(spark, "calls"), sep=";")
-    return files.csv_scan(spark, path, "process BIGINT, NtOpen BIGINT, NtWrite BIGINT", sep=";")
+    return files.csv_scan(spark, path, "process BIGINT, " + ", ".join(f"{call} BIGINT" for call in CALLS.values()), sep=";")
 
 
 @query("report_json_scan", over("tel", """SELECT row_id AS sample_id, k / 10 AS score, CAST(3 AS INTEGER) AS strings, 'Sig_' || event_type AS signature,
@@ -196,18 +199,40 @@ def verified_alert_scan(spark, sf):
     return A.read_alerts(spark, path, V.SIGNING_KEY, "computer STRING, process_key STRING, risk_score DOUBLE, window_start STRING")
 
 
-@query("table_refresh", over("scored", """SELECT 'feature_vectors' AS name, count(*) AS rows, CAST(sum(event_count) AS BIGINT) AS total FROM scored
-  UNION ALL SELECT 'incidents', count(*), CAST(count(*) * 9999 AS BIGINT) FROM scored WHERE risk_score >= 0.85"""))
+@query("table_refresh", over("scored", """SELECT 'feature_vectors' AS name, count(*) AS rows, CAST(sum(event_count) AS BIGINT) AS total,
+  CAST(sum(event_count) FILTER (window_id % 2 = 0) AS BIGINT) AS total_before, CAST(2 AS BIGINT) AS version FROM scored
+  UNION ALL SELECT 'incidents', count(*), CAST(count(*) * 9999 AS BIGINT), CAST(count(*) FILTER (window_id % 2 = 0) * 9999 AS BIGINT), 2 FROM scored WHERE risk_score >= 0.85"""))
 def table_refresh(spark, sf):
-    """Replace the window and incident tables, twice, and read them back."""
-    scored = V.scored(spark, sf)
-    vectors, incidents = scratch_path(spark, "vectors"), scratch_path(spark, "incidents")
+    """Make the window and incident tables from half the windows, then from all; a reader that began before the refresh still sees the first rows."""
+    scored = durable(V.scored(spark, sf))
+    out = []
+    for name, value in (("feature_vectors", "event_count"), ("incidents", "process_id")):
+        root = scratch_path(spark, name)
+        for version, rows in enumerate((scored.filter("window_id % 2 = 0"), scored), 1):
+            if name == "incidents":
+                rows = serving.alert_to_incident(serving.alert_threshold(rows).withColumn("process_key", F.lit("k")))
+            number = snapshots.publish(rows, root)
+            if version == 1:
+                before = snapshots.read_snapshot(spark, root)
+        now = snapshots.read_snapshot(spark, root)
+        out.append(now.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"))
+                   .crossJoin(before.agg(F.sum(value).alias("total_before"))).withColumn("version", F.lit(number).cast("long")))  # one row each
+    return out[0].unionByName(out[1])
+
+
+@query("table_upsert", over("scored", """SELECT computer, process_key, window_start, CAST(max(event_count) AS BIGINT) + CASE WHEN max(window_id) % 3 = 0 THEN 1000 ELSE 0 END AS event_count,
+  CAST(3 AS BIGINT) AS versions FROM scored GROUP BY ALL"""))
+def table_upsert(spark, sf):
+    """Two of three windows are stored, the last third with changed counts is merged by key, twice."""
+    keys = ("computer", "process_key", "window_start")
+    rows = V.scored(spark, sf).groupBy(*keys).agg(F.max("event_count").cast("long").alias("event_count"), F.max("window_id").alias("w"))
+    rows = durable(rows)
+    root = scratch_path(spark, "merged")
+    snapshots.publish(rows.filter("w % 3 <> 0 OR w % 2 = 0").drop("w"), root)
+    late = rows.filter("w % 3 = 0").select(*keys, (F.col("event_count") + 1000).alias("event_count"))
     for _ in range(2):
-        files.parquet_sink(scored, vectors)
-        files.parquet_sink(serving.alert_to_incident(serving.alert_threshold(scored).withColumn("process_key", F.lit("k"))), incidents)
-    a = spark.read.parquet(vectors).agg(F.lit("feature_vectors").alias("name"), F.count(F.lit(1)).alias("rows"), F.sum("event_count").alias("total"))
-    b = spark.read.parquet(incidents).agg(F.lit("incidents").alias("name"), F.count(F.lit(1)).alias("rows"), F.sum("process_id").alias("total"))
-    return a.unionByName(b)
+        number = snapshots.upsert(late, root, keys)
+    return snapshots.read_snapshot(spark, root).withColumn("versions", F.lit(number).cast("long"))
 
 
 LISTING = """listing AS (SELECT page_id, replace(CASE WHEN page_id % 2 = 0 THEN replace(html, '</a>', '</a><div class="description"> about <b>' || page_id || '</b></div>')

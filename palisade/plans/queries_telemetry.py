@@ -440,10 +440,15 @@ def dashboard_kpis(spark, sf):
 
 # ---- ordered analytics -------------------------------------------------------------------------
 
+def _ordered(spark, sf, *values: str):
+    """Windows with their keys and the columns in use only: the ordering kernel writes and moves what it is given."""
+    return V.scored(spark, sf).select("window_id", "computer", "source", "window_start", "process_key", *values)
+
+
 @query("rolling_max3", over("scored", """SELECT window_id, max(risk_score) OVER (PARTITION BY computer
   ORDER BY window_start, process_key ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smoothed_risk FROM scored"""))
 def rolling_max3(spark, sf):
-    return serving.rolling_max(V.scored(spark, sf)).select("window_id", "smoothed_risk")
+    return serving.rolling_max(_ordered(spark, sf, "risk_score")).select("window_id", "smoothed_risk")
 
 
 @query("silence_gaps", over("filt", """, g AS (SELECT row_id, computer, "timestamp",
@@ -468,7 +473,7 @@ i AS (SELECT computer, ep, peak, w AS at_rn, c AS by_rn, 'ACTIVE' AS status FROM
 SELECT i.computer, CAST(i.ep AS BIGINT) AS episode, a.window_start AS opened_at, b.risk_score, i.status, i.peak AS peak_risk
 FROM i JOIN r a ON a.computer = i.computer AND a.rn = at_rn JOIN r b ON b.computer = i.computer AND b.rn = by_rn"""))
 def escalation_episodes(spark, sf):
-    return E.escalation_episodes(V.scored(spark, sf))
+    return E.escalation_episodes(_ordered(spark, sf, "risk_score"))
 
 
 @query("sequence_builder", over("scored", """, s AS (SELECT window_id, label, list(event_count) OVER w AS q, sum(event_count + unique_files)
@@ -477,7 +482,7 @@ def escalation_episodes(spark, sf):
 SELECT window_id, label, CAST(30 AS INTEGER) AS steps, repeat('0,', 30 - len(q)) || array_to_string(q, ',') AS event_counts,
   CAST(total AS BIGINT) AS total FROM s"""))
 def sequence_builder(spark, sf):
-    built = sequences.sequence_builder(V.scored(spark, sf), ("event_count", "unique_files"),
+    built = sequences.sequence_builder(_ordered(spark, sf, "label", "event_count", "unique_files"), ("event_count", "unique_files"),
                                        order=("window_start", "process_key", "window_id"))
     first = F.transform("sequence", lambda v: v[0].cast("long").cast("string"))
     total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x).cast("long")
@@ -490,7 +495,7 @@ def sequence_builder(spark, sf):
   FROM scored WINDOW w AS (PARTITION BY computer ORDER BY window_start, process_key, window_id
   ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
 def host_history(spark, sf):
-    rows = sequences.seq_pooling(V.scored(spark, sf), ("event_count",), group=("computer",),
+    rows = sequences.seq_pooling(_ordered(spark, sf, "event_count"), ("event_count",), group=("computer",),
                                  order=("window_start", "process_key", "window_id"))
     return rows.select("window_id", "steps", "mean_event_count", "max_event_count")
 
@@ -500,7 +505,7 @@ def host_history(spark, sf):
   FROM scored WINDOW w AS (PARTITION BY source ORDER BY window_start, process_key, window_id
   ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
 def seq_pooling(spark, sf):
-    rows = sequences.seq_pooling(V.scored(spark, sf), ("anomaly_score",), order=("window_start", "process_key", "window_id"))
+    rows = sequences.seq_pooling(_ordered(spark, sf, "anomaly_score"), ("anomaly_score",), order=("window_start", "process_key", "window_id"))
     return rows.select("window_id", F.round("mean_anomaly_score", 6).alias("mean_anomaly_score"), "max_anomaly_score")
 
 
@@ -509,6 +514,6 @@ def seq_pooling(spark, sf):
 SELECT c.window_id AS current_window_id, h.window_id, c.position - h.position + 1 AS step, h.risk_score
 FROM r c JOIN r h ON h.computer = c.computer AND h.position BETWEEN c.position - 29 AND c.position WHERE c.risk_score >= 0.85"""))
 def history_asof(spark, sf):
-    rows = sequences.history_asof(V.scored(spark, sf), F.col("risk_score") >= 0.85,
+    rows = sequences.history_asof(_ordered(spark, sf, "risk_score"), F.col("risk_score") >= 0.85,
                                   order=("window_start", "process_key", "window_id"))
     return rows.select("current_window_id", "window_id", F.col("step").cast("long").alias("step"), "risk_score")
