@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources import snapshots
 from .models import LinearModel
 
 # Attributions shown for known families when none were computed.
@@ -73,6 +74,15 @@ def explanation_cache(stored: DataFrame, computed: DataFrame, key: str = "alert_
     return (stored.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False))))
 
 
+def store_explanations(computed: DataFrame, root: str, key: str = "alert_id") -> DataFrame:
+    """Store the attributions of alerts that have none yet, as a new snapshot of the table at ``root``; returns all that are stored.
+
+    Alerts that are stored already keep what they have, so a second run adds nothing.
+    """
+    snapshots.upsert(computed, root, (key,), replace=False)
+    return snapshots.read_snapshot(computed.sparkSession, root)
+
+
 def fallback_table(spark: SparkSession) -> DataFrame:
     """Fixed attributions per family; the empty family holds the default."""
     rows = [(family, n, v) for family, entries in (*FAMILY_FALLBACK.items(), ("", DEFAULT_FALLBACK)) for n, v in entries]

@@ -59,9 +59,9 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
 
 
 def upsert(rows: DataFrame, root: str, keys: Sequence[str], replace: bool = True, partition_by: Sequence[str] = ()) -> int:
-    """Add ``rows``, which hold each key once, to the table as a new version; its number is returned.
+    """Add ``rows`` to the table as a new version; its number is returned.
 
-    Of a key that the table has already, the new row stays (``replace``) or the stored one. Null keys are keys like others. Run again with the same
+    Of a key that the table has already, the new rows stay (``replace``) or the stored ones; rows of one key go together. Null keys are keys like others. Run again with the same
     rows, it leaves the table's rows as they are. Both sides meet in one join on the keys.
     """
     spark = rows.sparkSession

@@ -63,3 +63,13 @@ def test_two_jobs_at_once(spark, tmp_path):
         with pytest.raises(snapshots.ConcurrentRefresh):
             snapshots.upsert(made(spark, [(1, "a", 2)]), root, ("k",))
     assert rows(snapshots.read_snapshot(spark, root)) == [(7, "z", 7)]
+
+
+def test_explanations_are_stored_once(spark, tmp_path):
+    from palisade.operators.attribution import store_explanations
+    made = lambda data: spark.createDataFrame(data, "alert_id long, feature_name string, importance_value double")
+    root = f"{tmp_path}/x"
+    store_explanations(made([(1, "a", 0.5)]), root)
+    for _ in range(2):
+        got = rows(store_explanations(made([(1, "a", 9.0), (1, "b", 9.0), (2, "a", 0.1), (2, "b", 0.2)]), root))
+        assert got == [(1, "a", 0.5), (2, "a", 0.1), (2, "b", 0.2)]
