@@ -34,3 +34,9 @@ def test_flagship(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_model_zoo_covers_types_and_families():
+    from compare import duck
+    rows = duck(SF).execute(entry.oracle_sql()["model_zoo"]).fetchall()
+    assert {r[:2] for r in rows} == {("type", "Decision Tree"), ("type", "Logistic Regression"), ("family", "Logistic Regression")}
