@@ -40,10 +40,6 @@ def xml_event_parse(documents: DataFrame, strict: bool = True) -> DataFrame:
     # the last value of a repeated name wins: sorted by name and place, an entry stays if the next one has another name
     pairs = F.array_sort(F.transform(named, lambda d, i: F.struct(d["_Name"].alias("key"), i.alias("at"), F.coalesce(d["_VALUE"], F.lit("")).alias("value"))))
     rows = parsed.withColumn("pairs", pairs)
-    follower = F.concat(F.transform(F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1))), lambda d: d["key"]), F.array(F.lit(None).cast("string")))
-    last = F.filter(F.zip_with("pairs", follower, lambda p, k: F.struct(p["key"].alias("key"), p["value"].alias("value"), k.alias("then"))),
-                    lambda p: p["key"].isNotNull() & ~p["key"].eqNullSafe(p["then"]))
-    rows = rows.withColumn("extra", F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"]))))
 
     def data(name: str) -> Column:
         """One look through the entries; the map itself is only built where ``extra`` is read."""
@@ -59,5 +55,12 @@ def xml_event_parse(documents: DataFrame, strict: bool = True) -> DataFrame:
               "event_id": event_id, "computer": F.nullif(F.col("e.System.Computer"), F.lit("")),
               **{f: first_truthy(*(data(n) for n in names)) for f, names in FIELD_SOURCES.items()}}
     order = ("timestamp", "event_id", *EVENT_TEXT_FIELDS)
-    extra = [] if strict else [F.col("e._corrupt_record").alias("corrupt")]
-    return rows.select("file_path", *(fields[f].alias(f) for f in order), "extra", *extra)
+    corrupt = [] if strict else [F.col("e._corrupt_record").alias("corrupt")]
+    # a record is made once, by a generator: conditions on its fields, put into the plan by the caller, cannot be drawn below it and parse again
+    record = F.struct(*(fields[f].alias(f) for f in order), "pairs", *corrupt)
+    rows = rows.select("file_path", F.explode(F.array(record)).alias("r")).select("file_path", "r.*")
+    follower = F.concat(F.transform(F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1))), lambda d: d["key"]), F.array(F.lit(None).cast("string")))
+    last = F.filter(F.zip_with("pairs", follower, lambda p, k: F.struct(p["key"].alias("key"), p["value"].alias("value"), k.alias("then"))),
+                    lambda p: p["key"].isNotNull() & ~p["key"].eqNullSafe(p["then"]))
+    extra = F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    return rows.select("file_path", *order, extra.alias("extra"), *([] if strict else ["corrupt"]))
