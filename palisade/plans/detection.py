@@ -55,33 +55,40 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
                      seed: int = 42) -> DataFrame:
     """Leave each attack scenario out of training and measure on it plus a benign sample.
 
-    The sample is ``splits.holdout_assignment``'s, taken for all scenarios from one numbering of the benign rows. All models are fitted in one scan a step
-    and scored in one more, however many scenarios there are; the driver gets the scenarios' names and sizes and their coefficients.
+    The sample is ``splits.holdout_assignment``'s, taken for all scenarios from one numbering of the benign rows. Equal windows are one weighted row of the fits, so
+    their scans follow the number of different windows. All models are fitted in one scan a step and scored in one more, however many scenarios there are; the driver gets the scenarios' names and sizes and their coefficients.
     A scenario that leaves a part with one class keeps its name and has no figures.
     """
     spark = windows.sparkSession
     values = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
-    rows = windows.select(F.col(key).alias("key"), F.col("label").cast("int").alias("y"), "scenario", values.alias("x")).filter("y in (0, 1)")
-    benign = row_numbered(rows.filter("y = 0"), [], [S.seeded_order(F.col("key"), seed), "key"], "place")
-    attacks = rows.filter("y = 1")
-    sizes = attacks.filter("scenario is not null").groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()
+    rows = durable(windows.select(F.col(key).alias("key"), F.col("label").cast("int").alias("y"), "scenario", values.alias("x")).filter("y in (0, 1)"))
+    sizes = rows.filter("y = 1 and scenario is not null").groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()
     names, held = [r["scenario"] for r in sizes], np.array([r["n"] for r in sizes])
     if len(names) < 2:
         raise ValueError("Need at least 2 attack scenarios for held-out evaluation.")
-    numbers = spark.createDataFrame(list(enumerate(names)), "number int, scenario string")
-    marked = (attacks.join(numbers, "scenario", "left").select("y", "x", F.coalesce("number", F.lit(-1)).alias("number"), F.lit(0).cast("long").alias("place"))
-              .unionByName(benign.select("y", "x", F.lit(-1).alias("number"), F.col("place").cast("long").alias("place"))))
-    marked = durable(marked)
     drawn = np.maximum(held, S.MIN_HOLDOUT_BENIGN)
-    every = np.arange(len(names))[:, None]
+    steps = np.unique(drawn)
+    order = S.seeded_order(F.col("key"), seed)
+    ranked = row_numbered(rows.filter("y = 0").select("key", order.alias("_order")), [], ["_order", "key"], "place")
+    cuts = ranked.filter(F.col("place").isin(steps.tolist())).orderBy("place").collect()
+    # how many of the samples' last rows a benign row comes behind
+    behind = [F.coalesce(~S.first_in_order("key", seed, (c["_order"], c["key"])), F.lit(False)).cast("int") for c in cuts]
+    numbers = spark.createDataFrame(list(enumerate(names)), "number int, scenario string")
+    marked = (rows.join(F.broadcast(numbers), (rows["y"] == 1) & (rows["scenario"] == numbers["scenario"]), "left")
+              .select("y", "x", F.coalesce("number", F.lit(-1)).alias("number"), F.when(F.col("y") == 0, sum(behind, F.lit(0))).otherwise(0).alias("level")))
+    alike = durable(marked.groupBy("y", "x", "number", "level").agg(F.count(F.lit(1)).alias("n")))  # windows that no model tells apart are one row of that weight
+    every, place = np.arange(len(names))[:, None], np.searchsorted(steps, drawn)[:, None]
 
     def tested(batch) -> np.ndarray:
-        y, number, place = (batch.column(c).to_numpy()[None, :] for c in ("y", "number", "place"))
-        return np.where(y == 1, number == every, place <= drawn[:, None])
+        y, number, level = (batch.column(c).to_numpy()[None, :] for c in ("y", "number", "level"))
+        return np.where(y == 1, number == every, level <= place)
+
+    def times(batch) -> np.ndarray:
+        return np.where(tested(batch), 0, batch.column("n").to_numpy())
 
-    counts, means, deviations = moments(marked, len(features), len(names), lambda b: (~tested(b)).astype(float))
+    counts, means, deviations = moments(alike, len(features), len(names), times, "n")
     whole = counts.sum(1)
-    total = marked.agg(F.count_if(F.col("y") == 0)).first()[0]
+    total = alike.filter("y = 0").limit(1).count()
     both = (counts > 0).all(1) & (held > 0) & (total > 0)
     report = spark.createDataFrame([(n,) for n in names], "held_out string")
     if not both.any():
@@ -89,11 +96,11 @@ def scenario_holdout(windows: DataFrame, features: Sequence[str] = WINDOW_FEATUR
     share = np.where(both[:, None], whole[:, None] / (2 * np.maximum(counts, 1)), 0.0)
 
     def weigh(batch) -> np.ndarray:
-        return np.where(tested(batch), 0.0, share[:, batch.column("y").to_numpy()])
+        return times(batch) * share[:, batch.column("y").to_numpy()]
 
     fits = [Fit(1.0 / max(n, 1), mean=m, deviation=d) for n, m, d in zip(whole, means, deviations)]
-    tables = fit_many(marked, len(features), fits, weigh)
-    told = predicted(marked, len(features), tables, ["y"], lambda b: tested(b) & both[:, None], fits)
+    tables = fit_many(alike, len(features), fits, weigh)
+    told = predicted(marked.filter((F.col("y") == 1) | (F.col("level") <= int(place.max()))), len(features), tables, ["y"], lambda b: tested(b) & both[:, None], fits)
     scored = durable(told.join(numbers.withColumnRenamed("number", "model"), "model")
                      .select(F.col("scenario").alias("held_out"), F.col("y").alias("label"), F.col("scores")[1].alias("risk_score")))
     figures = Q.binary_metrics(scored, group=("held_out",)).join(Q.roc_auc(scored, group=("held_out",)), "held_out")

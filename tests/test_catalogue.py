@@ -40,3 +40,11 @@ def test_model_zoo_covers_types_and_families():
     from compare import duck
     rows = duck(SF).execute(entry.oracle_sql()["model_zoo"]).fetchall()
     assert {r[:2] for r in rows} == {("type", "Decision Tree"), ("type", "Logistic Regression"), ("family", "Logistic Regression")}
+
+
+def test_lineage_is_that_of_the_scored_windows(spark):
+    from palisade.plans import views as V
+    columns = ("computer", "process_key", "window_start", "window_id", "label", "scenario")
+    told = V.lineage(spark, SF)
+    assert "explode" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, told.select(*columns).collect())) == sorted(map(tuple, V.scored(spark, SF).select(*columns).collect()))

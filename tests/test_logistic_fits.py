@@ -110,3 +110,13 @@ def test_folds_are_stratified_and_search_uses_them(spark):
     seen = folds.withColumn("places", F.when(F.col("y") == 1, F.array(F.lit(0), (F.col("id") % 5 + 1).cast("int"))).otherwise(F.array((F.col("id") % 5 + 1).cast("int"))))
     best, table, figures = M.logistic_search(durable(seen), 6, 2)
     assert {r["strength"]: r["figure"] for r in figures.collect()}[best] == 1.0 and table[0, 0] > 0
+
+
+def test_moments_of_weighted_rows(spark):
+    draw = np.random.default_rng(3)
+    x, n, y = draw.normal(5, 2, (40, 3)), draw.integers(0, 5, 40), draw.integers(0, 2, 40)
+    rows = spark.createDataFrame([(int(c), v.tolist(), int(k)) for c, v, k in zip(y, x, n)], "y int, x array<double>, n int").repartition(3)
+    counts, means, deviations = moments(rows, 3, 1, lambda b: b.column("n").to_numpy()[None, :], "n")
+    every, classes = np.repeat(x, n, 0), np.repeat(y, n)
+    assert counts[0].tolist() == [(classes == 0).sum(), (classes == 1).sum()]
+    assert np.allclose(means[0], every.mean(0)) and np.allclose(deviations[0], every.std(0))
