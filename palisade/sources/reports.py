@@ -20,7 +20,8 @@ def report_json_scan(spark: SparkSession, path: str, one_per_file: bool = True)
         fields.insert(0, StructField("sample_id", StringType()))
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=one_per_file)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    rows = raw.select(F.col("_metadata.file_name").alias("file_name"), F.from_json("value", StructType(fields), options).alias("r"))
+    # parsed by a generator: a condition on a report cannot be drawn below it, where it would parse once more
+    rows = raw.select(F.col("_metadata.file_name").alias("file_name"), F.explode(F.array(F.from_json("value", StructType(fields), options))).alias("r"))
     sample = F.regexp_extract("file_name", r"^(\d+)", 1) if one_per_file else F.col("r.sample_id")
     return rows.select(sample.try_cast("long").alias("sample_id"), *(f"r.{f.name}" for f in REPORT_SCHEMA.fields), f"r.{CORRUPT}")
 

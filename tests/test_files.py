@@ -69,3 +69,24 @@ def test_av_report(spark):
     rows = spark.createDataFrame([(json.dumps(good),), ("{}",)], "report string")
     got = [(r["md5"], r["malicious"], r["total_avi_tested"], r["malware_names"], r["malware_classification"]) for r in reports.av_report_project(rows).collect()]
     assert got == [("m", 5, 7, "N", None), (None, None, 0, None, None)]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conditions_on_events_do_not_parse_again(spark):
+    from palisade.operators.telemetry import event_filter
+    from palisade.sources.xml_events import xml_event_parse
+    xml = "<Event><System><EventID>1</EventID><Computer>c</Computer></System><EventData><Data Name='UtcTime'>t</Data><Data Name='ProcessId'>{}</Data></EventData></Event>"
+    rows = spark.createDataFrame([("f", xml.format(7)), ("f", xml.format(""))], "file_path string, xml string")
+    kept = event_filter(xml_event_parse(rows))
+    assert plan(kept).count("from_xml(") == 1
+    assert [(r["process_id"], r["extra"]["ProcessId"]) for r in kept.collect()] == [("7", "7")]
+
+
+def test_conditions_on_reports_do_not_parse_again(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('{"sample_id": "5", "strings": ["x"]}\n{"sample_id": \n')
+    rows = reports.report_json_scan(spark, str(tmp_path), one_per_file=False)
+    assert plan(reports.readable(rows)).count("from_json(") == 1
+    assert [r["sample_id"] for r in reports.readable(rows).collect()] == [5] and reports.malformed(rows).count() == 1
