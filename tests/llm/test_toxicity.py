@@ -89,3 +89,26 @@ def test_held_out_labels_change_nothing(spark, learnt):
 def test_threshold_is_between_the_classes():
     raw = np.array([-3.0, -2.0, -1.0, 2.0, 3.0])
     assert X.threshold(raw, np.array([0, 0, 0, 1, 1]), np.ones(5), 0.7) == 0.5
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """Toxic texts are all beyond 30,000 characters, and rows are dealt to several shards."""
+    rows, marks = corpus(600, 5)
+    calm, toxic = " the river and the stone of water" * 1000, dict(marks)
+    texts = {i: t + calm if toxic[i] else t for i, t, _ in rows}
+    model = X.fit(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"),
+                  F.col("doc_id") % 3 != 1, shard_chars=1_000_000, epochs=4, steps=100)
+    held = [i for i in texts if i % 3 == 1]
+    scores, _ = model.score([texts[i] for i in held])
+    assert np.mean((scores >= 0.7) == [toxic[i] == 1 for i in held]) > 0.95
+
+
+def test_best_windows_of_long_texts_are_those_of_the_whole(monkeypatch):
+    draw = np.random.default_rng(2)
+    net = X.Network.new(4, 3, 1, 1.0)
+    sizes = np.array([3, 700, 41, 130])
+    word, stem = (draw.integers(0, 60, sizes.sum()) for _ in range(2))
+    whole = net.best(word, stem, sizes)
+    monkeypatch.setattr(X, "_PART", 64)
+    parts = net.best(word, stem, sizes)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
