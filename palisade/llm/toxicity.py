@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import _hash_slice, durable, mix64, seeded
 
@@ -280,6 +280,19 @@ def _cut(tables: Sequence[np.ndarray], weights: Sequence[np.ndarray]) -> Iterato
                                              ["name", "part", "sums", "weights"])
 
 
+def _dealt(known: DataFrame, marked: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Labelled rows in the order of their shards: doc_id, text, toxic, shard.
+
+    Texts and labels go to their shard in one exchange and meet there, so a text moves once at any size; a join would move it by doc_id first.
+    """
+    texts = known.filter(F.col("doc_id").isNotNull()).withColumn("mark", F.lit(None).cast("int"))
+    marks = marked.select("doc_id", F.lit(None).cast("string").alias("text"), F.col("toxic").alias("mark"))
+    both = texts.unionByName(marks).withColumn("shard", F.pmod(seeded(seed, "doc_id"), F.lit(shards)).cast("int"))
+    met = both.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").withColumn(
+        "toxic", F.max("mark").over(Window.partitionBy("shard", "doc_id")))
+    return met.filter(F.col("mark").isNull() & F.col("toxic").isNotNull()).select("doc_id", "text", "toxic", "shard")
+
+
 def _met(rows: DataFrame, seed: int) -> list[np.ndarray]:
     """In how many training rows each word and stem bucket is."""
     def run(batches: Iterator) -> Iterator:
@@ -380,8 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, at: float = 0.7, sha
     sized = known.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
     chars = (sized["chars"] or 0) * min(1.0, sum(n.values()) / max(sized["rows"], 1))
     shards = max(1, -(-int(chars) // shard_chars))
-    rows = durable(known.join(marked, "doc_id").withColumn("shard", F.pmod(seeded(seed, "doc_id"), F.lit(shards)).cast("int"))
-                   .repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text"))
+    rows = durable(_dealt(known, marked, shards, seed))
     seen = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     if len(seen) < 2:
         return Model(None, np.zeros(len(LANGUAGES)), 1.0, at, 0.0)

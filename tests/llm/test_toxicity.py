@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,3 +113,23 @@ def test_best_windows_of_long_texts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(X, "_PART", 64)
     parts = net.best(word, stem, sizes)
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_texts_move_once_whatever_the_labels_size(spark, monkeypatch):
+    """Without a broadcast join, as with many labels, only one exchange carries texts; rows that share a doc_id, null and unlabelled texts are dealt rightly."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made, write = [], X.durable
+        monkeypatch.setattr(X, "durable", lambda df: made.append(df) or write(df))
+        texts = [(i, f"the river number {i}") for i in range(20)] + [(3, "the same number"), (4, None), (None, "nobody"), (50, "not marked")]
+        marks = [(i, i % 2) for i in range(20)] + [(3, 0), (60, 1), (7, 5), (None, 1)]
+        X.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), F.lit(True),
+              shard_chars=100, epochs=1, steps=1)
+        plan = made[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\n]*\btext#", plan)) == 1
+        key = lambda r: (r[0], r[1] or "", r[2])
+        got = sorted(((r.doc_id, r.text, r.toxic) for r in made[0].collect()), key=key)
+        assert got == sorted([(i, t, i % 2) for i, t in texts if i is not None and i < 20], key=key)
+        assert made[0].groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
