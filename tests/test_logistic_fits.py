@@ -1,9 +1,11 @@
 """Many logistic fits in one scan, against dense Newton steps in numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.operators import logistic_fits as LF
 from palisade.operators import models as M
 from palisade.operators.logistic_fits import Fit, fit_many, moments, predicted
 from palisade.operators.splits import stratified_folds
@@ -120,3 +122,33 @@ def test_moments_of_weighted_rows(spark):
     every, classes = np.repeat(x, n, 0), np.repeat(y, n)
     assert counts[0].tolist() == [(classes == 0).sum(), (classes == 1).sum()]
     assert np.allclose(means[0], every.mean(0)) and np.allclose(deviations[0], every.std(0))
+
+
+def test_full_and_sparse_tables_give_the_same_sums():
+    """Products of whole 0/1 tables and sums over places: the same answers and gradients, and full tables take the products."""
+    draw = np.random.default_rng(4)
+    x = draw.random((50, 40)) < 0.3
+    batch = pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32()))], ["places"])
+    tables, off = draw.normal(size=(3, 4, 41)), draw.normal(size=(12, 50))
+    want, whole = LF._answers(batch, 40, tables)
+    assert "x" in whole.__code__.co_freevars
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(LF, "_SPARSE", 0)
+        got, back = LF._answers(batch, 40, tables)
+    assert "places" in back.__code__.co_freevars and np.allclose(want, got) and np.allclose(whole(off), back(off))
+
+
+def test_a_matrix_reads_the_names_once(spark):
+    """Names are made once, of labelled samples only, however often the matrix needs them."""
+    from palisade.plans import matrix_models as MM
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    plain = durable(spark.createDataFrame([(i, f"n{j}") for i in range(40) for j in range(i % 3 + 1)], "sample_id long, name string"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(30)], "sample_id long, label int")
+    splits = labels.select("sample_id", F.when(F.col("sample_id") < 24, "train").otherwise("test").alias("split"))
+    data = MM.matrix(plain.mapInArrow(told, plain.schema), labels, splits)
+    assert data.names == ("n1", "n2") and data.rows.count() == 30 and made.value == plain.count()
