@@ -152,3 +152,16 @@ def test_a_matrix_reads_the_names_once(spark):
     splits = labels.select("sample_id", F.when(F.col("sample_id") < 24, "train").otherwise("test").alias("split"))
     data = MM.matrix(plain.mapInArrow(told, plain.schema), labels, splits)
     assert data.names == ("n1", "n2") and data.rows.count() == 30 and made.value == plain.count()
+
+
+def test_few_names_are_dealt_to_several_tasks(spark, monkeypatch):
+    """The rows of a task follow the number of names, so a matrix of few names and many samples is not one task."""
+    from palisade.plans import matrix_models as MM
+    assert MM._PLACES[0] < MM._PLACES[1]
+    monkeypatch.setattr(MM, "_PLACES", (100, 1 << 20))
+    plain = spark.range(400).select(F.col("id").alias("sample_id"), F.explode(F.when(F.col("id") % 3 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c")))).alias("name"))
+    labels = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") % 3 == 2).cast("int").alias("label"))
+    splits = labels.select("sample_id", F.when(F.col("sample_id") < 300, "train").otherwise("test").alias("split"))
+    data = MM.matrix(plain, labels, splits)
+    assert data.names == ("a", "b", "c") and data.rows.count() == 400
+    assert data.rows.select(F.input_file_name()).distinct().count() == 3  # 533 places, 192 a task
